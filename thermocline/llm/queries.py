@@ -6,6 +6,7 @@ import importlib
 
 #: Query name: module whose query(spark, sf_dir) it is.
 MODULES = {
+    "op1_token_counts": "token_counts",
     "op4_license_scan": "licenses",
     "op6_benchmark_decontamination": "decontaminate",
     "op9_source_mixture": "mixture",
