@@ -271,12 +271,12 @@ def split_words(texts: list[str], specials: dict[str, int]) -> tuple[np.ndarray,
     return row[starts], words.filter(pa.array(keep)).dictionary_encode(), number
 
 
-def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """The batch in runs of rows of about `most` characters, with their texts (null: empty)."""
+def pieces(batch: pa.RecordBatch, column: str, most: int = PIECE, rows: int = 10_000) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """The batch in runs of up to `rows` rows of about `most` characters, with their texts (null: empty)."""
     texts = [x or "" for x in batch.column(column).to_pylist()]
     at = size = 0
     for k, text in enumerate(texts):
-        if size and size + len(text) > most:
+        if k > at and (size + len(text) > most or k - at >= rows):
             yield batch.slice(at, k - at), texts[at:k]
             at, size = k, 0
         size += len(text) + 1
