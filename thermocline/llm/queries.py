@@ -7,9 +7,12 @@ import importlib
 #: Query name: module whose query(spark, sf_dir) it is.
 MODULES = {
     "op1_token_counts": "token_counts",
+    "op2_media_columns": "media",
     "op4_license_scan": "licenses",
     "op6_benchmark_decontamination": "decontaminate",
+    "op7_toxicity": "toxicity",
     "op9_source_mixture": "mixture",
+    "op10_language_id": "language",
 }
 
 
