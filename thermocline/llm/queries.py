@@ -8,6 +8,7 @@ import importlib
 MODULES = {
     "op1_token_counts": "token_counts",
     "op2_media_columns": "media",
+    "op3_prob_minhash_dedup": "dedup",
     "op4_license_scan": "licenses",
     "op6_benchmark_decontamination": "decontaminate",
     "op7_toxicity": "toxicity",
