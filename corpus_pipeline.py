@@ -2,14 +2,55 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from thermocline.llm.decontaminate import decontaminate
+from thermocline.llm import decontaminate, dedup, mixture, toxicity, training_order
+from thermocline.session import written
+
+
+def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents whose toxicity score is 0.5 or more."""
+    return toxicity.accepted(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies."""
+    return dedup.deduplicated(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    """Drops the documents that are contaminated by benchmark passages."""
+    return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeats or leaves out documents so that sources meet their target weights."""
+    return mixture.mixed(docs)
 
 
-STAGES = [("benchmark decontamination", benchmark_decontamination)]
+def training_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Shards of token ids in training order, with the ids of their documents."""
+    return training_order.shards(docs, public_tokenizers.path(training_order.VOCABULARY))
+
+
+STAGES = [
+    ("toxicity", toxicity_filter),
+    ("near-duplicates", near_dedup),
+    ("benchmark decontamination", benchmark_decontamination),
+    ("source mixture", source_mixture),
+    ("token-ID output", training_shards),
+]
+
+#: The score of the first stage is learned, so no SQL gives run()'s rows; tests hold each stage against plain Python.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over documents, a table in the shared folder between them."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for k, (name, stage) in enumerate(STAGES):
+        docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs = written(docs, name.replace(" ", "-"))
+    return docs

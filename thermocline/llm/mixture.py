@@ -90,6 +90,22 @@ def mix(documents: DataFrame, doc: str = "doc_id", text: str = "text", source: s
     return out.select("doc_id", "size", "source_size", F.col("goal").alias("target"), (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"))
 
 
+def mixed(documents: DataFrame, doc: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """documents (all columns) as the mix has them: each row as often as it is taken.
+
+    Whole texts only: what is left over whole copies counts as one more if it is half a text or more.
+    Rows of the same id and text share their copies evenly, rounded; texts without a word are not in
+    the mix. Options as for mix().
+    """
+    key = F.struct(F.col(doc).alias("id"), F.xxhash64(F.col(text)).alias("h"))
+    taken = mix(documents.select(key.alias("k"), F.col(text).alias("t"), F.col(source).alias("s")), "k", "t", "s", **options)
+    copies = F.floor(F.col("taken") / F.col("size")) + F.when(F.col("taken") % F.col("size") * 2 >= F.col("size"), 1).otherwise(0)
+    taken = taken.where("taken > 0").groupBy("doc_id").agg(F.round(F.avg(copies)).cast("int").alias("__n"))
+    taken = taken.select(F.col("doc_id.id").alias("__id"), F.col("doc_id.h").alias("__h"), "__n").where("__n > 0")
+    met = documents.join(taken, documents[doc].eqNullSafe(taken["__id"]) & (F.xxhash64(documents[text]) == taken["__h"]))
+    return met.select(*[documents[c] for c in documents.columns], F.explode(F.sequence(F.lit(1), F.col("__n"))).alias("__copy")).drop("__copy")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     """op9 over all documents."""
     return mix(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -12,6 +12,7 @@ MODULES = {
     "op4_license_scan": "licenses",
     "op6_benchmark_decontamination": "decontaminate",
     "op7_toxicity": "toxicity",
+    "op8_training_order": "training_order",
     "op9_source_mixture": "mixture",
     "op10_language_id": "language",
 }
