@@ -10,6 +10,7 @@ MODULES = {
     "op2_media_columns": "media",
     "op3_prob_minhash_dedup": "dedup",
     "op4_license_scan": "licenses",
+    "op5_personal_data": "pii",
     "op6_benchmark_decontamination": "decontaminate",
     "op7_toxicity": "toxicity",
     "op8_training_order": "training_order",
