@@ -1,6 +1,8 @@
-"""The catalogue of registered queries over the supplied tables, each with its DuckDB SQL."""
+"""The catalogue of registered queries over the supplied tables, each with its DuckDB SQL where SQL can say it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from thermocline.plans import mining, series  # noqa: F401  (they register their queries)
+from thermocline.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
