@@ -128,7 +128,7 @@ def rule_test(t):
     """One-sided permutation p of each rule's hits, 199 shuffles of the antecedent, then BH."""
     rows, rules_ = baskets(t), found_rules(t)
     flat = rules_.crossJoin(F.broadcast(rows.agg(F.collect_list(F.array_sort("items")).alias("all"))))
-    one = flat.select("antecedent", F.array_join("consequent", " ").alias("consequent"), F.transform("all", lambda b: F.array_contains(b, F.col("antecedent")).cast("int")).alias("a"), F.transform("all", lambda b: (F.size(F.array_except("consequent", b)) == 0).cast("int")).alias("c"))
+    one = flat.select("antecedent", F.array_join("consequent", " ").alias("said"), F.transform("all", lambda b: F.array_contains(b, F.col("antecedent")).cast("int")).alias("a"), F.transform("all", lambda b: (F.size(F.array_except("consequent", b)) == 0).cast("int")).alias("c")).withColumnRenamed("said", "consequent")
 
     def test(g, rng):
         a, c = np.array(g["a"].iloc[0]), np.array(g["c"].iloc[0])
@@ -189,11 +189,11 @@ def dtw_nearest(t):
     return R.top_k(best, ["q"], 8, F.col("d"), F.col("vec_id")).select("q", "vec_id", F.round("d", 6).alias("dtw"), "rank")
 
 
-MEMBERS = f"""WITH {MONTHLY}, y AS (SELECT nation, CAST(year(month) AS BIGINT) AS yr, round(avg(v) / 1e5, 6) AS x, round(avg(n), 6) AS z FROM monthly GROUP BY ALL)"""
+MEMBERS = f"""WITH {MONTHLY}, y AS (SELECT nation, CAST(year(month) AS BIGINT) AS yr, round(sum(CAST(round(v * 100) AS BIGINT)) / 100.0::DOUBLE / count(*) / 1e5, 6) AS x, round(avg(n), 6) AS z FROM monthly GROUP BY ALL)"""
 
 
 def yearly(t):
-    return monthly(t).groupBy("nation", F.year("month").cast("long").alias("yr")).agg(F.round(F.avg("v") / 1e5, 6).alias("x"), F.round(F.avg("n"), 6).alias("z"))
+    return monthly(t).groupBy("nation", F.year("month").cast("long").alias("yr")).agg(F.round(F.sum(F.round(F.col("v") * 100).cast("long")) / F.lit(100.0) / F.count("*") / 1e5, 6).alias("x"), F.round(F.avg("n"), 6).alias("z"))
 
 
 WEIGHTS = MEMBERS + """, t AS (SELECT nation, yr, z, unnest(range(0, 40)) AS k FROM y), w AS (SELECT nation, yr, k, 0.2 * 1.25 ** k AS h, exp(-0.5 * ((z - 10) / (0.2 * 1.25 ** k)) ** 2) AS w FROM t),
@@ -267,10 +267,10 @@ def hindcast(t):
     return score.join(both.groupBy(*keys).agg(F.avg("member").alias("mean")), keys)
 
 
-@query(HIND + " SELECT nation, yr, method, round(mean, 6) AS mean, round(obs, 6) AS observed, round(crps, 6) AS crps FROM s")
+@query(HIND + " SELECT nation, yr, method, round(mean, 8) AS mean, round(obs, 6) AS observed, round(crps, 9) AS crps FROM s")
 def hindcasts(t):
     """M49 M36 T7"""
-    return hindcast(t).select("nation", "yr", "method", F.round("mean", 6).alias("mean"), F.round("obs", 6).alias("observed"), F.round("crps", 6).alias("crps"))
+    return hindcast(t).select("nation", "yr", "method", F.round("mean", 8).alias("mean"), F.round("obs", 6).alias("observed"), F.round("crps", 9).alias("crps"))
 
 
 @query(HIND + """, g AS (SELECT *, unnest(list_filter(['all', CASE WHEN z >= 10 THEN 'high' END, CASE WHEN z >= 11 THEN 'very_high' END, CASE WHEN z <= 9 THEN 'low' END, CASE WHEN abs(z - 10) < 1 THEN 'neutral' END], lambda x: x IS NOT NULL)) AS subset FROM s),
@@ -315,16 +315,19 @@ def load_model(t):
     """Log monthly value on two drivers with year and month effects, billing weight by least error."""
     w = Window.partitionBy("nation").orderBy("month")
     rows = monthly(t).withColumn("y", F.ln(F.col("v") / C.days_in_month(F.col("month"))))
-    for weight in (0.0, 0.25, 0.5, 0.75):
-        rows = rows.withColumn(f"h{weight}", weight * F.lag("n").over(w) + (1 - weight) * F.col("n")).withColumn(f"c{weight}", (weight * F.lag("n").over(w) + (1 - weight) * F.col("n")) % 4)
+    drivers = {}
+    for k, weight in enumerate((0.0, 0.25, 0.5, 0.75)):
+        drivers[weight] = (f"h{k}", f"c{k}")
+        blended = weight * F.lag("n").over(w) + (1 - weight) * F.col("n")
+        rows = rows.withColumn(f"h{k}", blended).withColumn(f"c{k}", blended % 4)
     rows = rows.withColumn("year", F.year("month")).withColumn("mo", F.month("month"))
 
     def fit(g, rng):
-        got = D.load_fit(g.rename(columns={"mo": "month_no"}).assign(month=g["mo"]), "y", {b: (f"h{b}", f"c{b}") for b in (0.0, 0.25, 0.5, 0.75)}, lags=12)
+        got = D.load_fit(g.rename(columns={"mo": "month_no"}).assign(month=g["mo"]), "y", drivers, lags=12)
         return [] if got is None else {k: float(got[k]) for k in ("billing_weight", "heating", "heating_se", "cooling", "cooling_se", "r2")} | {"months": got["n"]}
 
-    names = ["nation", "year", "mo", "y", *[f"{k}{b}" for b in (0.0, 0.25, 0.5, 0.75) for k in "hc"]]
-    return S.grouped(rows.select(*[F.col(f"`{c}`") for c in names]), ["nation"], "nation string, billing_weight double, heating double, heating_se double, cooling double, cooling_se double, r2 double, months long", fit, order=["year", "mo"])
+    names = ["nation", "year", "mo", "y", *[c for pair in drivers.values() for c in pair]]
+    return S.grouped(rows.select(names), ["nation"], "nation string, billing_weight double, heating double, heating_se double, cooling double, cooling_se double, r2 double, months long", fit, order=["year", "mo"])
 
 
 @query()
