@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thermocline.operators import relational as R
+from thermocline.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,7 +29,12 @@ def query(sql: str | None = None, name: str | None = None):
 
     def add(function: Callable[[Tables], DataFrame]):
         key = name or function.__name__
-        QUERIES[key] = lambda spark, folder: function(Tables(spark, folder))
+
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return function(Tables(spark, folder))
+
+        QUERIES[key] = run
         if sql:
             ORACLES[key] = sql
         return function

@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,6 +28,22 @@ def get_session(app: str = "thermocline", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once a context, so that they need no installation.
+
+    The driver serves the archive; nothing is read from its folder by others.
+    """
+    context = spark.sparkContext
+    if not getattr(context, "_thermocline_shipped", False):
+        top = Path(__file__).resolve().parent
+        archive = os.path.join(tempfile.mkdtemp(prefix="thermocline-code-"), "thermocline.zip")
+        with zipfile.ZipFile(archive, "w") as z:
+            for p in sorted(top.rglob("*.py")):
+                z.write(p, p.relative_to(top.parent))
+        context.addPyFile(archive)
+        context._thermocline_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
