@@ -6,31 +6,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from thermocline.llm import decontaminate, dedup, mixture, toxicity, training_order
-from thermocline.session import written
+from thermocline.session import ship, written
 
 
 def toxicity_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents whose toxicity score is 0.5 or more."""
+    ship(spark)
     return toxicity.accepted(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
+    ship(spark)
     return dedup.deduplicated(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that are contaminated by benchmark passages."""
+    ship(spark)
     return decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats or leaves out documents so that sources meet their target weights."""
+    ship(spark)
     return mixture.mixed(docs)
 
 
 def training_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Shards of token ids in training order, with the ids of their documents."""
+    ship(spark)
     return training_order.shards(docs, public_tokenizers.path(training_order.VOCABULARY))
 
 

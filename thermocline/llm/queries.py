@@ -3,6 +3,11 @@
 from __future__ import annotations
 
 import importlib
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from thermocline.session import ship
 
 #: Query name: module whose query(spark, sf_dir) it is.
 MODULES = {
@@ -19,8 +24,18 @@ MODULES = {
 }
 
 
-def queries() -> dict:
-    return {name: importlib.import_module(f"thermocline.llm.{module}").query for name, module in MODULES.items()}
+def _query(module: str) -> Callable[[SparkSession, str], DataFrame]:
+    found = importlib.import_module(f"thermocline.llm.{module}").query
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return found(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _query(module) for name, module in MODULES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
