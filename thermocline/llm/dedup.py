@@ -28,7 +28,7 @@ from thermocline.llm.token_counts import pieces
 from thermocline.session import written
 
 REGISTERS, BANDS, PER_BAND, SHINGLE, THRESHOLD = 256, 36, 7, 5, 0.8
-HUB_ROUNDS, BROADCAST_IDS, SLACK = 4, 1_000_000, 0.2
+HUB_ROUNDS, BROADCAST_IDS, SLACK, REMEMBERED = 3, 1_000_000, 0.12, 4_000_000
 WORD = re.compile(r"\w+")
 MULTIPLY = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 GOLDEN = 0x9E3779B97F4A7C15
@@ -183,18 +183,24 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
-        last: list = [None, None]
-
-        def shingles(text: str) -> np.ndarray:
-            return np.unique(shingle_hashes(word_hashes(words_of(text), known)))
+        sets: dict[bytes, np.ndarray] = {}
+        held = 0
+
+        def shingles(key: bytes, text: str) -> np.ndarray:
+            nonlocal held
+            found = sets.get(key)
+            if found is None:
+                found = np.unique(shingle_hashes(word_hashes(words_of(text), known)))
+                held += len(found)
+                if held > REMEMBERED:
+                    sets.clear()
+                    held = len(found)
+                sets[key] = found
+            return found
 
         for batch in batches:
-            found = []
-            for t, u in zip(batch.column("ta").to_pylist(), batch.column("tb").to_pylist(), strict=True):
-                if last[0] != t:
-                    last = [t, shingles(t)]
-                found.append(similarity(last[1], shingles(u)))
-            value = np.array(found, float)
+            a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
+            value = np.array([similarity(shingles(w, x), shingles(y, z)) for w, x, y, z in zip(a, ta, b, tb, strict=True)], float)
             keep = pa.array(value >= threshold)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(value).filter(keep)], ["a", "b", "similarity"])
 
