@@ -66,7 +66,7 @@ def weekly(spark: SparkSession, path: str) -> DataFrame:
 
 def year_grid(spark: SparkSession, path: str, name: str) -> DataFrame:
     """year, month, value, date of a grid of years x 12; the line after the last year is the missing value."""
-    whole = spark.read.option("encoding", "ISO-8859-1").option("wholetext", True).text(path)
+    whole = spark.read.option("encoding", "ISO-8859-1").text(path, wholetext=True)
     parts = whole.select(F.transform(F.filter(F.split("value", r"\n"), lambda x: F.trim(x) != ""), lambda x: F.split(F.trim(x), r"\s+")).alias("l"))
     sized = parts.select("l", F.col("l")[0][0].cast("int").alias("first"), F.col("l")[0][1].cast("int").alias("last"))
     sized = sized.select("l", "first", "last", (F.col("last") - F.col("first") + 1).alias("n"))

@@ -20,11 +20,11 @@ from thermocline.sources.text import SourceError
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 LINK = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 #: Columns of wholesale files by the beginning of their header, and those that must be there.
-WHOLESALE = [("price hub", "hub"), ("trade date", "trade_date"), ("delivery start", "delivery_start"), ("delivery end", "delivery_end"), ("high price", "high"), ("low price", "low"), ("wtd avg", "price"), ("daily volume", "volume_mwh"), ("number of trades", "trades"), ("number of co", "counterparties")]
+WHOLESALE = [("price hub", "hub"), ("trade date", "trade_date"), ("delivery start", "delivery_start"), ("delivery end", "delivery_end"), ("high price", "high"), ("low price", "low"), ("wtd avg", "price"), ("daily volume", "volume_mwh"), ("number of trades", "trades"), ("number of counterparties", "counterparties"), ("number of companies", "counterparties")]
 NEEDED = ("hub", "trade_date", "delivery_start", "price", "delivery_end")
 #: Measures of retail sheets by the beginning of their header.
 MEASURES = [("revenue", "revenue_k"), ("sales", "sales_mwh"), ("customers", "customers"), ("price", "price_cents")]
-SECTORS = ("residential", "commercial", "industrial", "transportation", "other", "total")
+KEYS = ["Year", "Month", "State", "Data Status"]
 
 
 def sheets(content: bytes) -> dict[str, list[list[object]]]:
@@ -71,23 +71,23 @@ def retail_rows(table: list[list[object]]) -> list[dict]:
         raise SourceError("a retail sheet has three header rows")
     width = max(map(len, table))
     wide = [[*r, *[None] * (width - len(r))] for r in table]
+    if [str(x or "").strip() for x in wide[2][:4]] != KEYS:
+        raise SourceError(f"a retail sheet begins with {', '.join(KEYS)}")
     sector, where = None, {}
-    for k in range(width):
-        said = str(wide[0][k] or "").strip().lower()
-        sector = next((s for s in SECTORS if said.startswith(s)), sector) if said else sector
-        measure = next((m for begin, m in MEASURES if str(wide[1][k] or "").strip().lower().startswith(begin)), None)
-        if sector and measure:
-            where.setdefault(sector, {})[measure] = k
-    if not where or any(len(m) != len(MEASURES) for m in where.values()):
-        raise SourceError("each sector needs four measures")
-    keys = {str(x or "").strip().lower(): k for k, x in enumerate(wide[2]) if x}
+    for k in range(4, width):
+        sector = str(wide[0][k]).strip().lower() if wide[0][k] else sector
+        measure = next((m for said, m in MEASURES if str(wide[1][k] or "").strip().lower() == said), None)
+        if sector:
+            where.setdefault(sector, {}).update({measure: k} if measure else {})
+    if lost := [s for s, m in where.items() if len(m) != len(MEASURES)]:
+        raise SourceError(f"sectors without four measures: {', '.join(lost)}")
     out = []
     for row in wide[3:]:
-        year, month = _number(row[keys["year"]]), _number(row[keys["month"]])
+        year, month = _number(row[0]), _number(row[1])
         if year is None or month is None:
             continue
         for name, at in where.items():
-            out.append({"state": str(row[keys["state"]]), "year": int(year), "month": int(month), "status": str(row[keys["data status"]]) if "data status" in keys else None, "sector": name} | {m: _number(row[k]) for m, k in at.items()})
+            out.append({"state": str(row[2]).strip(), "year": int(year), "month": int(month), "status": str(row[3]).strip(), "sector": name} | {m: _number(row[k]) for m, k in at.items()})
     return out
 
 
