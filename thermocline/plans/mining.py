@@ -15,7 +15,7 @@ from thermocline.plans.registry import MONTHLY, TOTAL, monthly, query, total
 
 RANKS = f"""WITH {MONTHLY}, {TOTAL}, b AS (SELECT nation, region, month(m.month)::BIGINT AS mo, m.v AS y, total.v AS x FROM monthly m JOIN total USING (month)),
 k AS (SELECT nation, mo, rank() OVER (PARTITION BY nation, mo ORDER BY x) + (count(*) OVER (PARTITION BY nation, mo, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY nation, mo ORDER BY y) + (count(*) OVER (PARTITION BY nation, mo, y) - 1) / 2.0 AS ry FROM b),
-field AS (SELECT nation, mo, count(*) AS n, round(corr(rx, ry), 8) AS r FROM k GROUP BY ALL),
+field AS (SELECT nation, mo, count(*) AS n, CASE WHEN isfinite(corr(rx, ry)) THEN round(corr(rx, ry), 8) ELSE 0 END AS r FROM k GROUP BY ALL),
 tested AS (SELECT *, round(1 - r * r, 8) AS p FROM field),
 q AS (SELECT *, row_number() OVER (ORDER BY p, nation, mo) AS place, count(*) OVER () AS m FROM tested),
 bh AS (SELECT *, least(1.0, min(p * m / place) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM q)"""
@@ -24,7 +24,7 @@ bh AS (SELECT *, least(1.0, min(p * m / place) OVER (ORDER BY place ROWS BETWEEN
 def field(t):
     """Rank correlation of each nation's months with the total, by calendar month; 1 - r^2 stands in for p."""
     both = monthly(t).select("nation", "month", F.col("v").alias("y")).join(F.broadcast(total(t).select("month", F.col("v").alias("x"))), "month").withColumn("mo", F.month("month").cast("long"))
-    return S.spearman(both, ["nation", "mo"], "x", "y").withColumn("r", F.round("r", 8)).withColumn("p", F.round(1 - F.col("r") * F.col("r"), 8))
+    return S.spearman(both, ["nation", "mo"], "x", "y").withColumn("r", F.round("r", 8) + F.lit(0.0)).withColumn("p", F.round(1 - F.col("r") * F.col("r"), 8))
 
 
 @query(RANKS + " SELECT nation, mo, n, round(r, 6) AS r FROM field")
@@ -267,10 +267,10 @@ def hindcast(t):
     return score.join(both.groupBy(*keys).agg(F.avg("member").alias("mean")), keys)
 
 
-@query(HIND + " SELECT nation, yr, method, round(mean, 8) AS mean, round(obs, 6) AS observed, round(crps, 9) AS crps FROM s")
+@query(HIND + " SELECT nation, yr, method, round(mean, 8) AS mean, round(obs, 6) AS observed, round(crps, 12) AS crps FROM s")
 def hindcasts(t):
     """M49 M36 T7"""
-    return hindcast(t).select("nation", "yr", "method", F.round("mean", 8).alias("mean"), F.round("obs", 6).alias("observed"), F.round("crps", 9).alias("crps"))
+    return hindcast(t).select("nation", "yr", "method", F.round("mean", 8).alias("mean"), F.round("obs", 6).alias("observed"), F.round("crps", 12).alias("crps"))
 
 
 @query(HIND + """, g AS (SELECT *, unnest(list_filter(['all', CASE WHEN z >= 10 THEN 'high' END, CASE WHEN z >= 11 THEN 'very_high' END, CASE WHEN z <= 9 THEN 'low' END, CASE WHEN abs(z - 10) < 1 THEN 'neutral' END], lambda x: x IS NOT NULL)) AS subset FROM s),
