@@ -7,10 +7,10 @@ first. Two texts share a register's winner with the probability Jaccard similari
 Registers are banded; texts that share a band's key are candidates and are verified exactly on their
 shingle sets.
 
-Candidates are never all pairs of a bucket. In a few rounds the members of a bucket that are not in
-its largest component are verified against a hub of that component, each text against the hub that it
-shares most bands with; members that are already joined need no pair of their own. What is left is
-exact: in buckets whose members are still in several components, each member outside the largest one
+Candidates are never all pairs of a bucket. In rounds the members of a bucket that are not in its
+largest component are verified against a hub of that component, each text against the hub that it
+shares most bands with; members that are already joined need no pair of their own. Rounds go on while
+a quarter of their pairs are links. What is left is exact: in buckets whose members are still in several components, each member outside the largest one
 is compared with the members of other components, by signature first and then by text.
 """
 
@@ -28,7 +28,7 @@ from thermocline.llm.token_counts import pieces
 from thermocline.session import written
 
 REGISTERS, BANDS, PER_BAND, SHINGLE, THRESHOLD = 256, 36, 7, 5, 0.8
-HUB_ROUNDS, BROADCAST_IDS, SLACK, REMEMBERED = 3, 1_000_000, 0.12, 4_000_000
+HUB_ROUNDS, PRODUCTIVE, BROADCAST_IDS, SLACK, REMEMBERED = 8, 0.25, 1_000_000, 0.12, 4_000_000
 WORD = re.compile(r"\w+")
 MULTIPLY = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 GOLDEN = 0x9E3779B97F4A7C15
@@ -249,7 +249,8 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
     texts = written(kept.groupBy("text_id").agg(F.first("text").alias("text")), "texts")
 
     links, tested, roots = None, None, involved.select(F.col("text_id").alias("node"), F.col("text_id").alias("root"))
-    for step in range(hub_rounds + 1):
+    step, last = 0, hub_rounds == 0
+    while True:
         marked = spots.join(roots.select(F.col("node").alias("text_id"), "root"), "text_id")
         hub = F.min(F.struct(F.xxhash64("text_id", F.lit(step)).alias("h"), "text_id"))
         parts = marked.groupBy("key", "root").agg(F.count("*").alias("n"), hub.alias("hub"))
@@ -257,7 +258,7 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
         split = parts.groupBy("key").agg(F.count("*").alias("parts"), main.alias("main")).where("parts > 1").select("key", F.col("main.root").alias("main"), F.col("main.hub.text_id").alias("hub"))
         left = marked.join(split, "key")
         outside = left.where(F.col("root") != F.col("main"))
-        if step < hub_rounds:
+        if not last:
             pairs = outside.groupBy("text_id", "hub").count().groupBy("text_id").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
             pairs = pairs.select(F.least("text_id", "hub").alias("a"), F.greatest("text_id", "hub").alias("b")).distinct()
         else:
@@ -267,15 +268,17 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         signatures = banded.where(F.col("signature").isNotNull()).select("text_id", "signature").join(involved, "text_id", "left_semi").groupBy("text_id").agg(F.first("signature").alias("signature"))
-        pairs = written(pairs if step < hub_rounds else alike(pairs, signatures, threshold - SLACK), "pairs")
-        if step < hub_rounds and not pairs.limit(1).count():
-            break
+        pairs = written(alike(pairs, signatures, threshold - SLACK) if last else pairs, "pairs")
         found = written(verified(pairs, texts, threshold), "links")
-        links = found if links is None else links.union(found)
-        tested = pairs if tested is None else tested.union(pairs)
-        if found.limit(1).count():
-            joined = components(links)
-            roots = written(involved.join(joined, F.col("text_id") == F.col("node"), "left").select(F.col("text_id").alias("node"), F.coalesce("root", "text_id").alias("root")), "all-roots")
+        links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
+        asked, joined = pairs.count(), found.count()
+        if joined:
+            tree = components(links)
+            roots = written(involved.join(tree, F.col("text_id") == F.col("node"), "left").select(F.col("text_id").alias("node"), F.coalesce("root", "text_id").alias("root")), "all-roots")
+        if last or not asked:
+            break
+        step += 1
+        last = step >= hub_rounds or joined < PRODUCTIVE * asked
 
     least = rows.groupBy("text_id").agg(F.min("doc_id").alias("text_class"))
     named = least.join(roots.select(F.col("node").alias("text_id"), "root"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
