@@ -58,8 +58,10 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("hub_rounds", [3, 0])
-def test_groups_equal_all_pairs(make, hub_rounds):
+@pytest.mark.parametrize("hub_rounds, small, tile", [(8, 24, 400), (0, 24, 400), (0, 1, 4)])
+def test_groups_equal_all_pairs(make, monkeypatch, hub_rounds, small, tile):
+    monkeypatch.setattr(dedup, "SMALL", small)
+    monkeypatch.setattr(dedup, "TILE", tile)
     rows = corpus(hub_rounds) + [(900, None), (901, ""), (901, ""), (902, "!!!"), (None, "lonely words here"), (903, "lonely words here")]
     got = dedup.near_duplicates(make(rows), hub_rounds=hub_rounds).collect()
     assert sorted(((r["doc_id"], r["group_id"]) for r in got), key=repr) == plain_groups(rows)

@@ -10,8 +10,10 @@ shingle sets.
 Candidates are never all pairs of a bucket. In rounds the members of a bucket that are not in its
 largest component are verified against a hub of that component, each text against the hub that it
 shares most bands with; members that are already joined need no pair of their own. Rounds go on while
-a quarter of their pairs are links. What is left is exact: in buckets whose members are still in several components, each member outside the largest one
-is compared with the members of other components, by signature first and then by text.
+a quarter of their pairs are links. What is left is exact. In small buckets whose members are still in several components, each member outside the largest
+one is compared with those of other components, by signature first and then by text. Larger ones are
+cut into tiles; each pair of tiles is one bounded group, which counts all shared shingles at once and
+gives only the links that join components, so no list of pairs is ever made.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from thermocline.llm.token_counts import pieces
 from thermocline.session import written
 
 REGISTERS, BANDS, PER_BAND, SHINGLE, THRESHOLD = 256, 36, 7, 5, 0.8
-HUB_ROUNDS, PRODUCTIVE, BROADCAST_IDS, SLACK, REMEMBERED = 8, 0.25, 1_000_000, 0.12, 4_000_000
+HUB_ROUNDS, PRODUCTIVE, BROADCAST_IDS, SLACK, REMEMBERED, SMALL, TILE = 8, 0.25, 1_000_000, 0.12, 4_000_000, 24, 400
 WORD = re.compile(r"\w+")
 MULTIPLY = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 GOLDEN = 0x9E3779B97F4A7C15
@@ -207,6 +209,60 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     return both.mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def block_links(texts: list[str], roots: list, threshold: float) -> list[tuple[int, int, float]]:
+    """Links (i, j, similarity) between texts of different roots that join them: no more than texts."""
+    known: dict[str, int] = {}
+    sets = [np.unique(shingle_hashes(word_hashes(words_of(t), known))) for t in texts]
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat := np.concatenate(sets), kind="stable")
+    owner, flat = owner[order], flat[order]
+    edges = np.flatnonzero(np.diff(flat)) + 1
+    shared = np.zeros((len(sets), len(sets)), np.int32)
+    for own in np.split(owner, edges):
+        if len(own) > 1:
+            shared[np.ix_(own, own)] += 1
+    value = shared / np.maximum(sizes[:, None] + sizes[None] - shared, 1)
+    names, start = np.unique(np.array(roots, object), return_inverse=True)
+    parent = list(range(len(names)))
+
+    def top(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(np.triu(value >= threshold, 1)), strict=True):
+        a, b = top(int(start[i])), top(int(start[j]))
+        if a != b:
+            parent[a] = b
+            out.append((int(i), int(j), float(value[i, j])))
+    return out
+
+
+def tiled_links(members: DataFrame, texts: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
+    """The links that join components within buckets: members are key, text_id, root, n (of the bucket).
+
+    A bucket of n members is dealt into tiles of about `tile`; a text goes into the group of its tile
+    with each tile, so a group has at most about two tiles.
+    """
+    tiles = F.ceil(F.col("n") / tile).cast("int")
+    own = members.withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("text_id"), F.col("tiles")).cast("int"))
+    dealt = own.select("key", "text_id", "root", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
+    dealt = dealt.select("key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "text_id", "root").join(texts, "text_id")
+
+    def run(group: pa.Table) -> pa.Table:
+        ids, roots = group.column("text_id").to_pylist(), group.column("root").to_pylist()
+        order = sorted(range(len(ids)), key=lambda k: ids[k])
+        whole = group.column("text").to_pylist()
+        found = block_links([whole[k] for k in order], [roots[k] for k in order], threshold) if len(set(roots)) > 1 else []
+        a, b = ([ids[order[x[k]]] for x in found] for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array([x[2] for x in found], pa.float64())})
+
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary, similarity double")
+
+
 def components(links: DataFrame, most: int = 60) -> DataFrame:
     """node, root (its component's least node) of the nodes of the links (a, b).
 
@@ -255,30 +311,37 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
         hub = F.min(F.struct(F.xxhash64("text_id", F.lit(step)).alias("h"), "text_id"))
         parts = marked.groupBy("key", "root").agg(F.count("*").alias("n"), hub.alias("hub"))
         main = F.max_by(F.struct("root", "hub"), F.struct("n", F.xxhash64("root", F.lit(step))))
-        split = parts.groupBy("key").agg(F.count("*").alias("parts"), main.alias("main")).where("parts > 1").select("key", F.col("main.root").alias("main"), F.col("main.hub.text_id").alias("hub"))
+        split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), main.alias("main")).where("parts > 1").select("key", "n", F.col("main.root").alias("main"), F.col("main.hub.text_id").alias("hub"))
         left = marked.join(split, "key")
+        if last:
+            left = written(left, "left")
         outside = left.where(F.col("root") != F.col("main"))
         if not last:
             pairs = outside.groupBy("text_id", "hub").count().groupBy("text_id").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
             pairs = pairs.select(F.least("text_id", "hub").alias("a"), F.greatest("text_id", "hub").alias("b")).distinct()
         else:
-            other = left.select("key", F.col("text_id").alias("y"), F.col("root").alias("ry"))
-            pairs = outside.select("key", F.col("text_id").alias("x"), F.col("root").alias("rx")).join(other, "key").where(F.col("rx") != F.col("ry"))
+            other = left.where(F.col("n") <= SMALL).select("key", F.col("text_id").alias("y"), F.col("root").alias("ry"))
+            pairs = outside.where(F.col("n") <= SMALL).select("key", F.col("text_id").alias("x"), F.col("root").alias("rx")).join(other, "key").where(F.col("rx") != F.col("ry"))
             pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        signatures = banded.where(F.col("signature").isNotNull()).select("text_id", "signature").join(involved, "text_id", "left_semi").groupBy("text_id").agg(F.first("signature").alias("signature"))
-        pairs = written(alike(pairs, signatures, threshold - SLACK) if last else pairs, "pairs")
-        found = written(verified(pairs, texts, threshold), "links")
+        if last:
+            signatures = banded.where(F.col("signature").isNotNull()).select("text_id", "signature").join(involved, "text_id", "left_semi").groupBy("text_id").agg(F.first("signature").alias("signature"))
+            pairs = alike(pairs, signatures, threshold - SLACK)
+        pairs = written(pairs, "pairs")
+        found = verified(pairs, texts, threshold)
+        if last:
+            found = found.union(tiled_links(left.where(F.col("n") > SMALL).select("key", "text_id", "root", "n"), texts, threshold, TILE))
+        found = written(found, "links")
         links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
         asked, joined = pairs.count(), found.count()
         if joined:
             tree = components(links)
             roots = written(involved.join(tree, F.col("text_id") == F.col("node"), "left").select(F.col("text_id").alias("node"), F.coalesce("root", "text_id").alias("root")), "all-roots")
-        if last or not asked:
+        if last:
             break
         step += 1
-        last = step >= hub_rounds or joined < PRODUCTIVE * asked
+        last = step >= hub_rounds or joined < PRODUCTIVE * asked or not asked
 
     least = rows.groupBy("text_id").agg(F.min("doc_id").alias("text_class"))
     named = least.join(roots.select(F.col("node").alias("text_id"), "root"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
