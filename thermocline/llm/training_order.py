@@ -28,9 +28,9 @@ from thermocline.llm.token_counts import pieces, split_words
 from thermocline.session import written
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-LENGTH, SLOTS, SEED, ROUNDS, HEAD, PARTITION = 512, 256, 8, 6, 16, 32 << 20
+LENGTH, SLOTS, SEED, ROUNDS, HEAD, PARTITION = 512, 256, 8, 6, 16, 16 << 20
 NULL = -(1 << 63)
-MOST_WORDS = 300_000
+MOST_WORDS = 150_000
 
 
 class Permutation:
@@ -111,7 +111,7 @@ def tokenised(documents: DataFrame, path: str, doc: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, part_id, begun = speller(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for part, texts in pieces(batch, "text"):
+            for part, texts in pieces(batch, "text", 500_000):
                 ids, n = own.ids(texts)
                 blocks = np.maximum(1, -(-n // length))
                 first = begun + np.cumsum(blocks) - blocks
