@@ -11,7 +11,6 @@ bounded sample; targets, negations and reporting verbs are closed lists.
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
