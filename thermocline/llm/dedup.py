@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermocline.llm.token_counts import pieces
-from thermocline.session import written
+from thermocline.session import forget, written
 
 REGISTERS, BANDS, PER_BAND, SHINGLE, THRESHOLD = 256, 36, 7, 5, 0.8
-HUB_ROUNDS, PRODUCTIVE, BROADCAST_IDS, SLACK, REMEMBERED, SMALL, TILE = 8, 0.25, 1_000_000, 0.12, 4_000_000, 24, 400
+HUB_ROUNDS, PRODUCTIVE, BROADCAST_IDS, SLACK, REMEMBERED, SMALL, TILE = 8, 0.25, 1_000_000, 0.12, 2_000_000, 24, 400
 WORD = re.compile(r"\w+")
 MULTIPLY = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 GOLDEN = 0x9E3779B97F4A7C15
@@ -51,7 +51,7 @@ def word_hashes(words: list[str], known: dict[str, int]) -> np.ndarray:
     import xxhash
 
     out = np.empty(len(words), np.uint64)
-    if len(known) > 400_000:
+    if len(known) > 150_000:
         known.clear()
     for k, w in enumerate(words):
         h = known.get(w)
@@ -279,8 +279,10 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         hooked = best.groupBy("was").agg(F.min("root").alias("top"))  # what any member has seen, its root sees
         new = written(best.join(hooked, "was").select(F.col("a").alias("node"), F.least("root", "top").alias("root"), "was"), "roots")
         settled = not new.where(F.col("root") != F.col("was")).limit(1).count()
+        forget(state)
         state = new.select("node", "root")
         if settled:
+            forget(edges)
             return state
     raise RuntimeError("components did not settle")
 
@@ -294,15 +296,21 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
     copies and are near nothing else; null ids are left out of the least ids; rows repeated in full
     are alike in all columns; empty tables give no rows; other columns are not read.
     """
+    scratch: list[DataFrame] = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        scratch.append(written(df, name))
+        return scratch[-1]
+
     source = classes(documents, doc, text)
     rows = written(source.select("doc_id", "text_id"), "rows")
-    banded = written(buckets(source, weight), "bands")
+    banded = keep(buckets(source, weight), "bands")
     shared = banded.groupBy("key", "text_id").agg(F.lit(1).alias("x")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    spots = written(banded.select("key", "text_id").distinct().join(shared, "key"), "spots")
+    spots = keep(banded.select("key", "text_id").distinct().join(shared, "key"), "spots")
     involved = spots.select("text_id").distinct()
     few = involved.count() <= BROADCAST_IDS
     kept = source.select("text_id", "text").join(F.broadcast(involved) if few else involved, "text_id", "left_semi")
-    texts = written(kept.groupBy("text_id").agg(F.first("text").alias("text")), "texts")
+    texts = keep(kept.groupBy("text_id").agg(F.first("text").alias("text")), "texts")
 
     links, tested, roots = None, None, involved.select(F.col("text_id").alias("node"), F.col("text_id").alias("root"))
     step, last = 0, hub_rounds == 0
@@ -314,7 +322,7 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
         split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), main.alias("main")).where("parts > 1").select("key", "n", F.col("main.root").alias("main"), F.col("main.hub.text_id").alias("hub"))
         left = marked.join(split, "key")
         if last:
-            left = written(left, "left")
+            left = keep(left, "left")
         outside = left.where(F.col("root") != F.col("main"))
         if not last:
             pairs = outside.groupBy("text_id", "hub").count().groupBy("text_id").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
@@ -328,16 +336,17 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
         if last:
             signatures = banded.where(F.col("signature").isNotNull()).select("text_id", "signature").join(involved, "text_id", "left_semi").groupBy("text_id").agg(F.first("signature").alias("signature"))
             pairs = alike(pairs, signatures, threshold - SLACK)
-        pairs = written(pairs, "pairs")
+        pairs = keep(pairs, "pairs")
         found = verified(pairs, texts, threshold)
         if last:
             found = found.union(tiled_links(left.where(F.col("n") > SMALL).select("key", "text_id", "root", "n"), texts, threshold, TILE))
-        found = written(found, "links")
+        found = keep(found, "links")
         links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
         asked, joined = pairs.count(), found.count()
         if joined:
             tree = components(links)
-            roots = written(involved.join(tree, F.col("text_id") == F.col("node"), "left").select(F.col("text_id").alias("node"), F.coalesce("root", "text_id").alias("root")), "all-roots")
+            scratch.append(tree)
+            roots = keep(involved.join(tree, F.col("text_id") == F.col("node"), "left").select(F.col("text_id").alias("node"), F.coalesce("root", "text_id").alias("root")), "all-roots")
         if last:
             break
         step += 1
@@ -346,6 +355,9 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
     least = rows.groupBy("text_id").agg(F.min("doc_id").alias("text_class"))
     named = least.join(roots.select(F.col("node").alias("text_id"), "root"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
     named = named.join(named.groupBy("root").agg(F.min("text_class").alias("group_id")), "root").select("text_id", "text_class", "group_id")
+    named = written(named, "groups")
+    for table in scratch:
+        forget(table)
     return rows.join(named, "text_id").select("doc_id", "text_class", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("is_kept"))
 
 
