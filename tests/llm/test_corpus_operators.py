@@ -81,6 +81,24 @@ def test_signatures_estimate_probability_jaccard():
     assert np.mean(got) == pytest.approx(want, abs=0.02)
 
 
+def long_tokens(pairs=40, length=128):
+    """Pairs of texts with one word changed beside a long token: set Jaccard 0.83 or more, by length of shingles about 0.5."""
+    rng = random.Random(31)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    rows = []
+    for k in range(pairs):
+        words = [word(5) for _ in range(64)]
+        words[30] = word(length)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join([*words[:31], word(5), *words[32:]]))]
+    return rows
+
+
+def test_dedup_finds_near_copies_that_differ_beside_long_tokens(make):
+    rows = long_tokens()
+    got = sorted(((r["doc_id"], r["group_id"]) for r in dedup.near_duplicates(make(rows)).collect()), key=repr)
+    assert got == plain_groups(rows) and len({g for _, g in got}) == 40
+
+
 def test_dedup_keeps_one_row_of_each_group_with_all_columns(make):
     rows = corpus(7, 60) + [(900, "same row twice"), (900, "same row twice")]
     docs = make(rows)

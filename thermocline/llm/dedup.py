@@ -1,7 +1,8 @@
 """Near-duplicates by ProbMinHash, banding and verification.
 
-Each distinct text is a set of word shingles with weights (by default the shingle's length in
-characters). ProbMinHash: every shingle is a Poisson process whose rate is its weight; its arrivals
+Each distinct text is a set of word shingles with weights (by default one each, as in the
+verification; a shingle's length or count on request, which finds only what is similar by that weight).
+ProbMinHash: every shingle is a Poisson process whose rate is its weight; its arrivals
 fall on random registers, and a process ends once its next arrival is later than every register's
 first. Two texts share a register's winner with the probability Jaccard similarity of their weights.
 Registers are banded; texts that share a band's key are candidates and are verified exactly on their
@@ -140,7 +141,7 @@ def classes(documents: DataFrame, doc: str, text: str) -> DataFrame:
     return documents.select(F.col(doc).alias("doc_id"), F.unhex(F.substring(F.sha2(whole, 256), 1, 32)).alias("text_id"), whole.alias("text"))
 
 
-def buckets(texts: DataFrame, weight: str = "length") -> DataFrame:
+def buckets(texts: DataFrame, weight: str = "uniform") -> DataFrame:
     """key, text_id, signature for each band of each text that has a word.
 
     signature (a byte of each register's winner) stands in a text's first row only.
@@ -287,7 +288,7 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weight: str = "length", hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weight: str = "uniform", hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """One row per row of documents: doc_id, text_class, group_id, is_kept.
 
     text_class is the least id among equal texts; group_id the least id of the group of near copies
