@@ -99,6 +99,17 @@ def test_dedup_finds_near_copies_that_differ_beside_long_tokens(make):
     assert got == plain_groups(rows) and len({g for _, g in got}) == 40
 
 
+def test_dedup_verifies_every_pair_that_shares_a_band(make):
+    rows = long_tokens(60)
+    source = dedup.classes(make(rows), "doc_id", "text")
+    ids, keys = {r["text_id"]: r["doc_id"] for r in source.collect()}, {}
+    for r in dedup.buckets(source, "length").collect():
+        keys.setdefault(ids[r["text_id"]], set()).add(r["key"])
+    met = {d for d in range(0, 120, 2) if keys[d] & keys[d + 1]}
+    got = {r["doc_id"]: r["group_id"] for r in dedup.near_duplicates(make(rows), weight="length", hub_rounds=0).collect()}
+    assert met and {d for d in range(0, 120, 2) if got[d + 1] == d} == met
+
+
 def test_dedup_keeps_one_row_of_each_group_with_all_columns(make):
     rows = corpus(7, 60) + [(900, "same row twice"), (900, "same row twice")]
     docs = make(rows)

@@ -11,8 +11,10 @@ shingle sets.
 Candidates are never all pairs of a bucket. In rounds the members of a bucket that are not in its
 largest component are verified against a hub of that component, each text against the hub that it
 shares most bands with; members that are already joined need no pair of their own. Rounds go on while
-a quarter of their pairs are links. What is left is exact. In small buckets whose members are still in several components, each member outside the largest
-one is compared with those of other components, by signature first and then by text. Larger ones are
+a quarter of their pairs are links. What is left is exact. In small buckets whose members are still in
+several components, each member outside the largest
+one is compared with those of other components by text, unless their numbers of shingles alone
+keep the similarity under the threshold. Larger ones are
 cut into tiles; each pair of tiles is one bounded group, which counts all shared shingles at once and
 gives only the links that join components, so no list of pairs is ever made.
 """
@@ -31,7 +33,7 @@ from thermocline.llm.token_counts import pieces
 from thermocline.session import forget, written
 
 REGISTERS, BANDS, PER_BAND, SHINGLE, THRESHOLD = 256, 36, 7, 5, 0.8
-HUB_ROUNDS, PRODUCTIVE, BROADCAST_IDS, SLACK, REMEMBERED, SMALL, TILE = 8, 0.25, 1_000_000, 0.12, 2_000_000, 24, 400
+HUB_ROUNDS, PRODUCTIVE, BROADCAST_IDS, REMEMBERED, SMALL, TILE = 8, 0.25, 1_000_000, 2_000_000, 24, 400
 WORD = re.compile(r"\w+")
 MULTIPLY = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 GOLDEN = 0x9E3779B97F4A7C15
@@ -142,10 +144,7 @@ def classes(documents: DataFrame, doc: str, text: str) -> DataFrame:
 
 
 def buckets(texts: DataFrame, weight: str = "uniform") -> DataFrame:
-    """key, text_id, signature for each band of each text that has a word.
-
-    signature (a byte of each register's winner) stands in a text's first row only.
-    """
+    """key, text_id, size (distinct shingles of the text) for each band of each text that has a word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -157,25 +156,10 @@ def buckets(texts: DataFrame, weight: str = "uniform") -> DataFrame:
                 signatures = sketch(np.concatenate([s for s, _ in sets]), np.concatenate([w for _, w in sets]), np.repeat(np.arange(len(sets)), sizes), len(sets))
                 use = np.flatnonzero(sizes)
                 keys = band_keys(signatures[use])
-                said = [None] * (len(use) * BANDS)
-                said[::BANDS] = [x.tobytes() for x in (mixed(signatures[use]) >> np.uint64(56)).astype(np.uint8)]
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("text_id").take(pa.array(np.repeat(use, BANDS))), pa.array(said, pa.binary())], ["key", "text_id", "signature"])
-
-    return texts.select("text_id", "text").mapInArrow(run, "key long, text_id binary, signature binary")
+                size = pa.array(np.repeat(sizes[use], BANDS), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), part.column("text_id").take(pa.array(np.repeat(use, BANDS))), size], ["key", "text_id", "size"])
 
-
-def alike(pairs: DataFrame, signatures: DataFrame, least: float) -> DataFrame:
-    """Of the pairs (a, b) those whose signatures agree in a share of registers of at least `least`."""
-    one = signatures.select(F.col("text_id").alias("a"), F.col("signature").alias("sa"))
-    two = signatures.select(F.col("text_id").alias("b"), F.col("signature").alias("sb"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sa", "sb"))
-            keep = pa.array((x == y).mean(1) >= least)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], ["a", "b"])
-
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return texts.select("text_id", "text").mapInArrow(run, "key long, text_id binary, size int")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -307,7 +291,7 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
     rows = written(source.select("doc_id", "text_id"), "rows")
     banded = keep(buckets(source, weight), "bands")
     shared = banded.groupBy("key", "text_id").agg(F.lit(1).alias("x")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    spots = keep(banded.select("key", "text_id").distinct().join(shared, "key"), "spots")
+    spots = keep(banded.distinct().join(shared, "key"), "spots")
     involved = spots.select("text_id").distinct()
     few = involved.count() <= BROADCAST_IDS
     kept = source.select("text_id", "text").join(F.broadcast(involved) if few else involved, "text_id", "left_semi")
@@ -329,14 +313,12 @@ def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text
             pairs = outside.groupBy("text_id", "hub").count().groupBy("text_id").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
             pairs = pairs.select(F.least("text_id", "hub").alias("a"), F.greatest("text_id", "hub").alias("b")).distinct()
         else:
-            other = left.where(F.col("n") <= SMALL).select("key", F.col("text_id").alias("y"), F.col("root").alias("ry"))
-            pairs = outside.where(F.col("n") <= SMALL).select("key", F.col("text_id").alias("x"), F.col("root").alias("rx")).join(other, "key").where(F.col("rx") != F.col("ry"))
+            other = left.where(F.col("n") <= SMALL).select("key", F.col("text_id").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"))
+            pairs = outside.where(F.col("n") <= SMALL).select("key", F.col("text_id").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx")).join(other, "key").where(F.col("rx") != F.col("ry"))
+            pairs = pairs.where(F.least("sx", "sy") >= F.greatest("sx", "sy") * threshold - 1e-6)  # shared / either is at most least / greatest
             pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        if last:
-            signatures = banded.where(F.col("signature").isNotNull()).select("text_id", "signature").join(involved, "text_id", "left_semi").groupBy("text_id").agg(F.first("signature").alias("signature"))
-            pairs = alike(pairs, signatures, threshold - SLACK)
         pairs = keep(pairs, "pairs")
         found = verified(pairs, texts, threshold)
         if last:
