@@ -89,6 +89,58 @@ def test_walker_reads_other_box_forms():
     assert [k for k, _, _ in media.boxes(memoryview(wide), 0, len(wide))] == [b"ftyp", b"moov", b"mdat"]
 
 
+WRAPPED = {
+    "MIT": """Copyright (c) 2020 A. Person
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "BSD": """All code here is by A. Person
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+""",
+    "GPL-3.0": """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details.
+""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+""",
+}
+
+
+def test_licences_of_wrapped_texts_and_comments(make):
+    ids = {"MIT": "mit.grant,mit.notice", "BSD": "bsd.grant", "GPL-3.0": "gpl.free,gpl.hope", "Apache-2.0": "apache2.header,apache2.use,apache2.copy,asis"}
+    rows, want = [], []
+    for mark in ("", "# ", "// ", " * ", "; ", "\r"):
+        for name, text in WRAPPED.items():
+            rows.append((len(rows), text.replace("\n", "\r\n") if mark == "\r" else "".join(mark + x + "\n" for x in text.splitlines())))
+            want.append((ids[name], name))
+    rows += [(len(rows), "All\n\nrights reserved"), (len(rows) + 1, "All. rights reserved"), (len(rows) + 2, "All rights\nreserved ones")]
+    want += [("", "")] * 3
+    got = sorted(licenses.scan(make(rows)).collect(), key=lambda r: r["doc_id"])
+    assert [(r["sentence_ids"], r["licenses"]) for r in got] == want
+
+
 def test_licences_of_planted_lines(make, spark, sf):
     text = "Intro text.\nLicensed under the   Apache License, Version 2.0.\nMore. All rights reserved.\nThe end"
     got = licenses.scan(make([(7, text)])).first()

@@ -2,6 +2,8 @@
 
 Texts are cut into sentences, sentences are normalised and looked up in a small table of known
 licence sentences, and the sequence of identifiers found in a text is matched against ordered rules.
+A known sentence may also stand over several lines or over colons and semicolons: any run of pieces
+without a full stop or an empty line between them is looked up, from each piece that may begin one.
 """
 
 from __future__ import annotations
@@ -45,6 +47,11 @@ RULES = [
     ("proprietary", ("reserved",)),
 ]
 ENDS = r"[.!?;:]+(?=[\s]|$)|\n+"
+#: Marks of a piece that goes on from the one before, over a single line break or a colon or semicolon; signs of comments before its first word are dropped.
+GOES_ON = "\u0001"
+TAIL = r"[^A-Za-z0-9\n.!?;:]*+"
+BREAK = rf"([A-Za-z0-9]{TAIL})\n[^A-Za-z0-9\n]*+(?=[A-Za-z0-9])"
+COLON = rf"([A-Za-z0-9]{TAIL}[;:]++)(?=\s)(?:{TAIL}\n[^A-Za-z0-9\n]*+|{TAIL})(?=[A-Za-z0-9])"
 LICENCES = list(dict.fromkeys(name for name, _ in RULES))
 
 
@@ -57,24 +64,36 @@ def scan(documents: DataFrame, doc: str = "doc_id", text: str = "text", sentence
 
     sentence_ids are the identifiers in text order, licenses the licences of the rules whose
     identifiers follow one another there (in the order of the rules; a shorter rule of the same
-    licence adds nothing), spans the sentence numbers and identifiers. A line break ends a sentence;
+    licence adds nothing), spans the sentence numbers and identifiers. A line break ends a sentence in
+    n_sentences and spans, and known sentences are found on a line as well as over single breaks and
+    signs of comments (its number is then that of its first piece);
     with join_lines single breaks inside a sentence are blanks. Null and empty texts have no sentence
-    and no licence; repeated rows keep a row each; the known sentences are a fixed table, so their
-    broadcast is bounded; other columns are not read.
+    and no licence; repeated rows keep a row each; the known sentences are a fixed table, so they
+    stand in the plan; other columns are not read.
     """
     sentences, rules = sentences or SENTENCES, rules or RULES
-    spark = documents.sparkSession
-    known = spark.createDataFrame([(k, v) for k, v in sentences.items()], "id string, s string")
-    longest = max(map(len, sentences.values()))
-    raw = F.coalesce(F.col(text), F.lit(""))
+    longest, most = max(map(len, sentences.values())), max(len(x.split()) for x in sentences.values())
+    known = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(v).alias("s")) for k, v in sorted(sentences.items(), key=lambda x: len(x[1]))])
+    begins = "^(" + "|".join(sorted({v.split()[0] for v in sentences.values()})) + r")\b"
+    raw = F.translate(F.coalesce(F.col(text), F.lit("")), GOES_ON, "_")
     raw = F.regexp_replace(raw, r"(?<![.!?;:\n])\n(?!\n)", " ") if join_lines else raw
+    raw = F.regexp_replace(F.regexp_replace(raw, COLON, f"$1\n{GOES_ON}"), BREAK, f"$1\n{GOES_ON}")
     cut = F.filter(F.split(raw, ENDS, -1), lambda x: x.rlike("[A-Za-z0-9]"))
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc_id"), cut.alias("cut"))
-    each = rows.select("row", "doc_id", F.size("cut").cast("long").alias("n_sentences"), F.posexplode_outer("cut").alias("pos", "raw"))
-    each = each.withColumn("s", normalised(F.col("raw"))).drop("raw")
-    each = each.join(F.broadcast(known), (each["s"] == known["s"]) & (F.length(each["s"]) <= longest), "left").where(F.col("id").isNotNull() | (F.coalesce("pos", F.lit(0)) == 0))
-    hit = F.when(F.col("id").isNotNull(), F.struct(F.col("pos").cast("long").alias("pos"), "id"))
-    got = each.groupBy("row", "doc_id").agg(F.max("n_sentences").alias("n_sentences"), F.array_sort(F.collect_list(hit)).alias("spans"))
+    got = documents.select(F.col(doc).alias("doc_id"), F.transform(cut, lambda x: F.struct(x.startswith(GOES_ON).alias("on"), normalised(x).alias("s"))).alias("cut"))
+    got = got.withColumn("said", F.transform("cut", lambda x: F.concat(F.when(x["on"], "").otherwise("\n"), x["s"])))
+    first = F.filter(F.transform("cut", lambda x, i: F.when(x["s"].rlike(begins), i)), lambda i: i.isNotNull())
+
+    def run(i: Column) -> Column:
+        """The pieces from i on that go on from one another, as far as a known sentence can reach, a tab after each."""
+        whole = F.array_join(F.slice("said", i + 1, most), "\t")
+        return F.concat(F.substring(F.substring_index(F.ltrim(whole, F.lit("\n")), "\t\n", 1), 1, longest + 1), F.lit("\t"))
+
+    def hits(at: Column) -> Column:
+        met = F.filter(known, lambda k: F.translate(at["run"], "\t", " ").startswith(F.concat(k["s"], F.lit(" "))) & (F.substring(at["run"], F.length(k["s"]) + 1, F.lit(1)) == "\t"))
+        return F.transform(met, lambda k: F.struct(at["pos"].cast("long").alias("pos"), k["id"].alias("id")))
+
+    found = F.flatten(F.transform(F.transform(first, lambda i: F.struct(i.alias("pos"), run(i).alias("run"))), hits))
+    got = got.select("doc_id", F.size("cut").cast("long").alias("n_sentences"), found.alias("spans"))
     ids = F.array_join(F.transform("spans", lambda x: x["id"]), ",")
     got = got.withColumn("sentence_ids", ids)
     line = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
