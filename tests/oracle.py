@@ -27,4 +27,4 @@ def same_rows(frame, folder: str, sql: str) -> None:
 
 
 def _number(x):
-    return float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) or type(x).__module__ == "numpy" and not isinstance(x, str) else x
+    return float(x) + 0.0 if isinstance(x, (int, float)) and not isinstance(x, bool) or type(x).__module__ == "numpy" and not isinstance(x, str) else x

@@ -15,8 +15,8 @@ from thermocline.plans.registry import MONTHLY, TOTAL, monthly, query, total
 
 RANKS = f"""WITH {MONTHLY}, {TOTAL}, b AS (SELECT nation, region, month(m.month)::BIGINT AS mo, m.v AS y, total.v AS x FROM monthly m JOIN total USING (month)),
 k AS (SELECT nation, mo, rank() OVER (PARTITION BY nation, mo ORDER BY x) + (count(*) OVER (PARTITION BY nation, mo, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY nation, mo ORDER BY y) + (count(*) OVER (PARTITION BY nation, mo, y) - 1) / 2.0 AS ry FROM b),
-field AS (SELECT nation, mo, count(*) AS n, CASE WHEN isfinite(corr(rx, ry)) THEN round(corr(rx, ry), 8) ELSE 0 END AS r FROM k GROUP BY ALL),
-tested AS (SELECT *, round(1 - r * r, 8) AS p FROM field),
+field AS (SELECT nation, mo, count(*) AS n, CASE WHEN isfinite(corr(rx, ry)) THEN round(corr(rx, ry), 8) + 0.0 ELSE 0.0 END AS r FROM k GROUP BY ALL),
+tested AS (SELECT *, round(1 - r * r, 8) + 0.0 AS p FROM field),
 q AS (SELECT *, row_number() OVER (ORDER BY p, nation, mo) AS place, count(*) OVER () AS m FROM tested),
 bh AS (SELECT *, least(1.0, min(p * m / place) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS q FROM q)"""
 
@@ -27,10 +27,10 @@ def field(t):
     return S.spearman(both, ["nation", "mo"], "x", "y").withColumn("r", F.round("r", 8) + F.lit(0.0)).withColumn("p", F.round(1 - F.col("r") * F.col("r"), 8))
 
 
-@query(RANKS + " SELECT nation, mo, n, round(r, 6) AS r FROM field")
+@query(RANKS + " SELECT nation, mo, n, round(r, 6) + 0.0 AS r FROM field")
 def spearman(t):
     """W7 M16"""
-    return field(t).select("nation", "mo", "n", F.round("r", 6).alias("r"))
+    return field(t).select("nation", "mo", "n", (F.round("r", 6) + F.lit(0.0)).alias("r"))
 
 
 @query(RANKS + " SELECT nation, mo, round(p, 6) AS p, round(q, 6) AS q, q <= 0.5 AS significant FROM bh")
@@ -71,13 +71,13 @@ def grouped_corr(t):
 
 BASKETS = f"""WITH {MONTHLY}, v AS (SELECT region, month, sum(CAST(round(v * 100) AS BIGINT)) AS v FROM monthly GROUP BY ALL), t AS (SELECT region, quantile_cont(v, 1/3::DOUBLE) AS lo, quantile_cont(v, 2/3::DOUBLE) AS hi FROM v GROUP BY region),
 i AS (SELECT month, CASE WHEN v > hi THEN 'high:' || region WHEN v < lo THEN 'low:' || region END AS item FROM v JOIN t USING (region) UNION ALL SELECT DISTINCT month, 'season=' || CASE WHEN month(month) IN (12, 1, 2) THEN 'winter' WHEN month(month) BETWEEN 6 AND 8 THEN 'summer' ELSE 'other' END FROM v),
-i2 AS (SELECT * FROM i WHERE item IS NOT NULL), nb AS (SELECT count(DISTINCT month) AS nb FROM i2)"""
-SETS = BASKETS + """, s1 AS (SELECT [item] AS items, count(*) AS n FROM i2 GROUP BY item HAVING count(*) >= 4),
-s2 AS (SELECT [a.item, b.item] AS items, count(*) AS n FROM i2 a JOIN i2 b ON a.month = b.month AND a.item < b.item GROUP BY ALL HAVING count(*) >= 4),
-s3 AS (SELECT [a.item, b.item, c.item] AS items, count(*) AS n FROM i2 a JOIN i2 b ON a.month = b.month AND a.item < b.item JOIN i2 c ON a.month = c.month AND b.item < c.item GROUP BY ALL HAVING count(*) >= 4),
-s AS (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)"""
-RULES = SETS + """, c AS (SELECT list_filter(items, lambda x: x LIKE 'season=%')[1] AS antecedent, list_filter(items, lambda x: x NOT LIKE 'season=%') AS consequent, n FROM s WHERE len(items) >= 2 AND len(list_filter(items, lambda x: x LIKE 'season=%')) = 1),
-ru AS (SELECT antecedent, consequent, c.n, a.n AS antecedent_n, c.n / a.n AS confidence, b.n / nb AS base_rate, c.n / a.n / (b.n / nb) AS lift FROM c JOIN s a ON a.items = [antecedent] JOIN s b ON b.items = consequent, nb WHERE c.n / a.n >= 0.2 AND c.n / a.n / (b.n / nb) >= 1.1)"""
+i2 AS MATERIALIZED (SELECT * FROM i WHERE item IS NOT NULL), nb AS (SELECT count(DISTINCT month) AS nb FROM i2)"""
+SETS = BASKETS + """, s1 AS MATERIALIZED (SELECT [item] AS items, count(*) AS n FROM i2 GROUP BY item HAVING count(*) >= 4),
+s2 AS MATERIALIZED (SELECT [a.item, b.item] AS items, count(*) AS n FROM i2 a JOIN i2 b ON a.month = b.month AND a.item < b.item GROUP BY ALL HAVING count(*) >= 4),
+s3 AS MATERIALIZED (SELECT [a.item, b.item, c.item] AS items, count(*) AS n FROM i2 a JOIN i2 b ON a.month = b.month AND a.item < b.item JOIN i2 c ON a.month = c.month AND b.item < c.item GROUP BY ALL HAVING count(*) >= 4),
+s AS MATERIALIZED (SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3)"""
+RULES = SETS + """, c AS MATERIALIZED (SELECT list_filter(items, lambda x: x LIKE 'season=%')[1] AS antecedent, list_filter(items, lambda x: x NOT LIKE 'season=%') AS consequent, n FROM s WHERE len(items) >= 2 AND len(list_filter(items, lambda x: x LIKE 'season=%')) = 1),
+ru AS MATERIALIZED (SELECT antecedent, consequent, c.n, a.n AS antecedent_n, c.n / a.n AS confidence, b.n / nb AS base_rate, c.n / a.n / (b.n / nb) AS lift FROM c JOIN s a ON a.items = [antecedent] JOIN s b ON b.items = consequent, nb WHERE c.n / a.n >= 0.2 AND c.n / a.n / (b.n / nb) >= 1.1)"""
 
 
 def baskets(t):

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,14 +49,16 @@ def ship(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    On a cluster spark.checkpoint.dir names it. Only where that is unset (tests, one machine) a
-    local folder is made and set.
+    On a cluster spark.checkpoint.dir names it, and it is an error where nothing does. Only with a
+    local master (tests, one machine) a local folder is made and set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not found:
         current = context._jsc.sc().getCheckpointDir()
         found = current.get() if current.isDefined() else None
+    if not found and not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="thermocline-")
     if not context._jsc.sc().getCheckpointDir().isDefined():
@@ -68,18 +72,66 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts lineage and survives lost executors."""
+    """df as a table in the shared folder: cuts lineage and survives lost executors.
+
+    Its shuffles end with the write, so their files go at once; the table goes with forget(), with the
+    step that it serves (see finished()) or, at the latest, when the driver's JVM ends.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    with _released_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    files, place = _files(spark, path)
+    files.deleteOnExit(place)
+    _tables(spark).add(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table made by written(), once nothing reads it any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
     for name in {os.path.dirname(x) for x in df.inputFiles()}:
         if os.path.basename(name).startswith("thermocline-"):
-            path = jvm.org.apache.hadoop.fs.Path(name)
-            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, name)
+
+
+def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make()'s rows as a table; all tables that were written on the way to it are deleted."""
+    before = set(_tables(spark))
+    result = written(make(), name)
+    own = {os.path.basename(os.path.dirname(x)) for x in result.inputFiles()}
+    for path in _tables(spark) - before:
+        if os.path.basename(path) not in own:
+            _delete(spark, path)
+    return result
+
+
+def _tables(spark: SparkSession) -> set[str]:
+    """The paths of the tables that written() made and nobody deleted."""
+    context = spark.sparkContext
+    if not hasattr(context, "_thermocline_tables"):
+        context._thermocline_tables = set()
+    return context._thermocline_tables
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, place = _files(spark, path)
+    files.delete(place, True)
+    known = _tables(spark)
+    known -= {x for x in known if os.path.basename(x) == os.path.basename(path)}
+
+
+@contextmanager
+def _released_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of the queries run inside are removed when each query ends."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
