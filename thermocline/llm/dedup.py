@@ -10,13 +10,12 @@ shingle sets.
 
 Candidates are never all pairs of a bucket. In rounds the members of a bucket that are not in its
 largest component are verified against a hub of that component, each text against the hub that it
-shares most bands with; members that are already joined need no pair of their own. Rounds go on while
-a quarter of their pairs are links. What is left is exact. In small buckets whose members are still in
-several components, each member outside the largest
-one is compared with those of other components by text, unless their numbers of shingles alone
-keep the similarity under the threshold. Larger ones are
-cut into tiles; each pair of tiles is one bounded group, which counts all shared shingles at once and
-gives only the links that join components, so no list of pairs is ever made.
+shares most bands with; members that are already joined need no pair of their own, and buckets whose
+members are all joined drop out. Rounds go on while a quarter of their pairs are links. What is left
+is exact for every size of bucket. In buckets of a few members, each member outside the largest
+component is compared with those of other components, unless their numbers of shingles alone keep
+the similarity under the threshold. The members of larger ones are joined on their rarest shingles
+(prefix filter), which finds every pair that can reach the threshold; all such pairs are verified.
 """
 
 from __future__ import annotations
@@ -26,14 +25,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from thermocline.llm.token_counts import pieces
-from thermocline.session import forget, written
+from thermocline.session import finished, forget, written
 
 REGISTERS, BANDS, PER_BAND, SHINGLE, THRESHOLD = 256, 36, 7, 5, 0.8
-HUB_ROUNDS, PRODUCTIVE, BROADCAST_IDS, REMEMBERED, SMALL, TILE = 8, 0.25, 1_000_000, 2_000_000, 24, 400
+HUB_ROUNDS, PRODUCTIVE, BROADCAST_IDS, REMEMBERED, SMALL, PER_TASK = 8, 0.25, 1_000_000, 2_000_000, 24, 256
 WORD = re.compile(r"\w+")
 MULTIPLY = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 GOLDEN = 0x9E3779B97F4A7C15
@@ -162,11 +161,26 @@ def buckets(texts: DataFrame, weight: str = "uniform") -> DataFrame:
     return texts.select("text_id", "text").mapInArrow(run, "key long, text_id binary, size int")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Of the pairs (a, b) of text ids those whose texts reach the threshold, with their similarity."""
+def salted(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """The pairs with ta and tb, the texts of a and b; b may stand in any number of pairs.
+
+    A text that is the b of more than PER_TASK pairs is copied once for each PER_TASK of them, so
+    that no task takes them all. An a stands in few pairs.
+    """
+    often = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("copies")).where("copies > 1")
+    often = written(often, "often")
+    few = often.count() <= BROADCAST_IDS
+    hot = F.broadcast(often) if few else often
+    copies = F.coalesce("copies", F.lit(1))
+    dealt = pairs.join(hot, "b", "left").withColumn("salt", F.pmod(F.xxhash64("a"), copies).cast("int")).drop("copies")
     one = texts.select(F.col("text_id").alias("a"), F.col("text").alias("ta"))
-    two = texts.select(F.col("text_id").alias("b"), F.col("text").alias("tb"))
-    both = pairs.join(one, "a").join(two, "b").select("a", "b", "ta", "tb")
+    two = texts.select(F.col("text_id").alias("b"), F.col("text").alias("tb")).join(hot, "b", "left")
+    two = two.select("b", "tb", F.explode(F.sequence(F.lit(0), copies - 1)).alias("salt"))
+    return dealt.join(one, "a").join(two, ["b", "salt"]).drop("salt")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Of the pairs (a, b, ra, rb) of text ids and their roots those whose texts reach the threshold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, int] = {}
@@ -189,75 +203,74 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
             a, b, ta, tb = (batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb"))
             value = np.array([similarity(shingles(w, x), shingles(y, z)) for w, x, y, z in zip(a, ta, b, tb, strict=True)], float)
             keep = pa.array(value >= threshold)
-            yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep), pa.array(value).filter(keep)], ["a", "b", "similarity"])
-
-    return both.mapInArrow(run, "a binary, b binary, similarity double")
-
-
-def block_links(texts: list[str], roots: list, threshold: float) -> list[tuple[int, int, float]]:
-    """Links (i, j, similarity) between texts of different roots that join them: no more than texts."""
-    known: dict[str, int] = {}
-    sets = [np.unique(shingle_hashes(word_hashes(words_of(t), known))) for t in texts]
-    sizes = np.array([len(x) for x in sets])
-    owner = np.repeat(np.arange(len(sets)), sizes)
-    order = np.argsort(flat := np.concatenate(sets), kind="stable")
-    owner, flat = owner[order], flat[order]
-    edges = np.flatnonzero(np.diff(flat)) + 1
-    shared = np.zeros((len(sets), len(sets)), np.int32)
-    for own in np.split(owner, edges):
-        if len(own) > 1:
-            shared[np.ix_(own, own)] += 1
-    value = shared / np.maximum(sizes[:, None] + sizes[None] - shared, 1)
-    names, start = np.unique(np.array(roots, object), return_inverse=True)
-    parent = list(range(len(names)))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(np.triu(value >= threshold, 1)), strict=True):
-        a, b = top(int(start[i])), top(int(start[j]))
-        if a != b:
-            parent[a] = b
-            out.append((int(i), int(j), float(value[i, j])))
-    return out
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).filter(keep) for c in ("a", "b", "ra", "rb")), pa.array(value).filter(keep)], ["a", "b", "ra", "rb", "similarity"])
+
+    both = salted(pairs, texts).select("a", "b", "ra", "rb", "ta", "tb")
+    return both.mapInArrow(run, "a binary, b binary, ra binary, rb binary, similarity double")
 
 
-def tiled_links(members: DataFrame, texts: DataFrame, threshold: float, tile: int = TILE) -> DataFrame:
-    """The links that join components within buckets: members are key, text_id, root, n (of the bucket).
+def shared_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """text_id, root, size, shingle, at: the members' shingles that two or more of them have, by rank.
 
-    A bucket of n members is dealt into tiles of about `tile`; a text goes into the group of its tile
-    with each tile, so a group has at most about two tiles.
+    A text's shingles are ranked from 1, the rarest among the members first; those of one text alone
+    come before all others and are left out.
     """
-    tiles = F.ceil(F.col("n") / tile).cast("int")
-    own = members.withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("text_id"), F.col("tiles")).cast("int"))
-    dealt = own.select("key", "text_id", "root", "t", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("u"))
-    dealt = dealt.select("key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "text_id", "root").join(texts, "text_id")
 
-    def run(group: pa.Table) -> pa.Table:
-        ids, roots = group.column("text_id").to_pylist(), group.column("root").to_pylist()
-        order = sorted(range(len(ids)), key=lambda k: ids[k])
-        whole = group.column("text").to_pylist()
-        found = block_links([whole[k] for k in order], [roots[k] for k in order], threshold) if len(set(roots)) > 1 else []
-        a, b = ([ids[order[x[k]]] for x in found] for k in (0, 1))
-        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary()), "similarity": pa.array([x[2] for x in found], pa.float64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            for part, own in pieces(batch, "text", 400_000, 500):
+                sets = [np.unique(shingle_hashes(word_hashes(words_of(t), known))) for t in own]
+                n = np.array([len(x) for x in sets])
+                row = pa.array(np.repeat(np.arange(len(sets)), n))
+                yield pa.RecordBatch.from_arrays([part.column("text_id").take(row), part.column("root").take(row), pa.array(np.repeat(n, n), pa.int32()), pa.array(np.concatenate(sets).view(np.int64))], ["text_id", "root", "size", "shingle"])
+
+    rows = members.join(texts, "text_id").select("text_id", "root", "text").mapInArrow(run, "text_id binary, root binary, size int, shingle long")
+    rows = written(rows, "shingles")
+    often = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
+    own = Window.partitionBy("text_id")
+    ranked = F.row_number().over(own.orderBy("n", "shingle")) + F.col("size") - F.count("*").over(own)
+    return rows.join(often, "shingle").withColumn("at", ranked.cast("int")).drop("n")
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary, similarity double")
 
+def prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b, ra, rb) of members of different roots that hold all that reach the threshold.
 
-def components(links: DataFrame, most: int = 60) -> DataFrame:
+    Two sets of that similarity share one of the rarest 1 - t of the larger's shingles and one of the
+    rarest 1 - 2t / (1 + t) of the smaller's, at ranks that leave enough to share. Where most members
+    with a shingle have one root, only the others look for partners.
+    """
+    size, least = F.col("size"), 2 * threshold / (1 + threshold)
+    rows = shared_shingles(members, texts)
+    rows = rows.where(F.col("at") <= size - F.ceil(threshold * size - 1e-6) + 1).withColumn("rare", F.col("at") <= size - F.ceil(least * size - 1e-6) + 1)
+    rows = written(rows, "prefixes")
+    by_root = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"))
+    split = by_root.groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
+    left = rows.join(split, "shingle")
+    x, y = (left.select("shingle", *[F.col(c).alias(c + k) for c in ("text_id", "root", "size", "at", "rare", "main")]) for k in ("1", "2"))
+    met = x.where("root1 <> main1").join(y.drop("main2"), "shingle")
+    larger, smaller = F.greatest("size1", "size2"), F.least("size1", "size2")
+    rest = F.least("at1", "at2") + F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2"))
+    near = (F.col("root1") != F.col("root2")) & (smaller >= larger * threshold - 1e-6) & (rest >= least / 2 * (larger + smaller) - 1e-6) & F.when(F.col("size1") <= F.col("size2"), F.col("rare1")).otherwise(F.col("rare2"))
+    return met.where(near).select(F.col("text_id1").alias("a"), F.col("text_id2").alias("b"), F.col("root1").alias("ra"), F.col("root2").alias("rb"))
+
+
+def ordered(pairs: DataFrame) -> DataFrame:
+    """The pairs, each once, a before b."""
+    swap = F.col("a") > F.col("b")
+    return pairs.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ra", "rb"), ("rb", "ra"))]).dropDuplicates(["a", "b"])
+
+
+def components(links: DataFrame) -> DataFrame:
     """node, root (its component's least node) of the nodes of the links (a, b).
 
     Each round every node takes the least root among its neighbours' and its own, then its root's
-    root; each round is a table in the shared folder. Raises if `most` rounds do not do.
+    root; each round is a table in the shared folder. Roots only fall, so it ends.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = written(both.where(F.col("a") != F.col("b")).distinct(), "edges")
     state = written(edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "roots")
-    for _ in range(most):
+    while True:
         own = state.select(F.col("node").alias("a"), F.col("root").alias("was"))
         near = edges.join(state.select(F.col("node").alias("b"), "root"), "b").groupBy("a").agg(F.min("root").alias("near"))
         best = own.join(near, "a").select("a", "was", F.least("was", "near").alias("root"))
@@ -269,78 +282,88 @@ def components(links: DataFrame, most: int = 60) -> DataFrame:
         if settled:
             forget(edges)
             return state
-    raise RuntimeError("components did not settle")
 
 
-def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weight: str = "uniform", hub_rounds: int = HUB_ROUNDS) -> DataFrame:
-    """One row per row of documents: doc_id, text_class, group_id, is_kept.
+def unresolved(spots: DataFrame, salt: int) -> DataFrame:
+    """key, text_id, root, size, n, main, hub of the buckets whose members have several roots.
 
-    text_class is the least id among equal texts; group_id the least id of the group of near copies
-    (linked, directly or through others, by a shingle similarity of the threshold or more); is_kept
-    is true for the rows with that id. Null texts count as empty; texts without a word equal their
-    copies and are near nothing else; null ids are left out of the least ids; rows repeated in full
-    are alike in all columns; empty tables give no rows; other columns are not read.
+    main is the root of the most members, hub one member of it, drawn by the salt.
     """
-    scratch: list[DataFrame] = []
-
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        scratch.append(written(df, name))
-        return scratch[-1]
-
-    source = classes(documents, doc, text)
-    rows = written(source.select("doc_id", "text_id"), "rows")
-    banded = keep(buckets(source, weight), "bands")
-    shared = banded.groupBy("key", "text_id").agg(F.lit(1).alias("x")).groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    spots = keep(banded.distinct().join(shared, "key"), "spots")
-    involved = spots.select("text_id").distinct()
-    few = involved.count() <= BROADCAST_IDS
-    kept = source.select("text_id", "text").join(F.broadcast(involved) if few else involved, "text_id", "left_semi")
-    texts = keep(kept.groupBy("text_id").agg(F.first("text").alias("text")), "texts")
-
-    links, tested, roots = None, None, involved.select(F.col("text_id").alias("node"), F.col("text_id").alias("root"))
-    step, last = 0, hub_rounds == 0
+    drawn = F.min(F.struct(F.xxhash64("text_id", F.lit(salt)).alias("h"), "text_id"))
+    parts = spots.groupBy("key", "root").agg(F.count("*").alias("n"), drawn.alias("hub"))
+    main = F.max_by(F.struct("root", "hub"), F.struct("n", F.xxhash64("root", F.lit(salt))))
+    split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), main.alias("main")).where("parts > 1")
+    split = split.select("key", "n", F.col("main.root").alias("main"), F.col("main.hub.text_id").alias("hub"))
+    return spots.join(split, "key").select("key", "text_id", "root", "size", "n", "main", "hub")
+
+
+def linked(spots: DataFrame, texts: DataFrame, threshold: float, hub_rounds: int) -> DataFrame:
+    """Links (a, b) that join all texts of the spots (key, text_id, size) that verified pairs join."""
+    tested, links, step = None, None, 0
+    spots = spots.withColumn("root", F.col("text_id"))
     while True:
-        marked = spots.join(roots.select(F.col("node").alias("text_id"), "root"), "text_id")
-        hub = F.min(F.struct(F.xxhash64("text_id", F.lit(step)).alias("h"), "text_id"))
-        parts = marked.groupBy("key", "root").agg(F.count("*").alias("n"), hub.alias("hub"))
-        main = F.max_by(F.struct("root", "hub"), F.struct("n", F.xxhash64("root", F.lit(step))))
-        split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), main.alias("main")).where("parts > 1").select("key", "n", F.col("main.root").alias("main"), F.col("main.hub.text_id").alias("hub"))
-        left = marked.join(split, "key")
-        if last:
-            left = keep(left, "left")
+        last = step >= hub_rounds
+        left = written(unresolved(spots, step), "left")
         outside = left.where(F.col("root") != F.col("main"))
         if not last:
-            pairs = outside.groupBy("text_id", "hub").count().groupBy("text_id").agg(F.max_by("hub", F.struct("count", "hub")).alias("hub"))
-            pairs = pairs.select(F.least("text_id", "hub").alias("a"), F.greatest("text_id", "hub").alias("b")).distinct()
+            best = F.max_by(F.struct("hub", "main", "root"), F.struct("count", "hub")).alias("x")
+            pairs = outside.groupBy("text_id", "hub", "main", "root").count().groupBy("text_id").agg(best)
+            pairs = pairs.select(F.col("text_id").alias("a"), F.col("x.hub").alias("b"), F.col("x.root").alias("ra"), F.col("x.main").alias("rb"))
         else:
-            other = left.where(F.col("n") <= SMALL).select("key", F.col("text_id").alias("y"), F.col("root").alias("ry"), F.col("size").alias("sy"))
-            pairs = outside.where(F.col("n") <= SMALL).select("key", F.col("text_id").alias("x"), F.col("root").alias("rx"), F.col("size").alias("sx")).join(other, "key").where(F.col("rx") != F.col("ry"))
-            pairs = pairs.where(F.least("sx", "sy") >= F.greatest("sx", "sy") * threshold - 1e-6)  # shared / either is at most least / greatest
-            pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+            few = F.col("n") <= SMALL
+            other = left.where(few).select("key", F.col("text_id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
+            pairs = outside.where(few).select("key", F.col("text_id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa")).join(other, "key")
+            pairs = pairs.where((F.col("ra") != F.col("rb")) & (F.least("sa", "sb") >= F.greatest("sa", "sb") * threshold - 1e-6))  # shared / either is at most least / greatest
+            many = left.where(~few).select("text_id", "root").distinct()
+            pairs = ordered(pairs.select("a", "b", "ra", "rb").union(prefix_pairs(many, texts, threshold)))
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = keep(pairs, "pairs")
-        found = verified(pairs, texts, threshold)
+        pairs = written(pairs, "pairs")
+        found = written(verified(pairs, texts, threshold), "links")
+        new = found.select("a", "b")
+        links = new if links is None else links.union(new)
         if last:
-            found = found.union(tiled_links(left.where(F.col("n") > SMALL).select("key", "text_id", "root", "n"), texts, threshold, TILE))
-        found = keep(found, "links")
-        links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
+            return links
+        both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        tested = both if tested is None else tested.union(both)
         asked, joined = pairs.count(), found.count()
+        step = step + 1 if joined >= PRODUCTIVE * asked and asked else hub_rounds
+        spots = left.select("key", "text_id", "root", "size")
         if joined:
-            tree = components(links)
-            scratch.append(tree)
-            roots = keep(involved.join(tree, F.col("text_id") == F.col("node"), "left").select(F.col("text_id").alias("node"), F.coalesce("root", "text_id").alias("root")), "all-roots")
-        if last:
-            break
-        step += 1
-        last = step >= hub_rounds or joined < PRODUCTIVE * asked or not asked
+            moved = components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("was"), F.col("root").alias("now"))
+            spots = spots.withColumnRenamed("root", "was").join(moved, "was", "left").select("key", "text_id", F.coalesce("now", "was").alias("root"), "size")
+
+
+def groups(source: DataFrame, threshold: float = THRESHOLD, weight: str = "uniform", hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+    """text_id, root of the texts (text_id, text) that are linked to others."""
+    banded = written(buckets(source, weight).groupBy("key", "text_id").agg(F.first("size").alias("size")), "bands")
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    spots = written(banded.join(shared, "key"), "spots")
+    forget(banded)
+    involved = written(spots.select("text_id").distinct(), "involved")
+    few = involved.count() <= BROADCAST_IDS
+    kept = source.join(F.broadcast(involved) if few else involved, "text_id", "left_semi")
+    texts = written(kept.groupBy("text_id").agg(F.first("text").alias("text")), "texts")
+    links = linked(spots, texts, threshold, hub_rounds)
+    return components(links).select(F.col("node").alias("text_id"), "root")
+
 
+def near_duplicates(documents: DataFrame, doc: str = "doc_id", text: str = "text", threshold: float = THRESHOLD, weight: str = "uniform", hub_rounds: int = HUB_ROUNDS) -> DataFrame:
+    """One row per row of documents: doc_id, text_class, group_id, is_kept.
+
+    text_class is the least id among equal texts; group_id the least id of the group of near copies
+    (linked, directly or through others, by a shingle similarity of the threshold or more); is_kept
+    is true for the rows with that id. Null texts count as empty; texts without a word equal their
+    copies and are near nothing else; null ids are left out of the least ids; rows repeated in full
+    are alike in all columns; empty tables give no rows; other columns are not read.
+    """
+    spark = documents.sparkSession
+    source = classes(documents, doc, text)
+    rows = source.select("doc_id", "text_id")
+    roots = finished(spark, lambda: groups(source.select("text_id", "text"), threshold, weight, hub_rounds), "groups")
     least = rows.groupBy("text_id").agg(F.min("doc_id").alias("text_class"))
-    named = least.join(roots.select(F.col("node").alias("text_id"), "root"), "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
+    named = least.join(roots, "text_id", "left").withColumn("root", F.coalesce("root", "text_id"))
     named = named.join(named.groupBy("root").agg(F.min("text_class").alias("group_id")), "root").select("text_id", "text_class", "group_id")
-    named = written(named, "groups")
-    for table in scratch:
-        forget(table)
     return rows.join(named, "text_id").select("doc_id", "text_class", "group_id", F.col("doc_id").eqNullSafe(F.col("group_id")).alias("is_kept"))
 
 
