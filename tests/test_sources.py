@@ -1,5 +1,8 @@
 import datetime as dt
+import http.client
 import io
+import types
+import urllib.error
 import zipfile
 
 import pytest
@@ -105,11 +108,48 @@ def test_download_resumes_after_a_short_body(tmp_path):
     assert asked == [None, "bytes=50-"] and entry["bytes"] == len(body) and (tmp_path / "s/x.zip").read_bytes() == body
 
 
-def test_download_rejects_pages_and_plans_links(tmp_path):
-    with pytest.raises(download.DownloadError):
-        download.check_payload(b"<html>", "csv")
+@pytest.mark.parametrize("total, asked", [(104, ["bytes=104-"]), (90, ["bytes=104-", None])])
+def test_a_range_beyond_the_end_is_a_whole_file_or_another(tmp_path, total, asked):
+    body, seen = b"PK\x03\x04" + bytes(100), []
+    (tmp_path / "s").mkdir()
+    (tmp_path / "s/x.zip.part").write_bytes(body)
+
+    def opener(request, timeout):
+        seen.append(request.headers.get("Range"))
+        if seen[-1]:
+            raise urllib.error.HTTPError(request.full_url, 416, "range", {"Content-Range": f"bytes */{total}"}, None)
+        return Answer(body[:90], 200, 90)
+
+    entry = download.fetch(download.Target("s", "http://localhost/x", "x.zip"), tmp_path, download.Settings(retries=2), opener, sleep=lambda s: None)
+    assert seen == asked and entry["bytes"] == total
+
+
+def test_broken_connections_and_wrong_content_are_tried_again(tmp_path):
+    answers = [http.client.IncompleteRead(b""), Answer(b"<html>", 200, 6), Answer(b"a,b\n", 200, 4)]
+
+    def opener(request, timeout):
+        got = answers.pop(0)
+        if isinstance(got, Exception):
+            raise got
+        return got
+
+    pauses = []
+    assert download.fetch(download.Target("s", "http://localhost/x", "x.csv"), tmp_path, download.Settings(retries=3, backoff_s=1), opener, pauses.append)["bytes"] == 4
+    assert pauses == [1, 2] and not answers
+
+
+def test_plan_reads_the_stamp_and_the_page():
+    pages = {"https://h/d/procdate.txt": b"20260105\n", "https://h/w": b"<a href='f/ice_electric-2026.xlsx'>x</a><a href='f/ice_electric-notes.pdf'>"}
+    s = types.SimpleNamespace(roni="https://h/r.txt", oni="https://h/o.txt", weekly="https://h/w.for", nino34_long="https://h/n.data", retail="https://h/a.xlsx", retail_history="https://h/b.xlsx", henry_hub="https://h/g?id=1", climdiv_base="https://h/d/", climdiv_elements=["tmpc"], wholesale_index="https://h/w", wholesale_pattern="ice_electric")
+    found = download.plan(s, download.Settings(), lambda r, timeout: Answer(pages[r.full_url], 200, 0))
+    assert [t.relpath for t in found] == ["enso/r.txt", "enso/o.txt", "enso/w.for", "enso/n.data", "retail/a.xlsx", "retail/b.xlsx", "gas/henry_hub.csv", "climdiv/climdiv-tmpcst-v1.0.0-20260105", "wholesale/ice_electric-2026.xlsx"]
     with pytest.raises(download.DownloadError):
-        download.check_payload(b"", "csv")
+        download.plan(s, download.Settings(retries=0), lambda r, timeout: Answer(b"nothing", 200, 0))
+
+
+def test_download_rejects_pages_and_plans_links(tmp_path):
+    assert download.objection(b"<html>", "csv") and download.objection(b"", "csv") and download.objection(b"PK", "xlsx")
+    assert download.objection(b"a,b", "csv") is None and download.objection(b"PK\x03\x04rest", "zip") is None
     assert download.links('<A HREF="a/ice_electric-1.xlsx"><a href=\'a/ice_electric-1.xlsx\'><a href="b">', "https://h/p/", "ice_electric") == ["https://h/p/a/ice_electric-1.xlsx"]
     settings = download.Settings(retries=0)
     with pytest.raises(download.DownloadError):

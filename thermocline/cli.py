@@ -14,9 +14,9 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="thermocline", description="Climate-driven energy-demand analytics on Spark.")
     top.add_argument("--config", default="config.toml", type=Path)
     sub = top.add_subparsers(dest="command", required=True)
-    get = sub.add_parser("download", help="fetch the fixed raw files named in the settings")
+    get = sub.add_parser("download", help="fetch the raw files")
     get.add_argument("--refresh", action="store_true", help="fetch files that are there already, too")
-    get.add_argument("--only", nargs="*", choices=["enso", "retail", "gas"], default=None)
+    get.add_argument("--only", nargs="*", choices=["enso", "climdiv", "retail", "wholesale", "gas"], default=None)
     run = sub.add_parser("query", help="run a registered query over a folder of tables and write its rows as Parquet")
     run.add_argument("name")
     run.add_argument("folder")
@@ -25,14 +25,6 @@ def parser() -> argparse.ArgumentParser:
     return top
 
 
-def targets(cfg: config.Config) -> list[download.Target]:
-    """The files whose addresses are fixed by the settings."""
-    s = cfg.sources
-    named = [("enso", "roni"), ("enso", "oni"), ("enso", "weekly"), ("enso", "nino34_long"), ("retail", "retail"), ("retail", "retail_history"), ("gas", "henry_hub")]
-    names = {"henry_hub": "henry_hub.csv"}
-    return [download.Target(source, getattr(s, key), names.get(key, getattr(s, key).rsplit("/", 1)[-1])) for source, key in named]
-
-
 def main(argv: list[str] | None = None) -> int:
     args = parser().parse_args(argv)
     if args.command == "download":
@@ -42,7 +34,8 @@ def main(argv: list[str] | None = None) -> int:
             print(e, file=sys.stderr)
             return 2
         d = cfg.download
-        download.run(targets(cfg), cfg.path("raw"), download.Settings(d.timeout_s, d.retries, d.backoff_s, d.workers, d.user_agent), args.refresh, set(args.only) if args.only else None)
+        settings = download.Settings(d.timeout_s, d.retries, d.backoff_s, d.workers, d.user_agent)
+        download.run(download.plan(cfg.sources, settings), cfg.path("raw"), settings, args.refresh, set(args.only) if args.only else None)
         return 0
     from thermocline.plans import catalogue
 
