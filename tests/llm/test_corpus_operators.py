@@ -172,6 +172,34 @@ def test_permutation_is_a_bijection():
     assert (training_order.Permutation(1000, 3).slot(np.arange(1000)) != training_order.Permutation(1000, 4).slot(np.arange(1000))).any()
 
 
+def test_slots_do_not_depend_on_files_and_splits(make, spark, tmp_path):
+    rows = [(k, f"text {k} " * (k % 50)) for k in range(600)] + [(7, "again"), (7, "again"), (None, None)]
+    found = []
+    for parts, most in ((1, "128m"), (5, "2k"), (7, "1k")):
+        path = str(tmp_path / f"docs{parts}")
+        make(rows).repartition(parts, "text").write.parquet(path)
+        before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+        spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+        made = training_order.shards(spark.read.parquet(path), IDS, length=16, slots=8).collect()
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        found.append(sorted((r["shard"], bytes(r["payload"])) for r in made))
+    assert found[0] == found[1] == found[2]
+    with pytest.raises(TypeError):
+        training_order.shards(spark.createDataFrame([("a", "b")], "doc_id string, text string"), IDS)
+
+
+def test_shard_files_are_read_by_arithmetic(make, spark, tmp_path):
+    made = training_order.shards(make([(k, "some words " * (k % 9)) for k in range(100)]), IDS, length=4, slots=8)
+    rows = {s: bytes(r["payload"][(s - r["first_slot"]) * r["stride"] : (s - r["first_slot"] + 1) * r["stride"]]) for r in made.collect() for s in range(r["first_slot"], r["first_slot"] + r["n_slots"])}
+    files = training_order.write_files(made, f"file://{tmp_path}/bin").collect()
+    for r in files:
+        with open(r["file"], "rb") as f:
+            for s in reversed(range(r["first_slot"], r["first_slot"] + r["n_slots"])):
+                f.seek((s - r["first_slot"]) * r["stride"])
+                assert f.read(r["stride"]) == rows.pop(s)
+    assert not rows
+
+
 def test_shards_hold_every_token_at_its_slot(make, spark, tmp_path):
     import tiktoken
 
@@ -189,7 +217,7 @@ def test_shards_hold_every_token_at_its_slot(make, spark, tmp_path):
     assert sorted(slots) == list(range(len(slots)))
     for d, text in rows:
         assert sum((got[d][b] for b in sorted(got[d])), []) == whole.encode_ordinary(text or "")
-    some = training_order.read_slots(spark, path, 5, 21).collect()
+    some = training_order.read_slots(spark, path, 5, 21, 8).collect()
     assert sorted(r["slot"] for r in some) == list(range(5, 21))
     one = next(r for r in made if r["shard"] == 1)
     assert struct.unpack_from("<q", one["payload"], one["stride"] * 2)[0] in {d if d is not None else training_order.NULL for d, _ in rows}

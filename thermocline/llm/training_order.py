@@ -2,7 +2,8 @@
 
 Texts become token ids, ids become fixed-length sequences (the last of a text is padded). A keyed
 Feistel network with cycle-walking permutes the sequence numbers 0..N-1 onto the slots 0..N-1
-without a sort of all keys. Slots are range-partitioned into shards of a fixed number of slots, and
+without a sort of all keys. Numbers follow the order of a hash of id and text, so they do not depend
+on files, splits or tasks. Slots are range-partitioned into shards of a fixed number of slots, and
 each shard is one binary payload of fixed-stride records: slot s stands in shard s // slots at byte
 (s % slots) * stride, so a reader resumes anywhere by arithmetic alone.
 
@@ -13,15 +14,19 @@ number of tokens uint32, then the ids (uint16 or uint32), zeros after the last.
 from __future__ import annotations
 
 import base64
+import hashlib
+import math
 import struct
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyarrow import fs
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from thermocline.llm.dedup import GOLDEN, mixed
 from thermocline.llm.token_counts import pieces, split_words
@@ -86,7 +91,7 @@ class Speller:
         for word in words.dictionary.to_pylist():
             x = known.get(word)
             if x is None:
-                x = np.array(self.bpe._encode_single_piece(word), self.type)
+                x = np.array(self.bpe.encode_ordinary(word.decode("utf-8", "replace")), self.type)
                 if len(word) < 40:
                     known[word] = x
             spelt.append(x)
@@ -105,22 +110,44 @@ def speller(path: str) -> Speller:
 
 
 def tokenised(documents: DataFrame, path: str, doc: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
-    """part, first, doc_id, n_tokens, ids: `first` numbers a row's first sequence within its part (a task)."""
-    base = documents.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    """h (a hash of id and text), doc_id, n_tokens, ids, blocks (sequences) of each row."""
+    kind = documents.schema[doc].dataType
+    if not isinstance(kind, T.IntegralType | T.NullType):
+        raise TypeError(f"{doc} must be a whole number, as records hold it, not {kind.simpleString()}")
+    key = F.col(doc).cast("long")
+    base = documents.select(F.xxhash64(key, F.col(text)).alias("h"), key.alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, part_id, begun = speller(path), TaskContext.get().partitionId(), 0
+        own = speller(path)
         for batch in batches:
             for part, texts in pieces(batch, "text", 500_000):
                 ids, n = own.ids(texts)
-                blocks = np.maximum(1, -(-n // length))
-                first = begun + np.cumsum(blocks) - blocks
-                begun += int(blocks.sum())
                 edges = np.concatenate([[0], np.cumsum(n)]) * own.type.itemsize
                 body = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(ids.tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(texts), part_id, np.int32)), pa.array(first), part.column("doc_id"), pa.array(n), body], ["part", "first", "doc_id", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([part.column("h"), part.column("doc_id"), pa.array(n), body, pa.array(np.maximum(1, -(-n // length)))], ["h", "doc_id", "n_tokens", "ids", "blocks"])
 
-    return base.mapInArrow(run, "part int, first long, doc_id long, n_tokens long, ids binary")
+    return base.mapInArrow(run, "h long, doc_id long, n_tokens long, ids binary, blocks long")
+
+
+def numbered(tokens: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """(doc_id, n_tokens, ids, blocks, start: the number of its first sequence; number of all sequences).
+
+    Rows are in the order of h and id, whatever their files and tasks. The range of h is cut into
+    buckets, of about 2,000 rows while there are no more than 16,384 and of a million from then on;
+    a bucket is one sorted group, and the buckets' offsets are a small table that is broadcast.
+    """
+    log = lambda each: max(0, math.ceil(math.log2(max(1, rows / each))))
+    bits = max(min(14, log(2_000)), log(1_000_000))
+    bucket = F.shiftright("h", 64 - bits) + (1 << bits - 1) if bits else F.lit(0).cast("long")
+    within = Window.partitionBy("bucket").orderBy("h", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    table = tokens.withColumn("bucket", bucket).withColumn("before", F.sum("blocks").over(within) - F.col("blocks"))
+    table = written(table.drop("h"), "tokens")
+    sizes = table.groupBy("bucket").agg(F.sum("blocks").alias("blocks"))
+    upto = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    offsets = written(sizes.select("bucket", (F.sum("blocks").over(upto) - F.col("blocks")).alias("offset"), "blocks"), "offsets")
+    total = offsets.agg(F.sum("blocks")).first()[0] or 0
+    placed = table.join(F.broadcast(offsets.drop("blocks")), "bucket")  # at most some ten thousand rows, as above
+    return placed.select("doc_id", "n_tokens", "ids", "blocks", (F.col("before") + F.col("offset")).alias("start")), total
 
 
 def shards(documents: DataFrame, path: str, doc: str = "doc_id", text: str = "text", length: int = LENGTH, slots: int = SLOTS, seed: int = SEED, partition: int = PARTITION) -> DataFrame:
@@ -128,17 +155,13 @@ def shards(documents: DataFrame, path: str, doc: str = "doc_id", text: str = "te
 
     Every row of documents is at least one sequence (null and empty texts: one without tokens), no
     token is left out, rows repeated are sequences of their own, null ids are marked in the record,
-    empty tables give no shard, other columns are not read. The same table read in the same splits
-    gives the same slots; a retried task reads the tokenised table and gives what it gave before.
+    ids that are no whole numbers are an error, empty tables give no shard, texts may be of any
+    length, other columns are not read. Equal rows give equal slots, however the table is stored,
+    split and partitioned.
     """
     width = speller(path).type.itemsize
     stride = HEAD + length * width
-    table = written(tokenised(documents, path, doc, text, length), "tokens")
-    blocks = F.greatest(F.lit(1), F.ceil(F.col("n_tokens") / length))
-    sizes = dict(table.groupBy("part").agg(F.sum(blocks).cast("long")).collect())  # a number for each task that wrote
-    begin, total = {}, 0
-    for part in sorted(sizes):
-        begin[part], total = total, total + sizes[part]
+    table, total = numbered(tokenised(documents, path, doc, text, length), documents.count())
     order = Permutation(max(1, total), seed)
     n_shards = -(-total // slots)
     parts = max(1, min(n_shards, -(-total * stride // partition)))
@@ -147,13 +170,11 @@ def shards(documents: DataFrame, path: str, doc: str = "doc_id", text: str = "te
         for whole in batches:
             for k in range(0, whole.num_rows, 500):
                 batch = whole.slice(k, 500)
-                n = batch.column("n_tokens").to_numpy()
-                count = np.maximum(1, -(-n // length))
-                start = batch.column("first").to_numpy() + np.array([begin[p] for p in batch.column("part").to_pylist()])
+                count, start = batch.column("blocks").to_numpy(), batch.column("start").to_numpy()
                 inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 slot = order.slot(np.repeat(start, count) + inner)
                 records, size = [], length * width
-                for d, m, c, ids in zip(batch.column("doc_id").to_pylist(), n.tolist(), count.tolist(), batch.column("ids").to_pylist(), strict=True):
+                for d, m, c, ids in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "n_tokens", "blocks", "ids")), strict=True):
                     for b in range(c):
                         records.append(struct.pack("<qII", NULL if d is None else d, b, min(length, m - b * length)) + ids[b * size : (b + 1) * size])
                 yield pa.RecordBatch.from_arrays([pa.array((slot // slots * parts // max(1, n_shards)).astype(np.int32)), pa.array(slot), pa.array(records, pa.binary())], ["__part", "slot", "record"])
@@ -189,9 +210,36 @@ def write_shards(rows: DataFrame, path: str) -> None:
     rows.write.parquet(path)
 
 
-def read_slots(spark, path: str, start: int = 0, stop: int | None = None) -> DataFrame:
-    """slot, doc_id, block, n_tokens, ids of the slots from start to before stop: only their shards are read."""
-    rows, within = spark.read.parquet(path).where(F.col("first_slot") + F.col("n_slots") > start), F.col("slot") >= start
+def write_files(rows: DataFrame, folder: str) -> DataFrame:
+    """Writes each shard's payload as a file of its own, from the tasks; gives first_slot, n_slots, stride, file, sha256.
+
+    folder is an address that all executors reach. A file takes its name only when whole, and a
+    repeated task writes the same bytes again. Slot s stands at byte (s - first_slot) * stride.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = fs.FileSystem.from_uri(folder)
+        store.create_dir(top, recursive=True)
+        for batch in batches:
+            for x in batch.to_pylist():
+                name = f"{top}/shard-{x['shard']:012d}.bin"
+                own = f"{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(own) as f:
+                    f.write(x["payload"])
+                store.move(own, name)
+                row = {"first_slot": x["first_slot"], "n_slots": x["n_slots"], "stride": x["stride"], "file": name, "sha256": hashlib.sha256(x["payload"]).hexdigest()}
+                yield pa.RecordBatch.from_pylist([row])
+
+    done = rows.select("shard", "first_slot", "n_slots", "stride", "payload").mapInArrow(run, "first_slot long, n_slots long, stride long, file string, sha256 string")
+    return written(done, "shard-files")
+
+
+def read_slots(spark, path: str, start: int = 0, stop: int | None = None, slots: int = SLOTS) -> DataFrame:
+    """slot, doc_id, block, n_tokens, ids of the slots from start to before stop: only their shards are read.
+
+    `slots` is the shards' number of slots; with it the files' statistics leave out other shards.
+    """
+    rows, within = spark.read.parquet(path).where(F.col("first_slot") > start - slots), F.col("slot") >= start
     if stop is not None:
         rows, within = rows.where(F.col("first_slot") < stop), within & (F.col("slot") < stop)
     return unpacked(rows).where(within)
