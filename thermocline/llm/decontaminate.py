@@ -1,19 +1,19 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, verified hits.
 
-Windows of `size` consecutive benchmark words are keyed by the hash of their longest word (their
-anchor). Document words probe that broadcast table; each candidate is verified by comparing the
-whole window with the document's words around the anchor, so no hash collision can count. Windows
-beyond `block` are probed block after block, each broadcast in turn, so what is broadcast stays
-bounded however large the benchmark is. JVM-side functions only.
+Windows of `size` consecutive benchmark words are keyed by a hash of the whole window. Every window
+of a document is hashed in the same way and probes that set; each hit is verified by comparing the
+words themselves, so no hash collision can count. Up to `block` windows are broadcast. Beyond that
+the keys of document and benchmark windows are joined by a shuffle, and only documents with a
+matching key are looked at again. Documents are read once either way. JVM-side functions only.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from thermocline.session import written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -26,8 +26,14 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, NOT_WORD, -1), "")
 
 
+def window_keys(words: Column, size: Column, n: int) -> Column:
+    """A hash for each run of n words; `words` are the words' own hashes."""
+    starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))
+
+
 def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = 13) -> DataFrame:
-    """Distinct windows: w (words), n, items (sorted distinct ids), off (of the anchor), key."""
+    """Distinct windows: w (words), n, items (sorted distinct ids), key."""
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("ws") - size, F.lit(0))))
     found = (
         benchmark.select(F.col(item).alias("item"), words_of(F.col(text)).alias("ws"))
@@ -37,9 +43,7 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", siz
         .groupBy("w")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    lengths = F.transform("w", F.length)
-    found = found.withColumn("off", (F.array_position(lengths, F.array_max(lengths)) - 1).cast("int"))
-    return found.select("w", F.size("w").alias("n"), "items", "off", F.xxhash64(F.element_at("w", F.col("off") + 1)).alias("key"))
+    return found.select("w", F.size("w").alias("n"), "items", F.xxhash64(F.transform("w", lambda x: F.xxhash64(x))).alias("key"))
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, block: int = 250_000) -> DataFrame:
@@ -48,28 +52,38 @@ def scan(documents: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text:
     hits are the word positions at which a benchmark window occurs, items the sorted ids of the items
     with occurring windows. Null and empty texts have no words and no hits; an empty benchmark hits
     nothing; repeated rows and repeated ids each keep a row of their own; items with a null id or no
-    word are left out; other columns of either table are not read.
+    word are left out; texts may be of any length; other columns of either table are not read.
     """
-    grams = windows(benchmark, item, item_text, size)
-    blocks = max(1, -(-grams.count() // block))
+    grams = written(windows(benchmark, item, item_text, size), "windows")
+    about = grams.agg(F.count("*"), F.sort_array(F.collect_set("n"))).first()  # at most `size` lengths
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc"), words_of(F.col(text)).alias("words"))
-    at = rows.select("row", "doc", "words", F.posexplode_outer("words").alias("pos", "word")).withColumn("key", F.xxhash64("word"))
-
-    def probe(k: int) -> DataFrame:
-        part = grams if blocks == 1 else grams.where(F.pmod("key", F.lit(blocks)) == k)
-        around = F.slice("words", F.greatest(F.col("pos") - F.col("off") + 1, F.lit(1)), F.col("n"))
-        same = (at["key"] == part["key"]) & (F.col("pos") >= F.col("off")) & (around == F.col("w"))
-        met = at.join(F.broadcast(part), same, "left")
-        hit = F.when(F.col("items").isNotNull(), F.struct((F.col("pos") - F.col("off")).alias("start"), F.col("n").alias("n")))
-        first = F.coalesce(F.col("pos"), F.lit(0)) == 0
-        keep = F.col("items").isNotNull() | (first if k == 0 else F.lit(False))
-        return met.where(keep).select("row", "doc", F.size("words").cast("long").alias("n_words"), hit.alias("hit"), "items")
-
-    met = reduce(DataFrame.unionByName, [probe(k) for k in range(blocks)])
+    if about[0] > block:
+        rows = written(rows, "words")
+    n_words, lengths = F.size("words"), about[1] or [size]
+    hashed = rows.select("row", "doc", "words", F.transform("words", lambda x: F.xxhash64(x)).alias("hs"))
+    keys = F.concat(*[window_keys(F.col("hs"), n_words, n) for n in lengths])
+    at = hashed.select("row", "doc", "words", F.posexplode_outer(keys).alias("k", "key"))
+    n, start, before = F.lit(None).cast("int"), F.col("k"), F.lit(0)
+    for own in lengths:  # the keys of one length stand after those of the one before
+        upto = before + F.greatest(n_words - own + 1, F.lit(0))
+        inside = (F.col("k") >= before) & (F.col("k") < upto)
+        n, start = F.when(inside, F.lit(own)).otherwise(n), F.when(inside, F.col("k") - before).otherwise(start)
+        before = upto
+    at = at.select("row", "doc", "words", (F.coalesce("k", F.lit(0)) == 0).alias("first"), start.alias("start"), n.alias("n"), "key")
+    same = lambda x: (x["key"] == grams["key"]) & (x["n"] == grams["n"]) & (F.slice(x["words"], x["start"] + 1, x["n"]) == grams["w"])
+    hit = F.when(F.col("items").isNotNull(), F.struct("start", F.col("hit_n").alias("n")))
+    if about[0] <= block:
+        met = at.join(F.broadcast(grams), same(at), "left").where(F.col("items").isNotNull() | F.col("first"))
+        met = met.select("row", "doc", F.size("words").cast("long").alias("n_words"), "start", at["n"].alias("hit_n"), "items")
+    else:
+        found = at.select("row", "start", "n", "key").join(grams.select("key").distinct(), "key", "left_semi")
+        again = rows.join(found, "row")
+        met = again.join(grams, same(again)).select("row", "doc", F.size("words").cast("long").alias("n_words"), "start", again["n"].alias("hit_n"), "items")
+        met = met.unionByName(rows.select("row", "doc", n_words.cast("long").alias("n_words")), allowMissingColumns=True)
     covered = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1)))
     return (
         met.groupBy("row", "doc")
-        .agg(F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+        .agg(F.max("n_words").alias("n_words"), F.collect_set(hit).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
         .select(F.col("doc").alias("doc_id"), "n_words", F.size(F.array_distinct(covered)).cast("long").alias("n_hit"), F.array_sort("hits").alias("hits"), "items")
     )
 
