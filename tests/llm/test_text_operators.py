@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import struct
+import textwrap
 import zlib
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGE
 from tests.oracle import same_rows
-from thermocline.llm import decontaminate, licenses, media, pii, token_counts
+from thermocline.llm import decontaminate, licence_texts, licenses, media, pii, token_counts
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -129,7 +130,7 @@ WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
 
 
 def test_licences_of_wrapped_texts_and_comments(make):
-    ids = {"MIT": "mit.grant,mit.notice", "BSD": "bsd.grant", "GPL-3.0": "gpl.free,gpl.hope", "Apache-2.0": "apache2.header,apache2.use,apache2.copy,asis"}
+    ids = {"MIT": "mit.grant,mit.notice", "BSD": "bsd.grant", "GPL-3.0": "gpl.free,gpl.hope,gpl.more", "Apache-2.0": "apache2.header,apache2.use,apache2.copy,asis"}
     rows, want = [], []
     for mark in ("", "# ", "// ", " * ", "; ", "\r"):
         for name, text in WRAPPED.items():
@@ -141,6 +142,23 @@ def test_licences_of_wrapped_texts_and_comments(make):
     assert [(r["sentence_ids"], r["licenses"]) for r in got] == want
 
 
+def test_every_known_sentence_is_found_wrapped(make, spark, tmp_path):
+    rows, want = [], {}
+    for k, (name, sentence) in enumerate(licence_texts.SENTENCES.items()):
+        assert any(a in sentence for a in licence_texts.ANCHORS)
+        rows.append((k, "Before this.\n" + "".join(f"// {x}\n" for x in textwrap.wrap(sentence.capitalize(), 40)) + "\nAfter"))
+        want[k] = name
+    rows += [(900, "A (c) B\n\n" + licence_texts.SENTENCES["bsd.grant"] + ":\n1. " + licence_texts.SENTENCES["bsd.source"] + ".\n2. " + licence_texts.SENTENCES["bsd.binary"] + ".\n"), (901, None)]
+    docs = make(rows)
+    found = {r["doc_id"]: r for r in licenses.scan(docs).collect()}
+    assert {k: found[k]["sentence_ids"] for k in want} == want and found[900]["licenses"] == "BSD-2-Clause"
+    spot = found[900]["spans"][1]
+    words = re.findall("[a-z0-9]+", rows[-2][1].lower())
+    assert " ".join(words[spot["word"] : spot["word"] + spot["n"]]) == licence_texts.SENTENCES["bsd.source"]
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    same_rows(licenses.query(spark, str(tmp_path)), f"{tmp_path}/one", licenses.ORACLE.replace("FROM documents", f"FROM '{tmp_path}/documents.parquet/*.parquet'"))
+
+
 def test_licences_of_planted_lines(make, spark, sf):
     text = "Intro text.\nLicensed under the   Apache License, Version 2.0.\nMore. All rights reserved.\nThe end"
     got = licenses.scan(make([(7, text)])).first()

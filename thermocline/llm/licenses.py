@@ -1,9 +1,9 @@
 """Licence scans: sentence-rule recognition with DataFrame functions only.
 
-Texts are cut into sentences, sentences are normalised and looked up in a small table of known
-licence sentences, and the sequence of identifiers found in a text is matched against ordered rules.
-A known sentence may also stand over several lines or over colons and semicolons: any run of pieces
-without a full stop or an empty line between them is looked up, from each piece that may begin one.
+A text is normalised: words in lower case, with a mark wherever a sentence may begin or end. Hard marks
+(a full stop, an empty line) are always an end; soft ones (a single line break with any signs of
+comments behind it, a colon or semicolon) may also stand inside a sentence. Known licence sentences
+are found between marks, and the sequence of their identifiers is matched against ordered rules.
 """
 
 from __future__ import annotations
@@ -11,94 +11,74 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Known licence sentences, normalised (lower case, runs of other characters one blank).
-SENTENCES = {
-    "apache2": "licensed under the apache license version 2 0",
-    "apache2.header": "licensed under the apache license version 2 0 the license",
-    "apache2.use": "you may not use this file except in compliance with the license",
-    "apache2.copy": "you may obtain a copy of the license at",
-    "asis": "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied",
-    "mit": "released under the mit license",
-    "mit.title": "the mit license mit",
-    "mit.grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit.notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "bsd.grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "gpl3": "this work is licensed under the gnu general public license version 3",
-    "gpl.free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
-    "gpl.hope": "this program is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose",
-    "ccbync4": "licensed under cc by nc 4 0",
-    "ccby4": "this work is licensed under a creative commons attribution 4 0 international license",
-    "reserved": "all rights reserved",
-}
-#: Ordered rules, (licence, identifiers in the order in which they must follow one another).
-RULES = [
-    ("Apache-2.0", ("apache2.header", "apache2.use", "apache2.copy", "asis")),
-    ("Apache-2.0", ("apache2.header", "apache2.use")),
-    ("Apache-2.0", ("apache2",)),
-    ("MIT", ("mit.grant", "mit.notice")),
-    ("MIT", ("mit.title",)),
-    ("MIT", ("mit",)),
-    ("BSD", ("bsd.grant",)),
-    ("GPL-3.0", ("gpl.free", "gpl.hope")),
-    ("GPL-3.0", ("gpl.free",)),
-    ("GPL-3.0", ("gpl3",)),
-    ("CC-BY-NC-4.0", ("ccbync4",)),
-    ("CC-BY-4.0", ("ccby4",)),
-    ("proprietary", ("reserved",)),
-]
+from thermocline.llm.licence_texts import ANCHORS, GROUPS, SENTENCES
+
 ENDS = r"[.!?;:]+(?=[\s]|$)|\n+"
-#: Marks of a piece that goes on from the one before, over a single line break or a colon or semicolon; signs of comments before its first word are dropped.
-GOES_ON = "\u0001"
-TAIL = r"[^A-Za-z0-9\n.!?;:]*+"
-BREAK = rf"([A-Za-z0-9]{TAIL})\n[^A-Za-z0-9\n]*+(?=[A-Za-z0-9])"
-COLON = rf"([A-Za-z0-9]{TAIL}[;:]++)(?=\s)(?:{TAIL}\n[^A-Za-z0-9\n]*+|{TAIL})(?=[A-Za-z0-9])"
-LICENCES = list(dict.fromkeys(name for name, _ in RULES))
+HARD, SOFT = "\u0001", "\u0002"
+#: Normalisation, step by step (pattern, replacement); each pattern reads alike in Java and RE2.
+STEPS = [
+    (r"[^a-z0-9\n.!?;:]+", " "),
+    (r" *\n *\n[ \n]*", HARD),
+    (r"[;:]*[.!?][.!?;:]*([ \n\x01]+|\z)", HARD),
+    (r"[;:]+([ \n]+|\z)", SOFT),
+    (r"\n", SOFT),
+    (r"[.!?;:]+", " "),
+    (r"[ \x02]*\x01[ \x01\x02]*", HARD + HARD),
+    (r" *\x02[ \x02]*", SOFT + SOFT),
+    (r" +", " "),
+]
+BETWEEN = r"(?: |\x02\x02)"
+
+
+def _pattern(sentences: dict[str, str]) -> str:
+    """A known sentence (group 1) between marks, the longest of those that begin alike; each mark is doubled, so neighbours need not share one."""
+    told = sorted(set(sentences.values()), key=lambda s: (-len(s), s))
+    return r"[\x01\x02](" + "|".join(BETWEEN.join(s.split()) for s in told) + r")[\x01\x02]"
+
+
+def _rule(identifiers: tuple[str, ...]) -> str:
+    return "," + "(?:[^,]+,)*".join(f"{i}," for i in identifiers).replace(".", "[.]")
 
 
-def normalised(sentence: Column) -> Column:
-    return F.trim(F.regexp_replace(F.lower(sentence), r"[^a-z0-9]+", " "))
+def normalised(text: Column) -> Column:
+    """The text's words between marks, with a mark at either end."""
+    out = F.lower(text)
+    for pattern, by in STEPS:
+        out = F.regexp_replace(out, pattern, by)
+    return F.concat(F.lit(HARD), F.trim(out), F.lit(HARD))
 
 
-def scan(documents: DataFrame, doc: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None, rules: list | None = None, join_lines: bool = False) -> DataFrame:
+def scan(documents: DataFrame, doc: str = "doc_id", text: str = "text", sentences: dict[str, str] | None = None, groups: list | None = None) -> DataFrame:
     """One row per row of documents: doc_id, n_sentences, n_known, sentence_ids, licenses, spans.
 
-    sentence_ids are the identifiers in text order, licenses the licences of the rules whose
-    identifiers follow one another there (in the order of the rules; a shorter rule of the same
-    licence adds nothing), spans the sentence numbers and identifiers. A line break ends a sentence in
-    n_sentences and spans, and known sentences are found on a line as well as over single breaks and
-    signs of comments (its number is then that of its first piece);
-    with join_lines single breaks inside a sentence are blanks. Null and empty texts have no sentence
-    and no licence; repeated rows keep a row each; the known sentences are a fixed table, so they
-    stand in the plan; other columns are not read.
+    n_sentences counts pieces with a letter or digit between line breaks and ends of clauses;
+    sentence_ids are the identifiers of the known sentences in text order, the longest where several
+    begin alike; licenses the licence of each group of rules of which one is met, in the order of the
+    groups; spans the first word (counted in the normalised text), the number of words and the
+    identifier. Null and empty texts have no sentence and no licence; repeated rows keep a row each;
+    texts may be of any length; the known sentences are a fixed table, so they stand in the plan;
+    other columns are not read.
     """
-    sentences, rules = sentences or SENTENCES, rules or RULES
-    longest, most = max(map(len, sentences.values())), max(len(x.split()) for x in sentences.values())
-    known = F.array(*[F.struct(F.lit(k).alias("id"), F.lit(v).alias("s")) for k, v in sorted(sentences.items(), key=lambda x: len(x[1]))])
-    begins = "^(" + "|".join(sorted({v.split()[0] for v in sentences.values()})) + r")\b"
-    raw = F.translate(F.coalesce(F.col(text), F.lit("")), GOES_ON, "_")
-    raw = F.regexp_replace(raw, r"(?<![.!?;:\n])\n(?!\n)", " ") if join_lines else raw
-    raw = F.regexp_replace(F.regexp_replace(raw, COLON, f"$1\n{GOES_ON}"), BREAK, f"$1\n{GOES_ON}")
-    cut = F.filter(F.split(raw, ENDS, -1), lambda x: x.rlike("[A-Za-z0-9]"))
-    got = documents.select(F.col(doc).alias("doc_id"), F.transform(cut, lambda x: F.struct(x.startswith(GOES_ON).alias("on"), normalised(x).alias("s"))).alias("cut"))
-    got = got.withColumn("said", F.transform("cut", lambda x: F.concat(F.when(x["on"], "").otherwise("\n"), x["s"])))
-    first = F.filter(F.transform("cut", lambda x, i: F.when(x["s"].rlike(begins), i)), lambda i: i.isNotNull())
-
-    def run(i: Column) -> Column:
-        """The pieces from i on that go on from one another, as far as a known sentence can reach, a tab after each."""
-        whole = F.array_join(F.slice("said", i + 1, most), "\t")
-        return F.concat(F.substring(F.substring_index(F.ltrim(whole, F.lit("\n")), "\t\n", 1), 1, longest + 1), F.lit("\t"))
-
-    def hits(at: Column) -> Column:
-        met = F.filter(known, lambda k: F.translate(at["run"], "\t", " ").startswith(F.concat(k["s"], F.lit(" "))) & (F.substring(at["run"], F.length(k["s"]) + 1, F.lit(1)) == "\t"))
-        return F.transform(met, lambda k: F.struct(at["pos"].cast("long").alias("pos"), k["id"].alias("id")))
-
-    found = F.flatten(F.transform(F.transform(first, lambda i: F.struct(i.alias("pos"), run(i).alias("run"))), hits))
-    got = got.select("doc_id", F.size("cut").cast("long").alias("n_sentences"), found.alias("spans"))
-    ids = F.array_join(F.transform("spans", lambda x: x["id"]), ",")
-    got = got.withColumn("sentence_ids", ids)
+    sentences, groups = sentences or SENTENCES, groups or GROUPS
+    pattern = _pattern(sentences)
+    whole = F.coalesce(F.col(text), F.lit(""))
+    cut = F.filter(F.split(whole, ENDS, -1), lambda x: x.rlike("[A-Za-z0-9]"))
+    can = F.lower(whole).rlike("|".join(ANCHORS)) if sentences is SENTENCES else F.lit(True)
+    names = F.create_map(*[F.lit(x) for i, s in sentences.items() for x in (s, i)])
+    base = documents.select(F.col(doc).alias("doc_id"), F.size(cut).cast("long").alias("n_sentences"), F.when(can, normalised(whole)).alias("norm"))
+
+    words = lambda x: F.size(F.filter(F.split(x, r"[ \x01\x02]+"), lambda w: w != ""))
+    said = F.regexp_extract_all("norm", F.lit(pattern), F.lit(1))
+    base = base.withColumn("said", F.when(F.col("norm").isNotNull(), said).otherwise(F.array().cast("array<string>"))).withColumn("gaps", F.when(F.size("said") > 0, F.transform(F.split("norm", pattern, -1), words)))
+    sizes = F.transform("said", words)
+    total = lambda a, n: F.aggregate(F.slice(a, F.lit(1), n), F.lit(0), lambda s, x: s + x)
+    span = lambda x, i: F.struct((total(F.col("gaps"), i + 1) + total(sizes, i)).alias("word"), words(x).alias("n"), F.element_at(names, F.regexp_replace(x, r"\x02\x02", " ")).alias("id"))
+    got = base.select("doc_id", "n_sentences", F.transform("said", span).alias("spans"))
+    got = got.withColumn("sentence_ids", F.array_join(F.transform("spans", lambda x: x["id"]), ","))
     line = F.concat(F.lit(","), F.col("sentence_ids"), F.lit(","))
-    met = [F.when(F.reduce(F.array(*[line.contains(f",{','.join(r)},") for n, r in rules if n == name]), F.lit(False), lambda a, b: a | b), F.lit(name)) for name in dict.fromkeys(n for n, _ in rules)]
-    return got.select("doc_id", "n_sentences", F.size("spans").cast("long").alias("n_known"), "sentence_ids", F.array_join(F.array_compact(F.array(*met)), ",").alias("licenses"), "spans")
+    met = [F.coalesce(*[F.when(line.rlike(_rule(r)), F.lit(n)) for n, r in group]) for group in groups]
+    licences = F.when(F.size("spans") > 0, F.array_join(F.array_compact(F.array(*met)), ",")).otherwise("")
+    return got.select("doc_id", "n_sentences", F.size("spans").cast("long").alias("n_known"), "sentence_ids", licences.alias("licenses"), "spans")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -107,15 +87,20 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def _oracle() -> str:
-    known = ", ".join(f"('{k}', '{v}')" for k, v in SENTENCES.items())
-    met = ", ".join("CASE WHEN " + " OR ".join(f"contains(l, ',{','.join(r)},')" for n, r in RULES if n == name) + f" THEN '{name}' END" for name in LICENCES)
+    known = ", ".join(f"('{i}', '{s}')" for i, s in SENTENCES.items())
+    norm = "lower(coalesce(text, ''))"
+    for pattern, by in STEPS:
+        said = " || ".join("' '" if c == " " else f"chr({ord(c)})" for c in by)
+        norm = f"regexp_replace({norm}, '{pattern}', {said}, 'g')"
+    met = ", ".join("CASE " + " ".join(f"WHEN regexp_matches(l, '{_rule(r)}') THEN '{n}'" for n, r in group) + " END" for group in GROUPS)
     return rf"""
 WITH known(id, s) AS (VALUES {known}),
-d AS (SELECT row_number() OVER () r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[.!?;:]+(\s|$)|\n+'), lambda x: regexp_matches(x, '[A-Za-z0-9]')) cut FROM documents),
-e AS (SELECT r, unnest(cut) raw, generate_subscripts(cut, 1) pos FROM d),
-h AS (SELECT r, count(*) n, string_agg(id, ',' ORDER BY pos) ids FROM (SELECT r, pos, trim(regexp_replace(lower(raw), '[^a-z0-9]+', ' ', 'g')) s FROM e) JOIN known USING (s) GROUP BY r),
-j AS (SELECT doc_id, len(cut) n_sentences, coalesce(n, 0) n_known, coalesce(ids, '') sentence_ids, ',' || coalesce(ids, '') || ',' l FROM d LEFT JOIN h USING (r))
-SELECT doc_id, CAST(n_sentences AS BIGINT) n_sentences, CAST(n_known AS BIGINT) n_known, sentence_ids, array_to_string(list_filter([{met}], lambda x: x IS NOT NULL), ',') licenses FROM j
+d AS (SELECT row_number() OVER () r, doc_id, len(list_filter(string_split_regex(coalesce(text, ''), '[.!?;:]+(\s|$)|\n+'), lambda x: regexp_matches(x, '[A-Za-z0-9]'))) n,
+      regexp_extract_all(chr(1) || trim({norm}) || chr(1), '{_pattern(SENTENCES)}', 1) said FROM documents),
+e AS (SELECT r, unnest(said) raw, generate_subscripts(said, 1) pos FROM d),
+h AS (SELECT r, count(*) k, string_agg(id, ',' ORDER BY pos) ids FROM (SELECT r, pos, replace(raw, chr(2) || chr(2), ' ') s FROM e) JOIN known USING (s) GROUP BY r),
+j AS (SELECT doc_id, n, coalesce(k, 0) k, coalesce(ids, '') sentence_ids, ',' || coalesce(ids, '') || ',' l FROM d LEFT JOIN h USING (r))
+SELECT doc_id, CAST(n AS BIGINT) n_sentences, CAST(k AS BIGINT) n_known, sentence_ids, array_to_string(list_filter([{met}], lambda x: x IS NOT NULL), ',') licenses FROM j
 """
 
 
