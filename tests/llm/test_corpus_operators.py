@@ -58,10 +58,10 @@ def corpus(seed, n=120):
     return rows
 
 
-@pytest.mark.parametrize("hub_rounds, small, per_task", [(8, 24, 256), (0, 24, 2), (0, 1, 256), (1, 1, 2)])
-def test_groups_equal_all_pairs(make, monkeypatch, hub_rounds, small, per_task):
-    monkeypatch.setattr(dedup, "SMALL", small)
-    monkeypatch.setattr(dedup, "PER_TASK", per_task)
+@pytest.mark.parametrize("hub_rounds, small, per_task, tile", [(8, 24, 256, 400), (0, 24, 2, 400), (0, 1, 256, 400), (0, 1, 256, 3), (1, 1, 2, 2)])
+def test_groups_equal_all_pairs(make, monkeypatch, hub_rounds, small, per_task, tile):
+    for name, value in (("SMALL", small), ("PER_TASK", per_task), ("TILE", tile)):
+        monkeypatch.setattr(dedup, name, value)
     rows = corpus(hub_rounds) + [(900, None), (901, ""), (901, ""), (902, "!!!"), (None, "lonely words here"), (903, "lonely words here")]
     got = dedup.near_duplicates(make(rows), hub_rounds=hub_rounds).collect()
     assert sorted(((r["doc_id"], r["group_id"]) for r in got), key=repr) == plain_groups(rows)
@@ -99,17 +99,6 @@ def test_dedup_finds_near_copies_that_differ_beside_long_tokens(make):
     assert got == plain_groups(rows) and len({g for _, g in got}) == 40
 
 
-def test_prefix_pairs_hold_all_similar_pairs(spark, make):
-    rows = corpus(11, 90)
-    source = dedup.classes(make(rows), "doc_id", "text")
-    texts = source.dropDuplicates(["text_id"]).select("text_id", "text").cache()
-    members = texts.select("text_id", texts["text_id"].alias("root"))
-    got = {frozenset((bytes(r["a"]), bytes(r["b"]))) for r in dedup.prefix_pairs(members, texts, 0.8).collect()}
-    sets = {bytes(r["text_id"]): shingles(r["text"]) for r in texts.collect()}
-    want = {frozenset((x, y)) for x in sets for y in sets if x < y and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])}
-    assert want and want <= got and len(got) < 3 * len(want)
-
-
 def test_dedup_finds_planted_edits_of_short_and_long_words(make):
     rng, rows = random.Random(41), []
     word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))

@@ -14,8 +14,10 @@ shares most bands with; members that are already joined need no pair of their ow
 members are all joined drop out. Rounds go on while a quarter of their pairs are links. What is left
 is exact for every size of bucket. In buckets of a few members, each member outside the largest
 component is compared with those of other components, unless their numbers of shingles alone keep
-the similarity under the threshold. The members of larger ones are joined on their rarest shingles
-(prefix filter), which finds every pair that can reach the threshold; all such pairs are verified.
+the similarity under the threshold. In larger ones the members outside the largest component are cut
+into tiles, and so are those inside; each pair of tiles with an outside one is a bounded group, which
+counts all shared shingles at once and gives only the links that join components, so no list of pairs
+is ever made.
 """
 
 from __future__ import annotations
@@ -25,14 +27,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermocline.llm.token_counts import pieces
 from thermocline.session import finished, forget, written
 
 REGISTERS, BANDS, PER_BAND, SHINGLE, THRESHOLD = 256, 36, 7, 5, 0.8
-HUB_ROUNDS, PRODUCTIVE, BROADCAST_IDS, REMEMBERED, SMALL, PER_TASK = 8, 0.25, 1_000_000, 2_000_000, 24, 256
+HUB_ROUNDS, PRODUCTIVE, BROADCAST_IDS, REMEMBERED, SMALL, PER_TASK, TILE, TILE_SHINGLES = 8, 0.05, 1_000_000, 2_000_000, 24, 256, 400, 1_000_000
 WORD = re.compile(r"\w+")
 MULTIPLY = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 GOLDEN = 0x9E3779B97F4A7C15
@@ -165,7 +167,8 @@ def salted(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs with ta and tb, the texts of a and b; b may stand in any number of pairs.
 
     A text that is the b of more than PER_TASK pairs is copied once for each PER_TASK of them, so
-    that no task takes them all. An a stands in few pairs.
+    that no task takes them all. An a stands in few pairs: in one of a hub round, in at most SMALL for
+    each band of the last.
     """
     often = pairs.groupBy("b").agg(F.ceil(F.count("*") / PER_TASK).cast("int").alias("copies")).where("copies > 1")
     often = written(often, "often")
@@ -209,56 +212,61 @@ def verified(pairs: DataFrame, texts: DataFrame, threshold: float = THRESHOLD) -
     return both.mapInArrow(run, "a binary, b binary, ra binary, rb binary, similarity double")
 
 
-def shared_shingles(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """text_id, root, size, shingle, at: the members' shingles that two or more of them have, by rank.
+def block_links(rows: list[str], columns: list[str], row_roots: list, column_roots: list, threshold: float) -> list[tuple[int, int]]:
+    """Links (row, column) between texts of different roots that join them: fewer than texts.
 
-    A text's shingles are ranked from 1, the rarest among the members first; those of one text alone
-    come before all others and are left out.
+    The table of shared shingles is counted shingle by shingle; rows and columns may be the same texts.
     """
+    known: dict[str, int] = {}
+    sets = [np.unique(shingle_hashes(word_hashes(words_of(t), known))) for t in [*rows, *columns]]
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat := np.concatenate(sets), kind="stable")
+    owner, flat = owner[order], flat[order]
+    shared = np.zeros((len(rows), len(columns)), np.int32)
+    for own in np.split(owner, np.flatnonzero(np.diff(flat)) + 1):
+        cut = int(np.searchsorted(own, len(rows)))  # owners of a shingle are in order, rows first
+        if 0 < cut < len(own):
+            shared[np.ix_(own[:cut], own[cut:] - len(rows))] += 1
+    value = shared / np.maximum(sizes[: len(rows), None] + sizes[None, len(rows) :] - shared, 1)
+    parent: dict = {}
+
+    def top(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(value >= threshold).tolist():
+        a, b = top(row_roots[i]), top(column_roots[j])
+        if a != b:
+            parent[a] = b
+            out.append((i, j))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
-        for batch in batches:
-            for part, own in pieces(batch, "text", 400_000, 500):
-                sets = [np.unique(shingle_hashes(word_hashes(words_of(t), known))) for t in own]
-                n = np.array([len(x) for x in sets])
-                row = pa.array(np.repeat(np.arange(len(sets)), n))
-                yield pa.RecordBatch.from_arrays([part.column("text_id").take(row), part.column("root").take(row), pa.array(np.repeat(n, n), pa.int32()), pa.array(np.concatenate(sets).view(np.int64))], ["text_id", "root", "size", "shingle"])
 
-    rows = members.join(texts, "text_id").select("text_id", "root", "text").mapInArrow(run, "text_id binary, root binary, size int, shingle long")
-    rows = written(rows, "shingles")
-    often = rows.groupBy("shingle").agg(F.count("*").alias("n")).where("n > 1")
-    own = Window.partitionBy("text_id")
-    ranked = F.row_number().over(own.orderBy("n", "shingle")) + F.col("size") - F.count("*").over(own)
-    return rows.join(often, "shingle").withColumn("at", ranked.cast("int")).drop("n")
+def tiled_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """The links (a, b) that join components within buckets; members as unresolved() gives them.
 
+    Outside members stand in tiles 0..p-1, those of the main component in tiles p..p+q-1; the group
+    (i, j) holds tile i, an outside one, and tile j >= i.
+    """
+    tiles = lambda n, size: F.greatest(F.ceil(n / TILE), F.ceil(size / TILE_SHINGLES)).cast("int")
+    outside, draw = F.col("root") != F.col("main"), F.xxhash64("text_id")
+    own = members.withColumn("p", tiles(F.col("n") - F.col("n_main"), F.col("s") - F.col("s_main"))).withColumn("q", tiles(F.col("n_main"), F.col("s_main")))
+    own = own.withColumn("t", F.when(outside, F.pmod(draw, F.col("p"))).otherwise(F.col("p") + F.pmod(draw, F.col("q"))).cast("int"))
+    partner = F.explode(F.sequence(F.lit(0), F.when(outside, F.col("p") + F.col("q")).otherwise(F.col("p")) - 1))
+    dealt = own.select("key", "text_id", "root", "t", partner.alias("u"))
+    dealt = dealt.select("key", F.least("t", "u").alias("i"), F.greatest("t", "u").alias("j"), "t", "text_id", "root").join(texts, "text_id")
 
-def prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b, ra, rb) of members of different roots that hold all that reach the threshold.
+    def run(group: pa.Table) -> pa.Table:
+        rows = sorted(group.select(["text_id", "root", "text", "t", "i", "j"]).to_pylist(), key=lambda r: r["text_id"])
+        one, two = ([r for r in rows if r["t"] == r[side]] for side in ("i", "j"))
+        found = block_links([r["text"] for r in one], [r["text"] for r in two], [r["root"] for r in one], [r["root"] for r in two], threshold) if one and two else []
+        return pa.table({"a": pa.array([one[i]["text_id"] for i, _ in found], pa.binary()), "b": pa.array([two[j]["text_id"] for _, j in found], pa.binary())})
 
-    Two sets of that similarity share one of the rarest 1 - t of the larger's shingles and one of the
-    rarest 1 - 2t / (1 + t) of the smaller's, at ranks that leave enough to share. Where most members
-    with a shingle have one root, only the others look for partners.
-    """
-    size, least = F.col("size"), 2 * threshold / (1 + threshold)
-    rows = shared_shingles(members, texts)
-    rows = rows.where(F.col("at") <= size - F.ceil(threshold * size - 1e-6) + 1).withColumn("rare", F.col("at") <= size - F.ceil(least * size - 1e-6) + 1)
-    rows = written(rows, "prefixes")
-    by_root = rows.groupBy("shingle", "root").agg(F.count("*").alias("n"))
-    split = by_root.groupBy("shingle").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").drop("roots")
-    left = rows.join(split, "shingle")
-    x, y = (left.select("shingle", *[F.col(c).alias(c + k) for c in ("text_id", "root", "size", "at", "rare", "main")]) for k in ("1", "2"))
-    met = x.where("root1 <> main1").join(y.drop("main2"), "shingle")
-    larger, smaller = F.greatest("size1", "size2"), F.least("size1", "size2")
-    rest = F.least("at1", "at2") + F.least(F.col("size1") - F.col("at1"), F.col("size2") - F.col("at2"))
-    near = (F.col("root1") != F.col("root2")) & (smaller >= larger * threshold - 1e-6) & (rest >= least / 2 * (larger + smaller) - 1e-6) & F.when(F.col("size1") <= F.col("size2"), F.col("rare1")).otherwise(F.col("rare2"))
-    return met.where(near).select(F.col("text_id1").alias("a"), F.col("text_id2").alias("b"), F.col("root1").alias("ra"), F.col("root2").alias("rb"))
-
-
-def ordered(pairs: DataFrame) -> DataFrame:
-    """The pairs, each once, a before b."""
-    swap = F.col("a") > F.col("b")
-    return pairs.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ra", "rb"), ("rb", "ra"))]).dropDuplicates(["a", "b"])
+    return dealt.groupBy("key", "i", "j").applyInArrow(run, "a binary, b binary")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -285,16 +293,21 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def unresolved(spots: DataFrame, salt: int) -> DataFrame:
-    """key, text_id, root, size, n, main, hub of the buckets whose members have several roots.
+    """The spots of buckets whose members have several roots, with main, hub, n, n_main, s and s_main.
 
-    main is the root of the most members, hub one member of it, drawn by the salt.
+    main is the root of the most members; n and s count the bucket's texts and their shingles, n_main
+    and s_main those of main. hub is one member of it: first the most central one, that
+    with the most company in all its buckets, as the original of many copies is nearer to each of
+    them than they are to one another; later ones drawn by the salt, central ones more often.
     """
-    drawn = F.min(F.struct(F.xxhash64("text_id", F.lit(salt)).alias("h"), "text_id"))
-    parts = spots.groupBy("key", "root").agg(F.count("*").alias("n"), drawn.alias("hub"))
-    main = F.max_by(F.struct("root", "hub"), F.struct("n", F.xxhash64("root", F.lit(salt))))
-    split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), main.alias("main")).where("parts > 1")
-    split = split.select("key", "n", F.col("main.root").alias("main"), F.col("main.hub.text_id").alias("hub"))
-    return spots.join(split, "key").select("key", "text_id", "root", "size", "n", "main", "hub")
+    chance = (F.pmod(F.xxhash64("text_id", F.lit(salt)), F.lit(1 << 20)) + 0.5) / (1 << 20)
+    draw = -F.col("central").cast("double") if not salt else -F.log(chance) / F.pow("central", F.lit(2.0))
+    drawn = F.min(F.struct(draw.alias("h"), "text_id"))
+    parts = spots.groupBy("key", "root").agg(F.count("*").alias("n"), F.sum("size").alias("s"), drawn.alias("hub"))
+    main = F.max_by(F.struct("root", "hub", "n", "s"), F.struct("n", F.xxhash64("root", F.lit(salt)))).alias("x")
+    split = parts.groupBy("key").agg(F.count("*").alias("parts"), F.sum("n").alias("n"), F.sum("s").alias("s"), main).where("parts > 1")
+    split = split.select("key", "n", "s", F.col("x.n").alias("n_main"), F.col("x.s").alias("s_main"), F.col("x.root").alias("main"), F.col("x.hub.text_id").alias("hub"))
+    return spots.join(split, "key")
 
 
 def linked(spots: DataFrame, texts: DataFrame, threshold: float, hub_rounds: int) -> DataFrame:
@@ -314,8 +327,8 @@ def linked(spots: DataFrame, texts: DataFrame, threshold: float, hub_rounds: int
             other = left.where(few).select("key", F.col("text_id").alias("b"), F.col("root").alias("rb"), F.col("size").alias("sb"))
             pairs = outside.where(few).select("key", F.col("text_id").alias("a"), F.col("root").alias("ra"), F.col("size").alias("sa")).join(other, "key")
             pairs = pairs.where((F.col("ra") != F.col("rb")) & (F.least("sa", "sb") >= F.greatest("sa", "sb") * threshold - 1e-6))  # shared / either is at most least / greatest
-            many = left.where(~few).select("text_id", "root").distinct()
-            pairs = ordered(pairs.select("a", "b", "ra", "rb").union(prefix_pairs(many, texts, threshold)))
+            swap = F.col("a") > F.col("b")
+            pairs = pairs.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in (("a", "b"), ("b", "a"), ("ra", "rb"), ("rb", "ra"))]).dropDuplicates(["a", "b"])
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -323,23 +336,26 @@ def linked(spots: DataFrame, texts: DataFrame, threshold: float, hub_rounds: int
         new = found.select("a", "b")
         links = new if links is None else links.union(new)
         if last:
-            return links
+            return links.union(written(tiled_links(left.where(F.col("n") > SMALL), texts, threshold), "links"))
         both = pairs.select("a", "b").union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         tested = both if tested is None else tested.union(both)
         asked, joined = pairs.count(), found.count()
         step = step + 1 if joined >= PRODUCTIVE * asked and asked else hub_rounds
-        spots = left.select("key", "text_id", "root", "size")
+        spots = left.select("key", "text_id", "root", "size", "central")
         if joined:
             moved = components(found.select(F.col("ra").alias("a"), F.col("rb").alias("b"))).select(F.col("node").alias("was"), F.col("root").alias("now"))
-            spots = spots.withColumnRenamed("root", "was").join(moved, "was", "left").select("key", "text_id", F.coalesce("now", "was").alias("root"), "size")
+            spots = spots.withColumnRenamed("root", "was").join(moved, "was", "left").select("key", "text_id", F.coalesce("now", "was").alias("root"), "size", "central")
 
 
 def groups(source: DataFrame, threshold: float = THRESHOLD, weight: str = "uniform", hub_rounds: int = HUB_ROUNDS) -> DataFrame:
     """text_id, root of the texts (text_id, text) that are linked to others."""
     banded = written(buckets(source, weight).groupBy("key", "text_id").agg(F.first("size").alias("size")), "bands")
-    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    spots = written(banded.join(shared, "key"), "spots")
+    shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    met = written(banded.join(shared, "key"), "met")
     forget(banded)
+    central = met.groupBy("text_id").agg(F.sum("n").alias("central"))
+    spots = written(met.drop("n").join(central, "text_id"), "spots")
+    forget(met)
     involved = written(spots.select("text_id").distinct(), "involved")
     few = involved.count() <= BROADCAST_IDS
     kept = source.join(F.broadcast(involved) if few else involved, "text_id", "left_semi")
