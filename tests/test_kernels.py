@@ -31,12 +31,29 @@ def test_dtw_equals_plain_recursion(a, b, band):
     assert N.dtw(np.array(a), np.array(b), band) == pytest.approx(plain_dtw(a, b, band), abs=1e-9)
 
 
-def test_nearest_is_exhaustive_search_and_prunes():
+def test_nearest_is_exhaustive_search_and_prunes(spark):
     rng = np.random.default_rng(1)
-    pool, query = rng.normal(size=(80, 8)).cumsum(1), rng.normal(size=8).cumsum()
-    found, pruned = N.nearest(query, pool, 2, 5)
-    assert [i for _, i in found] == sorted(range(80), key=lambda i: (plain_dtw(query, pool[i], 2), i))[:5]
-    assert pruned > 0
+    pool, asked = rng.normal(size=(80, 8)).cumsum(1), rng.normal(size=(3, 8)).cumsum(1)
+    rows = [(q, i, x.tolist(), y.tolist()) for q, x in enumerate(asked) for i, y in enumerate(pool)]
+    found = N.nearest(spark.createDataFrame(rows, "q int, i int, qa array<double>, a array<double>"), "q", "i", "qa", "a", 2, 5).collect()
+    for q, x in enumerate(asked):
+        own = sorted((r for r in found if r["q"] == q), key=lambda r: r["rank"])
+        assert [r["i"] for r in own] == sorted(range(80), key=lambda i: (round(plain_dtw(x, pool[i], 2), 9), i))[:5]
+    assert all(r["pruned"] > 0 for r in found)
+
+
+def test_warping_of_ragged_and_missing_arrays(spark):
+    rows = spark.createDataFrame([([1.0, 2.0], [1.0, 2.0, 3.0]), (None, [1.0]), ([], [1.0]), ([1.0], [3.0])], "a array<double>, b array<double>")
+    assert [r[0] for r in rows.select(N.warping(1)("a", "b")).collect()] == [1.0, None, None, 2.0]
+
+
+def test_medoids_minimise_over_all_choices():
+    rng = np.random.default_rng(12)
+    points = rng.normal(size=(12, 2))
+    distance = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
+    best = min(distance[:, list(c)].min(1).sum() for c in itertools.combinations(range(12), 3))
+    centre, label, cost = N.medoids(distance, 3, np.random.default_rng(0))
+    assert cost == pytest.approx(best, rel=0.05) and (np.diff(centre) > 0).all() and (label == distance[:, centre].argmin(1)).all()
 
 
 def test_fdr_equals_definition(spark):
@@ -57,14 +74,15 @@ def test_crps_of_mixture_is_the_integral():
 def test_quantile_inverts_cdf():
     mu, w = np.array([0.0, 3.0]), np.array([0.4, 0.6])
     for p in (0.1, 0.5, 0.9):
-        assert S.mixture_cdf(mu, w, 0.5, S.mixture_quantile(mu, w, 0.5, p)) == pytest.approx(p)
-    assert S.mixture_quantile(mu, w, 0, 0.4) == 0.0
+        assert S.mixture_cdf(mu, w, 0.5, S.mixture_quantiles(mu, w, 0.5, [p])[0]) == pytest.approx(p)
+    assert S.mixture_quantiles(mu, w, 0, [0.4, 0.5]).tolist() == [0.0, 3.0]
 
 
-def test_surrogates_keep_the_spectrum():
-    x = np.random.default_rng(3).normal(size=31)
+def test_surrogates_keep_the_mean_and_spectrum():
+    x = np.random.default_rng(3).normal(size=31) + 4
     made = S.surrogates(x, 5, np.random.default_rng(4))
     assert np.abs(np.fft.rfft(made, axis=1))[:, 1:] == pytest.approx(np.tile(np.abs(np.fft.rfft(x))[1:], (5, 1)))
+    assert made.mean(1) == pytest.approx(np.full(5, x.mean()))
 
 
 def test_field_test_finds_a_planted_link_only():
@@ -76,6 +94,18 @@ def test_field_test_finds_a_planted_link_only():
     assert (p[:5] < 1e-4).all() and (p[5:] > 0.01).mean() > 0.8
 
 
+def test_robust_errors_equal_the_double_sum():
+    rng = np.random.default_rng(13)
+    x = np.column_stack([np.ones(40), rng.normal(size=(40, 2))])
+    y = x @ [1.0, 2.0, 3.0] + rng.normal(size=40)
+    for lags in (0, 4, 60):
+        got = D.least_squares(x, y, lags)
+        bread = np.linalg.inv(x.T @ x)
+        e = y - x @ (bread @ x.T @ y)
+        middle = sum(max(0, 1 - abs(i - j) / (lags + 1)) * e[i] * e[j] * np.outer(x[i], x[j]) for i in range(40) for j in range(40))
+        assert got["se"] == pytest.approx(np.sqrt(np.diag(bread @ middle @ bread)))
+
+
 def test_ward_and_silhouette_find_two_groups():
     points = np.vstack([np.random.default_rng(6).normal(size=(8, 2)), np.random.default_rng(7).normal(size=(8, 2)) + 12])
     labels = N.ward(points, 2)

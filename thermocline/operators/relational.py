@@ -122,6 +122,13 @@ def top_k(rows: DataFrame, keys: list[str], k: int, *order: Column) -> DataFrame
     return rows.withColumn("rank", F.row_number().over(w).cast("long")).where(F.col("rank") <= k)
 
 
+def in_blocks(rows: DataFrame, queries: DataFrame, key: str, block: int = 10_000) -> DataFrame:
+    """Every row with every query, blocks of at most about `block` queries being broadcast one after another."""
+    blocks = max(1, -(-queries.count() // block))
+    own = lambda k: queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == k)
+    return reduce(DataFrame.unionByName, [rows.join(F.broadcast(own(k))) for k in range(blocks)])
+
+
 def ordered_list(value: Column, order: Column | None = None, separator: str = " ") -> Column:
     """A group's values joined in order."""
     if order is None:

@@ -12,6 +12,7 @@ from thermocline.operators import models as D
 from thermocline.operators import relational as R
 from thermocline.operators import stats as S
 from thermocline.plans.registry import MONTHLY, TOTAL, monthly, query, total
+from thermocline.session import written
 
 RANKS = f"""WITH {MONTHLY}, {TOTAL}, b AS (SELECT nation, region, month(m.month)::BIGINT AS mo, m.v AS y, total.v AS x FROM monthly m JOIN total USING (month)),
 k AS (SELECT nation, mo, rank() OVER (PARTITION BY nation, mo ORDER BY x) + (count(*) OVER (PARTITION BY nation, mo, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY nation, mo ORDER BY y) + (count(*) OVER (PARTITION BY nation, mo, y) - 1) / 2.0 AS ry FROM b),
@@ -104,7 +105,7 @@ def itemsets(t):
 
 
 def found_rules(t):
-    rows = baskets(t)
+    rows = written(baskets(t), "baskets")
     return N.rules(N.itemsets(rows, "items", 4, 3), rows.count(), "season=", 0.2, 1.1)
 
 
@@ -124,28 +125,50 @@ def closed_rules(t):
     return found.select("antecedent", F.array_join("consequent", " ").alias("consequent"), "n", F.date_format(F.col("hits")[0], "yyyy-MM-dd").alias("first_hit"))
 
 
-def rule_test(t):
-    """One-sided permutation p of each rule's hits, 199 shuffles of the antecedent, then BH."""
-    rows, rules_ = baskets(t), found_rules(t)
-    flat = rules_.crossJoin(F.broadcast(rows.agg(F.collect_list(F.array_sort("items")).alias("all"))))
-    one = flat.select("antecedent", F.array_join("consequent", " ").alias("said"), F.transform("all", lambda b: F.array_contains(b, F.col("antecedent")).cast("int")).alias("a"), F.transform("all", lambda b: (F.size(F.array_except("consequent", b)) == 0).cast("int")).alias("c")).withColumnRenamed("said", "consequent")
+SHUFFLES = 199
+#: A shuffle's order of things: by a digest of its number and their key, so that SQL and Spark draw alike.
+DRAW_SQL = "md5(rep || ':' || {key})"
 
-    def test(g, rng):
-        a, c = np.array(g["a"].iloc[0]), np.array(g["c"].iloc[0])
-        null = np.array([rng.permutation(a) @ c for _ in range(199)])
-        return {"n": int(a @ c), "p": float((1 + (null >= a @ c).sum()) / 200)}
 
-    return S.with_q(S.grouped(one, ["antecedent", "consequent"], "antecedent string, consequent string, n long, p double", test, seed=13), "p")
+def drawn(key):
+    return F.md5(F.concat_ws(":", F.col("rep").cast("string"), key))
+
 
+def shuffled(rows, first: int = 1):
+    """rows for each shuffle (rep)."""
+    return rows.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(SHUFFLES))))
+
+
+@query(RULES + f""", b AS (SELECT DISTINCT month FROM i2), o AS (SELECT rep, month, row_number() OVER (PARTITION BY rep ORDER BY {DRAW_SQL.format(key="strftime(month, '%Y-%m-%d')")}, month) AS place FROM b, range(1, {SHUFFLES + 1}) x(rep)),
+bi AS (SELECT month, list(item) AS items FROM i2 GROUP BY month), m AS (SELECT antecedent, consequent, antecedent_n, month FROM ru JOIN bi ON list_has_all(items, consequent)),
+h AS (SELECT antecedent, consequent, rep, count(*) FILTER (WHERE place <= antecedent_n) AS hits FROM m JOIN o USING (month) GROUP BY ALL),
+e AS (SELECT ru.antecedent, array_to_string(ru.consequent, ' ') AS consequent, ru.n, (1 + count(*) FILTER (WHERE hits >= ru.n)) / {SHUFFLES + 1}.0::DOUBLE AS p FROM ru LEFT JOIN h USING (antecedent, consequent) GROUP BY ALL),
+q AS (SELECT *, row_number() OVER (ORDER BY p, antecedent, consequent) AS place, count(*) OVER () AS m FROM e)
+SELECT antecedent, consequent, n, round(p, 6) AS p, round(least(1.0, min(p * m / place) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM q""")
+def rule_test(t):
+    """One-sided permutation p of each rule's hits, then BH.
 
-query()(rule_test)
+    A shuffle puts the baskets in an order of its own and deals the antecedent to the first of them,
+    as many as have it; a rule's hits are then the baskets with its consequent among those.
+    """
+    rows, found = baskets(t), found_rules(t)
+    order = shuffled(rows.select("month")).withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(drawn(F.date_format("month", "yyyy-MM-dd")), "month")))
+    item = rows.select("month", F.explode("items").alias("i"))
+    want = found.select("antecedent", "consequent", "antecedent_n", F.explode("consequent").alias("i"))
+    met = want.join(item, "i").groupBy("antecedent", "consequent", "antecedent_n", "month").count().where(F.col("count") == F.size("consequent"))
+    hits = met.join(order, "month").where("place <= antecedent_n").groupBy("antecedent", "consequent", "rep").agg(F.count("*").alias("hits"))
+    beyond = found.join(hits, ["antecedent", "consequent"], "left").groupBy("antecedent", "consequent", "n").agg(((1 + F.count_if(F.col("hits") >= F.col("n"))) / F.lit(SHUFFLES + 1.0)).alias("p"))
+    named = beyond.select("antecedent", F.array_join("consequent", " ").alias("consequent"), "n", "p")
+    return S.with_q(named, "p").select("antecedent", "consequent", "n", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
 
 
-VEC = """WITH e AS (SELECT vec_id, label, list_transform(embedding[1:12], lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings), q AS (SELECT vec_id AS q, a AS qa FROM e WHERE vec_id % 100 = 0)"""
+VEC = """WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings), q AS (SELECT vec_id AS q, a AS qa FROM e WHERE vec_id % 100 = 0),
+p AS (SELECT q, vec_id, qa, a FROM q JOIN e ON vec_id <> q)"""
+APART = "sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda i: (qa[i] - a[i]) * (qa[i] - a[i]))))"
 
 
 def vectors(t):
-    return t.embeddings.select("vec_id", "label", F.transform(F.slice("embedding", 1, 12), lambda x: x.cast("double")).alias("a"))
+    return t.embeddings.select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("a"))
 
 
 def asked(t):
@@ -153,40 +176,38 @@ def asked(t):
     return vectors(t).where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("a").alias("qa"))
 
 
-@query(VEC + " SELECT q, vec_id, round(sqrt(list_sum(list_transform(range(1, 13), lambda i: (qa[i] - a[i]) * (qa[i] - a[i])))), 6) AS d, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d0, vec_id) AS rank FROM (SELECT q, qa, a, vec_id, round(sqrt(list_sum(list_transform(range(1, 13), lambda i: (qa[i] - a[i]) * (qa[i] - a[i])))), 9) AS d0 FROM q JOIN e ON vec_id <> q)) WHERE rank <= 8")
+def searched(t):
+    """q, vec_id, qa, a: every query against all other rows, blocks of queries broadcast in turn."""
+    return R.in_blocks(vectors(t), asked(t), "q").where(F.col("vec_id") != F.col("q"))
+
+
+@query(VEC + f" SELECT q, vec_id, round(d0, 6) AS d, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d0, vec_id) AS rank FROM (SELECT q, vec_id, round({APART}, 9) AS d0 FROM p)) WHERE rank <= 8")
 def knn_topk(t):
     """The nearest eight of each query vector."""
-    pairs = vectors(t).join(F.broadcast(asked(t)), F.col("vec_id") != F.col("q")).withColumn("d0", F.round(N.euclidean(F.col("qa"), F.col("a")), 9))
+    pairs = searched(t).withColumn("d0", F.round(N.euclidean(F.col("qa"), F.col("a")), 9))
     return R.top_k(pairs, ["q"], 8, F.col("d0"), F.col("vec_id")).select("q", "vec_id", F.round("d0", 6).alias("d"), "rank")
 
 
-@query(VEC + """, p AS (SELECT q, vec_id, qa, a FROM q JOIN e ON vec_id <> q)
-SELECT q, vec_id, round(sqrt(list_sum(list_transform(range(1, 13), lambda i: greatest(a[i] - list_max(qa[greatest(i - 2, 1):least(i + 2, 12)]), list_min(qa[greatest(i - 2, 1):least(i + 2, 12)]) - a[i], 0.0) ** 2))), 6) AS bound FROM p""")
+@query(VEC + """ SELECT q, vec_id, round(sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda i: greatest(a[i] - list_max(qa[greatest(i - 2, 1):least(i + 2, len(a))]), list_min(qa[greatest(i - 2, 1):least(i + 2, len(a))]) - a[i], 0.0) ** 2))), 6) AS bound FROM p""")
 def lb_keogh(t):
     """The envelope bound of each pair of the query set."""
-    pairs = vectors(t).join(F.broadcast(asked(t)), F.col("vec_id") != F.col("q"))
-    return pairs.select("q", "vec_id", F.round(N.lower_bound(F.col("qa"), F.col("a"), 2), 6).alias("bound"))
+    return searched(t).select("q", "vec_id", F.round(N.lower_bound(F.col("qa"), F.col("a"), 2), 6).alias("bound"))
 
 
-@query(VEC + " SELECT x.q AS a, y.q AS b, round(sqrt(list_sum(list_transform(range(1, 13), lambda i: (x.qa[i] - y.qa[i]) ** 2))), 6) AS d FROM q x JOIN q y ON x.q < y.q")
+@query(VEC + f" SELECT q AS a, vec_id AS b, round({APART}, 6) AS d FROM p WHERE q < vec_id OR vec_id % 100 <> 0")
 def pair_distances(t):
-    """Distances between the query vectors, each pair once."""
-    one, two = asked(t).select(F.col("q").alias("a"), F.col("qa").alias("va")), asked(t).select(F.col("q").alias("b"), F.col("qa").alias("vb"))
-    return one.join(F.broadcast(two), F.col("a") < F.col("b")).select("a", "b", F.round(N.euclidean(F.col("va"), F.col("vb")), 6).alias("d"))
+    """Distances between the query vectors and all vectors, each pair once."""
+    pairs = searched(t).where((F.col("q") < F.col("vec_id")) | (F.col("vec_id") % 100 != 0))
+    return pairs.select(F.col("q").alias("a"), F.col("vec_id").alias("b"), F.round(N.euclidean(F.col("qa"), F.col("a")), 6).alias("d"))
 
 
-@query()
+@query(VEC + """, w AS (SELECT q, vec_id, qa, a, 0 AS d, list_transform(range(0, len(a) + 1), lambda i: CASE WHEN i = 1 THEN (qa[1] - a[1]) ** 2 ELSE 'inf'::DOUBLE END) AS p1, list_transform(range(0, len(a) + 1), lambda i: 'inf'::DOUBLE) AS p2 FROM p
+UNION ALL SELECT q, vec_id, qa, a, d + 1, list_transform(range(0, len(a) + 1), lambda i: CASE WHEN i >= 1 AND d + 2 - i BETWEEN 0 AND len(a) - 1 AND abs(2 * (i - 1) - (d + 1)) <= 2 THEN (qa[i] - a[d + 3 - i]) ** 2 + least(p1[i], p1[i + 1], p2[i]) ELSE 'inf'::DOUBLE END), p1 FROM w WHERE d < 2 * len(a) - 2),
+z AS (SELECT q, vec_id, round(sqrt(p1[len(a) + 1]), 9) AS d0 FROM w WHERE d = 2 * len(a) - 2)
+SELECT q, vec_id, round(d0, 6) AS dtw, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d0, vec_id) AS rank FROM z) WHERE rank <= 8""")
 def dtw_nearest(t):
-    """The eight nearest by time warping, each query against blocks of the pool, then merged."""
-    pool = vectors(t).withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(16)))
-    pairs = pool.join(F.broadcast(asked(t)), F.col("vec_id") != F.col("q"))
-
-    def search(g, rng):
-        found, pruned = N.nearest(np.array(g["qa"].iloc[0]), np.stack(g["a"].to_numpy()), 2, 8)
-        return [{"vec_id": int(g["vec_id"].iloc[i]), "d": round(d, 9), "pruned": pruned} for d, i in found]
-
-    best = S.grouped(pairs.select("q", "block", "vec_id", "qa", "a"), ["q", "block"], "q long, block long, vec_id long, d double, pruned long", search, order=["vec_id"])
-    return R.top_k(best, ["q"], 8, F.col("d"), F.col("vec_id")).select("q", "vec_id", F.round("d", 6).alias("dtw"), "rank")
+    """The eight nearest by time warping; pairs beyond the eighth's bound are never warped."""
+    return N.nearest(searched(t), "q", "vec_id", "qa", "a", 2, 8).select("q", "vec_id", F.round("d", 6).alias("dtw"), "rank")
 
 
 MEMBERS = f"""WITH {MONTHLY}, y AS (SELECT nation, CAST(year(month) AS BIGINT) AS yr, round(sum(CAST(round(v * 100) AS BIGINT)) / 100.0::DOUBLE / count(*) / 1e5, 6) AS x, round(avg(n), 6) AS z FROM monthly GROUP BY ALL)"""
@@ -285,18 +306,30 @@ def skill_scores(t):
     return rows.select("subset", "method", "winters", F.round("c", 6).alias("crps"), F.round(S.skill(F.col("c"), base), 6).alias("crpss"))
 
 
-@query()
-def skill_interval(t):
-    """Paired bootstrap interval of the analog's skill."""
-    wide = hindcast(t).groupBy("nation", "yr").pivot("method", ["climatology", "analog"]).agg(F.first("crps"))
+RESAMPLES = 499
+#: A resample's pick for each place: a number under n from a digest.
+PICK_SQL = "CAST(('0x' || substr(md5(rep || ':' || place), 1, 8))::BIGINT % n AS BIGINT) + 1"
+
 
-    def interval(g, rng):
-        a, c = g["analog"].to_numpy(), g["climatology"].to_numpy()
-        pick = rng.integers(0, len(a), (500, len(a)))
-        lo, hi = np.quantile(1 - a[pick].mean(1) / c[pick].mean(1), [0.05, 0.95])
-        return {"winters": len(a), "lo": lo, "hi": hi}
+def resampled(rows, keys: list[str], order: str):
+    """rows with rep and place for each resample: every place of a group takes a drawn row of it."""
+    own = Window.partitionBy(*keys)
+    placed = rows.withColumn("place", F.row_number().over(own.orderBy(order))).withColumn("n", F.count("*").over(own))
+    spots = placed.select(*keys, "n", "place", F.explode(F.sequence(F.lit(1), F.lit(RESAMPLES))).alias("rep"))
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "place")), 1, 8), 16, 10).cast("long") % F.col("n") + 1
+    return spots.select(*keys, "rep", pick.cast("int").alias("place")).join(placed, [*keys, "place"])
 
-    return S.grouped(wide.dropna(), ["nation"], "nation string, winters long, lo double, hi double", interval, seed=17, order=["yr"])
+
+@query(HIND + f""", wide AS (SELECT nation, yr, max(crps) FILTER (WHERE method = 'analog') AS a, max(crps) FILTER (WHERE method = 'climatology') AS c FROM s GROUP BY ALL),
+pl AS (SELECT *, row_number() OVER (PARTITION BY nation ORDER BY yr) AS place, count(*) OVER (PARTITION BY nation) AS n FROM wide WHERE a IS NOT NULL AND c IS NOT NULL),
+dr AS (SELECT nation, rep, {PICK_SQL} AS place FROM pl, range(1, {RESAMPLES + 1}) x(rep)),
+sk AS (SELECT nation, rep, n, 1 - avg(a) / avg(c) AS skill FROM dr JOIN pl USING (nation, place) GROUP BY ALL)
+SELECT nation, any_value(n) AS winters, round(quantile_cont(skill, 0.05), 6) AS lo, round(quantile_cont(skill, 0.95), 6) AS hi FROM sk GROUP BY nation""")
+def skill_interval(t):
+    """Paired bootstrap interval of the analog's skill."""
+    wide = hindcast(t).groupBy("nation", "yr").pivot("method", ["climatology", "analog"]).agg(F.first("crps")).dropna()
+    skills = resampled(wide, ["nation"], "yr").groupBy("nation", "rep", "n").agg(S.skill(F.avg("analog"), F.avg("climatology")).alias("skill"))
+    return skills.groupBy("nation").agg(F.first("n").alias("winters"), F.round(F.percentile("skill", F.lit(0.05)), 6).alias("lo"), F.round(F.percentile("skill", F.lit(0.95)), 6).alias("hi"))
 
 
 @query()
@@ -385,13 +418,37 @@ def event_families(t):
     return S.grouped(rows, ["g"], "g int, nation string, family int, is_medoid boolean", families, seed=5, order=["nation"]).drop("g")
 
 
-@query()
+def permuted_correlation(rows, keys: list[str], order: str, x: str, y: str):
+    """keys, r, p: the correlation of x and y, and how often shuffles of x reach it, (1 + hits) / (shuffles + 1)."""
+    own = Window.partitionBy(*keys)
+    placed = rows.withColumn("place", F.row_number().over(own.orderBy(order)))
+    moved = shuffled(placed.select(*keys, F.col(order).alias("__o"), F.col(x).alias("__x")), 0)
+    at = F.when(F.col("rep") == 0, F.row_number().over(Window.partitionBy(*keys, "rep").orderBy("__o"))).otherwise(F.row_number().over(Window.partitionBy(*keys, "rep").orderBy(drawn(F.col("__o").cast("string")), "__o")))
+    both = moved.withColumn("place", at).select(*keys, "rep", "place", "__x").join(placed.select(*keys, "place", F.col(y).alias("__y")), [*keys, "place"])
+    r = both.groupBy(*keys, "rep").agg(F.corr("__x", "__y").alias("r"))
+    real = F.max(F.when(F.col("rep") == 0, F.col("r"))).over(own)
+    reached = F.count_if((F.col("rep") > 0) & (F.abs("r") >= F.abs("real") - 1e-9))
+    return r.withColumn("real", real).groupBy(*keys).agg(F.first("real").alias("r"), ((1 + reached) / F.lit(SHUFFLES + 1.0)).alias("p")).where(F.col("r").isNotNull() & ~F.isnan("r"))
+
+
+def permuted_sql(source: str, keys: str, order: str, x: str, y: str) -> str:
+    """The CTE pt (keys, r, p) of permuted_correlation() over a CTE."""
+    return f"""pa AS (SELECT {keys}, {y} AS y, row_number() OVER (PARTITION BY {keys} ORDER BY {order}) AS place FROM {source}),
+pb AS (SELECT {keys}, rep, {x} AS x, CASE WHEN rep = 0 THEN row_number() OVER (PARTITION BY {keys}, rep ORDER BY {order}) ELSE row_number() OVER (PARTITION BY {keys}, rep ORDER BY {DRAW_SQL.format(key=order)}, {order}) END AS place FROM {source}, range(0, {SHUFFLES + 1}) x(rep)),
+pr AS (SELECT {keys}, rep, CASE WHEN min(x) = max(x) OR min(y) = max(y) THEN NULL ELSE corr(x, y) END AS r FROM pa JOIN pb USING ({keys}, place) GROUP BY {keys}, rep),
+ps AS (SELECT *, max(r) FILTER (WHERE rep = 0) OVER (PARTITION BY {keys}) AS real FROM pr),
+pt AS (SELECT {keys}, any_value(real) AS r, (1 + count(*) FILTER (WHERE rep > 0 AND abs(r) >= abs(real) - 1e-9)) / {SHUFFLES + 1}.0::DOUBLE AS p FROM ps GROUP BY {keys} HAVING any_value(real) IS NOT NULL)"""
+
+
+@query(MEMBERS + ", " + permuted_sql("y", "nation", "yr", "x", "z") + f""", pl AS (SELECT nation, x, row_number() OVER (PARTITION BY nation ORDER BY yr) AS place, count(*) OVER (PARTITION BY nation) AS n FROM y),
+dr AS (SELECT nation, rep, {PICK_SQL} AS place FROM pl, range(1, {RESAMPLES + 1}) x(rep)), mn AS (SELECT nation, rep, avg(x) AS m FROM dr JOIN pl USING (nation, place) GROUP BY ALL),
+iv AS (SELECT nation, round(quantile_cont(m, 0.05), 6) AS lo, round(quantile_cont(m, 0.95), 6) AS hi FROM mn GROUP BY nation),
+q AS (SELECT *, row_number() OVER (ORDER BY p, nation) AS place, count(*) OVER () AS m FROM pt)
+SELECT nation, round(r, 6) AS r, round(p, 6) AS p, round(least(1.0, min(p * m / place) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q, lo, hi FROM q JOIN iv USING (nation)""")
 def permutation_test(t):
     """Correlation of value and orders with a permutation p, and a bootstrap interval of the mean; BH over nations."""
-
-    def one(g, rng):
-        r, p = S.permutation_correlation(g["x"].to_numpy(), g["z"].to_numpy(), 199, rng)
-        lo, hi = S.bootstrap_interval(g["x"].to_numpy(), 200, rng)
-        return {"r": r, "p": p, "lo": lo, "hi": hi}
-
-    return S.with_q(S.grouped(yearly(t), ["nation"], "nation string, r double, p double, lo double, hi double", one, seed=19, order=["yr"]), "p")
+    rows = yearly(t)
+    tested = S.with_q(permuted_correlation(rows, ["nation"], "yr", "x", "z"), "p")
+    means = resampled(rows.select("nation", "yr", "x"), ["nation"], "yr").groupBy("nation", "rep").agg(F.avg("x").alias("m"))
+    interval = means.groupBy("nation").agg(F.round(F.percentile("m", F.lit(0.05)), 6).alias("lo"), F.round(F.percentile("m", F.lit(0.95)), 6).alias("hi"))
+    return tested.join(interval, "nation").select("nation", F.round("r", 6).alias("r"), F.round("p", 6).alias("p"), F.round("q", 6).alias("q"), "lo", "hi")

@@ -10,7 +10,7 @@ from thermocline.functions import columns as C
 from thermocline.operators import models as D
 from thermocline.operators import relational as R
 from thermocline.operators import stats as S
-from thermocline.plans.mining import MEMBERS, yearly
+from thermocline.plans.mining import MEMBERS, permuted_correlation, permuted_sql, yearly
 from thermocline.plans.registry import MONTHLY, TOTAL, monthly, query, total
 from thermocline.plans.series import premiums
 
@@ -53,17 +53,13 @@ def hydro(t):
     return rows.join(F.broadcast(wet), "winter").select(F.month("month").cast("long").alias("month_no"), "winter", "centred", "x")
 
 
-@query()
+@query(HYDRO + ", hy AS (SELECT CAST(month(month) AS BIGINT) AS month_no, winter, centred, x FROM ce JOIN dr ON year(month) - 1 = winter WHERE month(month) <= 9), " + permuted_sql("hy", "month_no", "winter", "centred", "x") + """,
+q AS (SELECT *, row_number() OVER (ORDER BY p, month_no) AS place, count(*) OVER () AS m FROM pt)
+SELECT month_no, round(r, 6) AS r, round(p, 6) AS p, round(least(1.0, min(p * m / place) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM q""")
 def hydro_lag_test(t):
     """Permutation p for each month, then BH over the months."""
-
-    def one(g, rng):
-        if len(g) < 4 or g["x"].std() == 0:
-            return []
-        r, p = S.permutation_correlation(g["centred"].to_numpy(), g["x"].to_numpy(), 199, rng)
-        return {"r": r, "p": p}
-
-    return S.with_q(S.grouped(hydro(t), ["month_no"], "month_no long, r double, p double", one, seed=20, order=["winter"]), "p")
+    found = S.with_q(permuted_correlation(hydro(t), ["month_no"], "winter", "centred", "x"), "p")
+    return found.select("month_no", *[F.round(c, 6).alias(c) for c in ("r", "p", "q")])
 
 
 SCENARIOS = MEMBERS + """, sc AS (SELECT nation, yr, x, z, s FROM y, (SELECT unnest([8.0::DOUBLE, 10.0, 12.0]) AS s)), t AS (SELECT *, unnest(range(0, 40)) AS k FROM sc), w AS (SELECT *, exp(-0.5 * ((z - s) / (0.4 * 1.25 ** k)) ** 2) AS w FROM t),
