@@ -197,6 +197,37 @@ def test_base_spans_equal_plain_search(make, spark, sf):
     assert pii.scan(make(EDGE)).count() == len(EDGE) and pii.scan(make([])).count() == 0
 
 
+def test_learned_kinds_are_precise_and_found_on_planted_texts(spark):
+    told = pii.planted(spark, 1500, seed=77).cache()
+    spans = pii.scan(told, "row").select("doc_id", F.explode("spans").alias("s")).where("not s.base").select(F.col("doc_id").alias("row"), "s.kind", "s.start", "s.end").collect()
+    truth = {(r["row"], r["kind"], r["start"], r["end"]) for r in told.where("is_true").collect()}
+    for r in told.where("is_true").limit(50).collect():
+        assert pii.KINDS[r["kind"]] in pii.PLANT and 0 < r["end"] - r["start"] <= len(r["text"])
+    for kind in range(4, len(pii.KINDS)):
+        got = {tuple(x) for x in spans if x["kind"] == kind}
+        own = {x for x in truth if x[1] == kind}
+        assert len(got & own) >= 0.9 * len(got) and len(got & own) >= 0.6 * len(own), pii.KINDS[kind]
+
+
+def test_a_secret_is_its_value_and_not_its_key_word(spark, make):
+    text = 'ok token = "4bb0c75cc3b0398440b6ca30dd75e60e" end'
+    got = [(pii.KINDS[s["kind"]], text[s["start"] : s["end"]]) for s in pii.scan(make([(1, text)])).first()["spans"]]
+    assert ("secret", "4bb0c75cc3b0398440b6ca30dd75e60e") in got
+
+
+def test_the_registered_digest_equals_plain_search(spark, sf):
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    names = list(PATTERNS)
+    rows = pii.query(spark, sf).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        found = base_spans(texts[r["doc_id"]])
+        assert [r[f"n_{n}"] for n in names] == [sum(k == i for k, _, _ in found) for i in range(4)]
+        said = [f"{names[k]}:{a}:{b}" for k, a, b in found]
+        assert r["base_sha256"] == hashlib.sha256(",".join(said).encode()).hexdigest()
+        assert set(said) <= set(r["spans"].split(",")) | {""}
+
+
 def test_trees_separate_and_redaction_covers_overlaps(make):
     x = np.array([[0, 0], [5, 1], [5, 0], [0, 1]])
     kind, n, pos = np.array([4, 4, 4, 4]), np.array([50, 50, 50, 50]), np.array([0, 50, 48, 1])

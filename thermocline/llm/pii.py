@@ -1,11 +1,12 @@
 """Personal data: high-recall span generators, boosted trees on format and context, calibrated thresholds.
 
 Generators propose overlapping spans by pattern. The base kinds (email, ip, card, phone) are decided by
-their own checks. The further kinds (key, secret, number) are decided by gradient-boosted trees of
-depth two over binned features; they are fitted to counts of all candidates by feature combination,
-whose number is bounded by the bins, with the checks and known formats as labels. Held-out candidates
-calibrate the scores and each kind's threshold. Candidates, features, counts and scores are JVM-side
-functions; only the bounded counts come to the driver.
+their own checks. The further kinds are decided by gradient-boosted trees of depth two over binned
+features of a candidate's form and of the words around it. They learn from planted texts: sentences of
+which it is known what stands in them, true values of each kind and decoys of the same form, so labels
+do not come from the features. One half of the planted texts grows the trees, the other calibrates
+scores and each kind's threshold; there are as many as `planted` says, whatever the corpus. Candidates,
+features, counts and scores are JVM-side functions; only the planted counts come to the driver.
 """
 
 from __future__ import annotations
@@ -13,41 +14,60 @@ from __future__ import annotations
 from functools import reduce
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thermocline.session import written
-
 BASE = ("email", "ip", "card", "phone")
-KINDS = (*BASE, "key", "secret", "number")
+KINDS = (*BASE, "key", "secret", "iban", "number", "birth", "address", "name")
 #: Each finds the leftmost non-overlapping matches; possessive, and begun only where a match can begin,
-#: so that time is linear in the text. \G: where the last match ended.
+#: so that time is linear in the text. \\G: where the last match ended.
 PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "key": r"(?<![A-Za-z0-9_])[A-Za-z0-9_]{16,}+(?![A-Za-z0-9_])",
-    "secret": r"(?i)(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key)[\x20]?[=:][\x20]?[^\s,;]++",
+    "secret": r"((?:[Pp]assword|PASSWORD|passwd|pwd|[Ss]ecret|SECRET|[Tt]oken|TOKEN|[Aa]pi[_-]?[Kk]ey|API_KEY|[Pp]asswort|contraseña|mot de passe)\x20?[=:]\x20?[\x22']?)([^\s,;=:\x22']*[^\s,;=:.!?)\x22'])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "number": r"[0-9](?:[\x20.-]?+[0-9]){5,}+",
+    "birth": r"(?<![0-9./-])(?:[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{4}|[0-9]{4}-[0-9]{2}-[0-9]{2})(?![0-9])",
+    "address": r"(?<![A-Za-z0-9])(?:[0-9]{1,5}[a-z]?\x20(?:[A-Z][a-z]+\x20){1,3}(?:Street|Road|Avenue|Lane|Drive|Boulevard|Court|Place)\b|[0-9]{1,4},?\x20(?:rue|avenue|boulevard|place)\x20(?:de\x20|du\x20|des\x20|la\x20)*+[A-Z][a-z]+|[A-Z][a-z]+(?:straße|strasse|weg|platz|gasse|allee)\x20[0-9]{1,4}|(?:[Cc]alle|[Aa]venida|[Pp]laza)\x20(?:de\x20|del\x20|la\x20)*+[A-Z][a-zí]+,?\x20[0-9]{1,4})",
+    "name": r"\p{Lu}(?<![\p{L}'’-]\p{Lu})\p{Ll}{1,20}(?:[\x20-]\p{Lu}\p{Ll}{1,20}){1,2}(?![\p{L}])",
+}
+NEEDED = {"email": "@", "phone": "+", "secret": "=:"} | {k: "0123456789" for k in ("ip", "card", "iban", "number", "birth", "address")}
+#: Words that speak of a kind, in four languages, just before or after a candidate.
+CUES = {
+    "credential": "password|passwd|pwd|passwort|contraseña|mot de passe|secret|token|api.?key|access.?key|credentials?|login",
+    "bank": "iban|account|konto|kontonummer|cuenta|compte|bank|bic|virement|überweisung",
+    "identity": "ssn|social security|passport|reisepass|personalausweis|ausweis|dni|nif|nie|passeport|sécurité sociale|tax id|steuernummer|driver.?s licen[cs]e|national id|insurance no",
+    "born": "born|birth|dob|geboren|geburtsdatum|geb|né|née|naissance|nacido|nacida|nacimiento",
+    "person": "mr|mrs|ms|dr|prof|herr|frau|monsieur|madame|mme|señor|señora|sr|sra|dear|name|named|nombre|nom|contact|patient|signed|regards|liebe|lieber|estimado|cher|chère",
+    "other": "order|invoice|version|isbn|issn|doi|ref|reference|ticket|page|chapter|commit|build|sha|hash|checksum|model|part|item|serial|batch|bestellung|rechnung|commande|facture|pedido|factura|released|published|updated|posted|since|until|on|am|le|el|in",
 }
-NEEDED = {"email": "@", "ip": ".", "phone": "+", "secret": None, "key": None, "card": None, "number": None}
-CUE = r"(?i)(?:pass|secret|token|key|card|visa|iban|account|konto|cuenta|compte|ssn|tel|phone|fax|mobile|call|dob|born)[^A-Za-z]{0,3}$"
-FORMAT = r"^(?:AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk_[A-Za-z0-9_]{16,}|AIza[A-Za-z0-9_]{30,}|xox[abp]_[A-Za-z0-9_]{10,})$"
-FEATURES = ("length", "digits", "uppers", "marks", "cue", "before", "mixed")
-BINS = (16, 5, 5, 6, 2, 4, 2)
-ROUNDS, RATE, PRECISION = 20, 0.4, 0.9
+FEATURES = ("length", "digits", "uppers", "lowers", "marks", "groups", "before", "after", *CUES)
+BEGIN, END = "\u0001", "\u0002"
+ROUNDS, RATE, PRECISION, PLANTED, DECOYS = 40, 0.4, 0.9, 8_000, 10
+
+
+def marked(text: Column, kind: str) -> Column:
+    """The text cut before each match of the kind; a match's end is marked. One pass over the text, none where no match can be."""
+    group = f"$1{BEGIN}$2{END}" if kind == "secret" else f"{BEGIN}$0{END}"
+    cut = F.split(F.regexp_replace(text, PATTERNS[kind], group), BEGIN)
+    return F.when(reduce(lambda a, c: a | c, [text.contains(x) for x in NEEDED[kind]]), cut).otherwise(F.array(text)) if kind in NEEDED else cut
+
+
+def proposals(pieces: Column, kind: str) -> Column:
+    """array<struct<kind,gap,m,before,after>> of a column made by marked(): gap is the length of the text since the last match of the kind.
 
+    Of a secret the value alone is m; its key word is in the gap.
+    """
+    n = F.size(pieces) - 1
+
+    def near(last: Column, own: Column) -> Column:
+        lead, rest = F.substring_index(last, END, -1), F.substring_index(own, END, -1)
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.length(lead).alias("gap"), F.substring_index(own, END, 1).alias("m"), F.right(lead, F.lit(28)).alias("before"), F.left(rest, F.lit(12)).alias("after"))
 
-def proposals(text: Column, kind: str) -> Column:
-    """array<struct<kind,gap,m,before>>: gap is the length of the text since the last match of the kind."""
-    pattern = PATTERNS[kind]
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    made = F.filter(F.zip_with(gaps, found, lambda g, m: F.struct(F.lit(KINDS.index(kind)).alias("kind"), F.length(g).alias("gap"), m.alias("m"), F.right(g, F.lit(24)).alias("before"))), lambda x: x["m"].isNotNull())
-    can = text.contains(NEEDED[kind]) if NEEDED[kind] else text.rlike("[0-9]") if kind in ("card", "number") else text.rlike(r"[A-Za-z0-9_]{16}") if kind == "key" else text.rlike(r"[=:]")
-    if kind in ("ip", "phone"):
-        can = can & text.rlike("[0-9]")
-    return F.when(can, made).otherwise(F.array().cast("array<struct<kind:int,gap:int,m:string,before:string>>"))
+    return F.zip_with(F.slice(pieces, F.lit(1), n), F.slice(pieces, F.lit(2), n), near)
 
 
 def passes(m: Column) -> dict[str, Column]:
@@ -61,29 +81,33 @@ def passes(m: Column) -> dict[str, Column]:
 
 
 def candidates(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
-    """row, doc_id and a candidate per line (kind null where a row has none): start, end, ok, label, features, fold."""
+    """row, doc_id and a candidate per line (kind null where a row has none): start, end, ok, m's features."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc_id"), F.concat(*[proposals(whole, k) for k in KINDS]).alias("all"))
-    each = rows.select("row", "doc_id", F.posexplode_outer("all").alias("i", "x")).select("row", "doc_id", "i", "x.kind", "x.gap", "x.m", "x.before")
-    along = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    each = each.repartition("row").withColumn("end", F.sum(F.col("gap") + F.length("m")).over(along)).withColumn("start", F.col("end") - F.length("m"))
-    m, before, kind = F.col("m"), F.col("before"), F.col("kind")
+    whole = F.when(whole.contains(BEGIN) | whole.contains(END), F.translate(whole, BEGIN + END, "__")).otherwise(whole)
+    rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc_id"), whole.alias("whole"))
+    rows = rows.select("row", "doc_id", *[marked(F.col("whole"), k).alias(f"cut_{k}") for k in KINDS])
+    rows = rows.select("row", "doc_id", F.concat(*[proposals(F.col(f"cut_{k}"), k) for k in KINDS]).alias("all"))
+    each = rows.select("row", "doc_id", F.posexplode_outer("all").alias("i", "x")).select("row", "doc_id", "i", "x.*")
+    m, before, after, kind = F.col("m"), F.col("before"), F.col("after"), F.col("kind")
     count = lambda chars: F.length(F.regexp_replace(m, f"[^{chars}]", ""))
+    share = lambda chars: F.floor(count(chars) * 4 / F.greatest(F.length("m"), F.lit(1)))
     checks = passes(m)
     ok = reduce(lambda a, k: a.when(kind == KINDS.index(k), checks[k]), BASE, F.when(F.lit(False), F.lit(False))).otherwise(False)
-    cue = before.rlike(CUE)
-    label = F.when(kind < len(BASE), ok).when(kind == KINDS.index("key"), m.rlike(FORMAT)).when(kind == KINDS.index("secret"), m.rlike(r"[=:]\x20?(?=[^\s]*[0-9])[^\s]{6,}$")).otherwise(cue)
+    learned = kind >= len(BASE)
     bins = {
-        "length": F.least(F.floor(F.length("m") / 3), F.lit(15)),
-        "digits": F.floor(count("0-9") * 4 / F.greatest(F.length("m"), F.lit(1))),
-        "uppers": F.floor(count("A-Z") * 4 / F.greatest(F.length("m"), F.lit(1))),
-        "marks": F.least(F.length(F.regexp_replace(m, "[A-Za-z0-9]", "")), F.lit(5)),
-        "cue": cue.cast("int"),
-        "before": F.when(before == "", 0).when(before.rlike(r"\s$"), 1).when(before.rlike("[=:]$"), 2).otherwise(3),
-        "mixed": (m.rlike("[0-9]") & m.rlike("[A-Za-z]")).cast("int"),
-    }
-    fold = F.pmod(F.xxhash64("m"), F.lit(2)).cast("int")
-    return each.select("row", "doc_id", "kind", "start", "end", ok.alias("ok"), label.cast("int").alias("label"), fold.alias("fold"), *[bins[k].cast("int").alias(k) for k in FEATURES])
+        "length": F.least(F.floor(F.length("m") / 2), F.lit(20)),
+        "digits": share("0-9"),
+        "uppers": share("A-Z"),
+        "lowers": share("a-z"),
+        "marks": F.least(F.length(F.regexp_replace(m, r"[\p{L}0-9]", "")), F.lit(5)),
+        "groups": F.least(F.size(F.split(m, r"[^\p{L}0-9]+")), F.lit(5)),
+        "before": F.when(before == "", 0).when(before.rlike(r"[.!?]\s+$|\n\s*$"), 1).when(before.rlike(r"[=:]\s?$"), 2).when(before.rlike(r"[\p{L}],?\s$"), 3).otherwise(4),
+        "after": F.when(after == "", 0).when(after.rlike(r"^[.,;:!?)\n]"), 1).when(after.rlike(r"^\s\p{Ll}"), 2).otherwise(3),
+    } | {name: F.lower(F.concat(before, F.lit(" \u0001 "), after)).rlike(rf"(?<!\p{{L}})(?:{words})(?!\p{{L}})").cast("int") for name, words in CUES.items()}
+    each = each.select("row", "doc_id", "i", "kind", "gap", F.length("m").alias("long"), ok.alias("ok"), *[F.when(learned, v.cast("int")).otherwise(0).alias(k) for k, v in bins.items()])
+    along = Window.partitionBy("row", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    each = each.repartition("row").withColumn("end", F.sum(F.col("gap") + F.col("long")).over(along)).withColumn("start", F.col("end") - F.col("long"))
+    return each.select("row", "doc_id", "kind", "start", "end", "ok", *FEATURES)
 
 
 def boost(x: np.ndarray, kind: np.ndarray, n: np.ndarray, pos: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> list:
@@ -142,19 +166,59 @@ def margin(trees: list, x: np.ndarray) -> np.ndarray:
     return out
 
 
-def fit(found: DataFrame, precision: float = PRECISION) -> tuple[list, tuple[float, float], dict[int, float]]:
-    """(trees, calibration slope and offset, least calibrated score by kind) from all candidates.
-
-    Kinds without a held-out positive, or that never reach the precision, add nothing.
+#: What planted sentences are made of. Per kind: (true values, contexts of true values,
+#: decoys, contexts of decoys). In a value # is a digit, @ a capital, ~ a small letter, ? any of the three.
+PLANT = {
+    "key": (["AKIA????????????????", "ghp_????????????????????????????????????", "sk_live_????????????????????????", "AIza???????????????????????????????????", "????????????????????????????????"], ["the access key is {}", "api key: {}", "use token {} for it", "credentials {} were leaked", "login with {}"], ["~~~~~~~_~~~~~_~~~~~~", "~~~~~~~~~~~~~~~~~~", "@~~~~~~~@~~~~~~~@~~~", "~~~_~~~~~~_####_~~~~~~", "####################", "@@@@@@_@@@@@@@@_@@@@"], ["the method {} is called", "see {} in the code", "{} is a long word", "as commit {} shows", "build {} passed"]),
+    "secret": (["~~~#~~#~", "?????#?????", "@~~~~~##!", "?#??????#????", "~#~~##~#~#~~#~##~~#~#~##~#~~#~#~"], ["password: {}", "pwd={}", "token = {}", "secret: {}", "passwort: {}", "API_KEY={}", "token = \"{}\"", "password: '{}'"], ["None", "null", "true", "the", "see", "required", "****", "unknown", "string", "~~~~~~"], ["password: {}", "token = {} below", "secret: {} page", "pwd={}", "passwort: {}", "token = \"{}\"", "password: '{}'"]),
+    "iban": (["DE## #### #### #### #### ##", "FR## #### #### #### #### #### ###", "GB##@@@@##############", "ES######################"], ["my iban is {}", "account {} at the bank", "konto {} bitte", "cuenta {} del banco", "transfer to {} today"], ["AB## CDEF ####", "XK##@@@@####", "MX## SERI ALNO ####"], ["order {} was shipped", "model {} is new", "part {} fits", "serial {} is on it", "the item {} costs more"]),
+    "number": (["###-##-####", "########@", "## ### ### ###", "#########", "##########"], ["ssn {}", "social security number {}", "passport no {}", "dni {} de ella", "account number {}", "steuernummer {} ist", "his national id {} was"], ["####-####", "######", "##.##.####.##", "#########", "###-#-##-######-#", "##########"], ["order {} was shipped", "invoice no {}", "isbn {}", "version {} came", "ticket {} is closed", "page {} and", "pedido {} fue", "the value {} was"]),
+    "birth": (["##/##/19##", "##.##.19##", "19##-##-##", "##-##-19##"], ["born on {}", "date of birth: {}", "dob {}", "geboren am {} in", "née le {} à", "fecha de nacimiento {}", "geb. {}"], ["##/##/20##", "##.##.20##", "20##-##-##", "##.##.19##"], ["published on {}", "updated {}", "since {} it", "invoice of {}", "am {} war", "le {} il", "on {} they", "posted {}"]),
+    "address": (["## Maple Street", "### Old Mill Road", "## rue de Lyon", "Gartenstraße ##", "calle Mayor, ##", "#### Ocean Drive", "Lindenweg #"], ["lives at {}", "my address is {}", "wohnt in der {}", "habite {}", "vive en {}", "ship it to {}", "contact: {}"], ["#### Wall Street", "## Great Road", "# First Place"], ["in {} crashed", "chapter {} of the book", "the {} winners", "version {} tour"]),
+    "name": (["Anna Miller", "John Baker", "Peter Schmidt", "Maria Garcia", "Claire Dubois", "Karl Heinz Weber", "Lucia Torres", "Thomas Green", "Julia Fischer", "Paul Martin", "@~~~~ @~~~~~", "@~~~ @~~~~~~~"], ["Dr. {} said", "dear {},", "name: {}", "Mr {} was", "Frau {} ist", "madame {} est", "signed, {}", "patient {} came", "señora {} es", "contact {} for"], ["New York", "United States", "South America", "Die Firma", "Der Mann", "La Casa", "Le Monde", "In January", "Open Source", "The Company", "@~~~~~ @~~~~", "@~~ @~~~~~~"], ["{} is large", "in {} they", "we saw {} there", "{} war gut", "and {} came", "{} fue grande", "from {} on"]),
+}
+FILLERS = ["", "It is so. ", "and then ", "we note that ", "Heute ist es gut. ", "Il fait beau. ", "a line\n", "1999 was good, ", "Todo va bien, "]
+
+
+def planted(spark: SparkSession, rows: int = PLANTED, seed: int = 5) -> DataFrame:
+    """row, text, kind, start, end, is_true: sentences with one value each, as many of every kind and of both sorts."""
+    pick = lambda options, salt: F.element_at(F.array(*map(F.lit, options)), (F.pmod(F.xxhash64("id", F.lit(salt), F.lit(seed)), F.lit(len(options))) + 1).cast("int"))
+    letters = {"#": "0123456789", "@": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "~": "abcdefghijklmnopqrstuvwxyz"}
+    letters["?"] = "".join(letters.values())
+    kinds = [k for k in KINDS if k in PLANT]
+    sort = F.pmod("id", F.lit(2 * len(kinds)))
+    shape, context = F.lit(""), F.lit("")
+    for n, k in enumerate(kinds):
+        for true in (1, 0):
+            own = sort == 2 * n + 1 - true
+            shape, context = F.when(own, pick(PLANT[k][0 if true else 2], 1)).otherwise(shape), F.when(own, pick(PLANT[k][1 if true else 3], 2)).otherwise(context)
+    base = spark.range(rows).select("id", shape.alias("shape"), context.alias("context"), F.floor(sort / 2).cast("int").alias("n"), (F.pmod("id", F.lit(2)) == 0).alias("is_true"), pick(FILLERS, 3).alias("first"), pick(FILLERS, 4).alias("last"))
+
+    def letter(c: Column, i: Column) -> Column:
+        draw = F.pmod(F.xxhash64("id", i, F.lit(seed)), F.lit(1 << 30))
+        return reduce(lambda x, mark: x.when(c == mark, F.substring(F.lit(letters[mark]), (F.pmod(draw, F.lit(len(letters[mark]))) + 1).cast("int"), F.lit(1))), letters, F.when(F.lit(False), c)).otherwise(c)
+
+    value = F.array_join(F.transform(F.filter(F.split("shape", ""), lambda c: c != ""), letter), "")
+    base = base.withColumn("value", value).withColumn("lead", F.concat("first", F.substring_index("context", "{}", 1)))
+    number = F.element_at(F.array(*[F.lit(KINDS.index(k)) for k in kinds]), F.col("n") + 1)
+    return base.select(F.col("id").alias("row"), F.concat("lead", "value", F.substring_index("context", "{}", -1), F.lit(". "), "last").alias("text"), number.alias("kind"), F.length("lead").alias("start"), (F.length("lead") + F.length("value")).alias("end"), "is_true")
+
+
+def fit(spark: SparkSession, rows: int = PLANTED, precision: float = PRECISION, seed: int = 5) -> tuple[list, tuple[float, float], dict[int, float]]:
+    """(trees, calibration slope and offset, least calibrated score by kind) from planted texts.
+
+    A candidate is positive if it is a planted true value of its kind. Thresholds are the least scores
+    of 0.5 or more from which on the held-out half reaches the precision, each decoy counted DECOYS
+    times, as a corpus holds that many more of them; kinds that never do add nothing.
     """
-    cells = found.where(F.col("kind").isNotNull()).groupBy("kind", *FEATURES, "fold").agg(F.count("*").alias("n"), F.sum("label").alias("pos")).collect()
-    if not cells:
-        return [], (1.0, 0.0), {}
-    data = np.array(sorted([[r["kind"], *(r[k] for k in FEATURES), r["fold"], r["n"], r["pos"]] for r in cells]), float)
+    told = planted(spark, rows, seed)
+    found = candidates(told, "row").select("doc_id", "start", "end", *[F.col(c).alias(c) for c in ("kind", *FEATURES)]).where(F.col("kind") >= len(BASE))
+    truth = told.where("is_true").select(F.col("row").alias("doc_id"), "kind", "start", "end", F.lit(1).alias("hit"))
+    fold = F.pmod(F.xxhash64("doc_id"), F.lit(2))
+    counts = found.join(truth, ["doc_id", "kind", "start", "end"], "left").groupBy("kind", *FEATURES, fold.alias("fold")).agg(F.count("*").alias("n"), F.count("hit").alias("pos"))
+    data = np.array(sorted(map(list, counts.collect())), float)  # at most a line for each planted candidate
     fold, n, pos, x = data[:, -3], data[:, -2], data[:, -1], data[:, : 1 + len(FEATURES)]
     learn, test = fold == 0, fold == 1
-    if not learn.any() or not test.any():
-        learn = test = np.ones(len(data), bool)
     trees = boost(x[learn, 1:], x[learn, 0], n[learn], pos[learn])
     m = margin(trees, x)
     a, b = 1.0, 0.0
@@ -167,9 +231,10 @@ def fit(found: DataFrame, precision: float = PRECISION) -> tuple[list, tuple[flo
     p, least = 1 / (1 + np.exp(-np.clip(a * m + b, -30, 30))), {}
     for kind in range(len(BASE), len(KINDS)):
         own = test & (x[:, 0] == kind)
-        for cut in np.unique(p[own]):
+        for cut in np.unique(p[own & (p >= 0.5)]):
             over = own & (p >= cut)
-            if pos[over].sum() and pos[over].sum() >= precision * n[over].sum():
+            true = pos[over].sum()
+            if true and true >= precision * (true + DECOYS * (n[over].sum() - true)):
                 least[kind] = float(cut) - 1e-9
                 break
     return trees, (float(a), float(b)), least
@@ -182,8 +247,8 @@ def scan(documents: DataFrame, doc: str = "doc_id", text: str = "text", precisio
     there; the others where the calibrated score reaches their kind's threshold. Null and empty texts
     have none; repeated rows keep a row each; whole texts; other columns are not read.
     """
-    found = written(candidates(documents, doc, text), "candidates")
-    trees, (a, b), least = fit(found, precision)
+    trees, (a, b), least = fit(documents.sparkSession, precision=precision)
+    found = candidates(documents, doc, text)
     total = reduce(lambda x, y: x + y, [expression(t) for t in trees], F.lit(0.0))
     score = 1 / (1 + F.exp(-(F.lit(a) * total + F.lit(b))))
     enough = reduce(lambda x, k: x.when(F.col("kind") == k, F.col("score") >= least[k]), least, F.when(F.lit(False), F.lit(False))).otherwise(False)
