@@ -26,8 +26,9 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(low, NOT_WORD, -1), "")
 
 
-def window_keys(words: Column, size: Column, n: int) -> Column:
-    """A hash for each run of n words; `words` are the words' own hashes."""
+def window_keys(words: Column, n: int) -> Column:
+    """A hash for each run of n words."""
+    size = F.size(words)
     starts = F.when(size >= n, F.sequence(F.lit(1), size - n + 1)).otherwise(F.array().cast("array<int>"))
     return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, F.lit(n))))
 
@@ -43,7 +44,7 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", siz
         .groupBy("w")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    return found.select("w", F.size("w").alias("n"), "items", F.xxhash64(F.transform("w", lambda x: F.xxhash64(x))).alias("key"))
+    return found.select("w", F.size("w").alias("n"), "items", F.xxhash64("w").alias("key"))
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, block: int = 250_000) -> DataFrame:
@@ -60,9 +61,8 @@ def scan(documents: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text:
     if about[0] > block:
         rows = written(rows, "words")
     n_words, lengths = F.size("words"), about[1] or [size]
-    hashed = rows.select("row", "doc", "words", F.transform("words", lambda x: F.xxhash64(x)).alias("hs"))
-    keys = F.concat(*[window_keys(F.col("hs"), n_words, n) for n in lengths])
-    at = hashed.select("row", "doc", "words", F.posexplode_outer(keys).alias("k", "key"))
+    keys = F.concat(*[window_keys(F.col("words"), n) for n in lengths])
+    at = rows.select("row", "doc", "words", F.posexplode_outer(keys).alias("k", "key"))
     n, start, before = F.lit(None).cast("int"), F.col("k"), F.lit(0)
     for own in lengths:  # the keys of one length stand after those of the one before
         upto = before + F.greatest(n_words - own + 1, F.lit(0))
