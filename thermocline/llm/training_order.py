@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import math
+import re
 import struct
 import uuid
 from collections.abc import Iterator
@@ -36,6 +37,7 @@ VOCABULARY = "byte_bpe_50k.tiktoken"
 LENGTH, SLOTS, SEED, ROUNDS, HEAD, PARTITION = 512, 256, 8, 6, 16, 16 << 20
 NULL = -(1 << 63)
 MOST_WORDS = 150_000
+APART = "\uffff"  # no character of texts; a word that has it all the same is spelt by itself
 
 
 class Permutation:
@@ -68,18 +70,35 @@ class Permutation:
 
 
 class Speller:
-    """Pre-tokens to ids: known ones from memory, others by the library's BPE."""
+    """Pre-tokens to ids: known ones from memory, others by the library's BPE, all of a call at once."""
 
     def __init__(self, path: str):
         import tiktoken
 
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.bpe = tiktoken.Encoding("ids", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+        self.bpe = tiktoken.Encoding("ids", pat_str=f"[^{APART}]+|{APART}", mergeable_ranks=ranks, special_tokens={})
+        self.apart = self.bpe.encode_ordinary(APART)
         self.size = max(ranks.values()) + 1
         self.type = np.dtype("<u2" if self.size <= 1 << 16 else "<u4")
         self.known: dict[bytes, np.ndarray] = {}
 
+    def spelt(self, words: list[bytes]) -> list[np.ndarray]:
+        """The ids of each word: they are put one after another with a mark between them, whose ids cut the result."""
+        told = [w.decode("utf-8", "replace") for w in words]
+        if any(APART in w for w in told):
+            return [np.concatenate([np.array(self.bpe.encode_ordinary(c), self.type) for c in re.split(f"({APART})", w) if c]) for w in told]
+        if not told:
+            return []
+        flat = np.array(self.bpe.encode_ordinary(APART.join(told)), self.type)
+        marks, n = np.ones(len(flat), bool), len(self.apart)
+        for k, mark in enumerate(self.apart):
+            marks[: len(flat) - k] &= flat[k:] == mark
+            marks[len(flat) - k :] = False
+        at = np.flatnonzero(marks)
+        begin, end = np.append(0, at + n), np.append(at, len(flat))
+        return [flat[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
         row, words, _ = split_words(texts, {})
@@ -87,14 +106,11 @@ class Speller:
             return np.zeros(0, self.type), np.zeros(len(texts), np.int64)
         if len(self.known) > MOST_WORDS:
             self.known.clear()
-        known, spelt = self.known, []
-        for word in words.dictionary.to_pylist():
-            x = known.get(word)
-            if x is None:
-                x = np.array(self.bpe.encode_ordinary(word.decode("utf-8", "replace")), self.type)
-                if len(word) < 40:
-                    known[word] = x
-            spelt.append(x)
+        known, every = self.known, words.dictionary.to_pylist()
+        new = [w for w in every if w not in known]
+        own = dict(zip(new, self.spelt(new), strict=True))
+        known.update((w, x) for w, x in own.items() if len(w) < 40)
+        spelt = [own[w] if w in own else known[w] for w in every]
         sizes = np.array([len(x) for x in spelt])
         flat, first = np.concatenate(spelt), np.cumsum(sizes) - sizes
         own = words.indices.to_numpy()
