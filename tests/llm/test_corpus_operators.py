@@ -242,6 +242,80 @@ def test_toxicity_learns_and_scores(make, spark):
     assert toxicity.score(make(EDGE), empty).count() == len(EDGE) and toxicity.score(make([]), empty).count() == 0
 
 
+def plain_events(text, model):
+    """The matches by context, clause by clause, without any automaton."""
+    closed = {w: k for k, listed in enumerate((toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS, toxicity.THREATS)) for w in listed.split()}
+    out = [0] * 16
+    for clause in re.split(r"[.!?;\n]", text or ""):
+        words = [w.lower().replace("’", "'") for w in re.findall(r"[^\W\d_]+(?:['’][^\W\d_]+)*", clause)]
+        insult = [w in model.words or any(w.startswith(s) for s in model.stems) for w in words]
+        kind = [None if bad else closed.get(w) for w, bad in zip(words, insult, strict=True)]
+        for k, bad in enumerate(insult):
+            if bad or kind[k] == 3:
+                flags = (1 in kind[max(0, k - 3) : k]) + 2 * (2 in kind[:k]) + 4 * (0 in kind[:k])
+                out[2 * flags + (not bad)] += 1
+    return out
+
+
+def test_scores_of_all_documents_equal_the_plain_grammar(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    model.words |= {"idiot", "the"}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()} | {-1: "you are not the idiot. He said: kill the idiot, isn't it; idiot", -2: None}
+    extra = spark.createDataFrame([(-1, texts[-1]), (-2, None)], "doc_id long, text string")
+    rows = toxicity.score(docs.select("doc_id", "text").union(extra), model).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        events = plain_events(texts[r["doc_id"]], model)
+        z = sum(w * np.log1p(n) for w, n in zip(model.weights, events, strict=True)) + model.offset
+        assert r["n_matches"] == sum(events) and r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30)))) and r["predicted"] == (r["score"] >= 0.5)
+
+
+def plain_vector(text):
+    """Shares of hashed runs of one to three characters that end in a letter, other characters being alike."""
+    codes, out = [ord(c) if c.isalpha() else 0 for c in (text or "").lower()], np.zeros(language.DIM)
+    for k, code in enumerate(codes):
+        gram = 0
+        for n in range(3):
+            gram = (gram * 0x9E3779B97F4A7C15 + (codes[k - n] if k >= n else 0) + n + 1) % 2**64
+            if code:
+                out[(gram * 0xD6E8FEB86659FD93 % 2**64) >> 52] += 1
+    return np.sqrt(out) / max(np.linalg.norm(np.sqrt(out)), 1e-9)
+
+
+def test_languages_of_all_documents_equal_a_plain_vote(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = language.fit(docs)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in language.identify(docs, model).collect():
+        text = texts[r["doc_id"]] or ""
+        if not any(c.isalpha() for c in text):
+            assert r["lang_pred"] == "und"
+            continue
+        x = np.append(plain_vector(text), 1)
+        margins = [float(x @ model.first[:, f]) for f in range(len(model.families))]
+        if sorted(margins)[-1] - sorted(margins)[-2] < 1e-4:
+            continue
+        f = int(np.argmax(margins))
+        votes, sums = [0] * len(model.members[f]), [0.0] * len(model.members[f])
+        for a, b, w in model.pairs[f]:
+            m = float(x @ w)
+            votes[a if m >= 0 else b] += 1
+            sums[a] += m
+            sums[b] -= m
+        order = sorted(range(len(votes)), key=lambda k: (votes[k], sums[k]))
+        if len(order) < 2 or votes[order[-1]] > votes[order[-2]] and abs(sums[order[-1]]) > 1e-4:
+            assert r["lang_pred"] == model.members[f][order[-1]] and 0 <= r["score"] <= 1
+
+
+def test_long_texts_have_one_language_and_score(spark, make):
+    model = language.fit(make([(i, ("the thing is " if i % 2 else "das ding ist ") * 5, "en" if i % 2 else "de") for i in range(60)]))
+    long = [(1, "das ding ist " * 40_000), (2, "the thing is " * 40_000)]
+    assert [r["lang_pred"] for r in sorted(language.identify(make(long), model).collect())] == ["de", "en"]
+    empty = toxicity.Model(frozenset({"ding"}), frozenset(), tuple(toxicity.PRIOR), -2.0)
+    assert sorted((r["doc_id"], r["n_matches"]) for r in toxicity.score(make(long), empty).collect()) == [(1, 40_000), (2, 0)]
+
+
 def test_language_families_and_pairs(make):
     rng = random.Random(10)
     ends = {"en": ["ing", "th"], "de": ["ung", "sch"], "fr": ["eux", "tion"], "es": ["cion", "dad"]}

@@ -18,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from thermocline.llm.language import held
@@ -134,31 +134,38 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 0.0
 PRIOR = np.array([(1.5 if threat else 3.0) * (0.5 if f & 1 else 1) * (0.6 if f & 2 else 1) * (1.2 if f & 4 else 1) for f in range(8) for threat in range(2)])
 
 
-def lexicon(found: list[tuple[str, int, int]], toxic: int, clean: int, odds: float = 20.0) -> tuple[frozenset[str], frozenset[str]]:
-    """Insult words and stems from (feature, toxic texts, clean texts); a word's feature ends in $.
+def telling(t: Column, c: Column, toxic: int, clean: int, odds: float = 20.0, doubt: float = 0.9) -> Column:
+    """Whether t of the toxic and c of the clean texts say that a feature is `odds` times as frequent in toxic ones.
 
-    A feature is kept when it is `odds` times as frequent in toxic texts; of nested ones the longest
-    that still holds 95 % of the texts of the shorter, and none within a kept shorter one.
+    The log ratio must stay over that by `doubt` of its standard errors, so rare chance words do not pass.
+    """
+    ratio = F.log((t + 0.5) / (toxic + 1) * (clean + 1) / (c + 0.5))
+    return ratio - doubt * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= float(np.log(odds))
+
+
+def lexicon(good: dict[str, int]) -> tuple[frozenset[str], frozenset[str]]:
+    """Insult words and stems from telling features and their numbers of toxic texts; a word's feature ends in $.
+
+    Of nested ones the longest that still holds 95 % of the texts of the shorter is kept, and none
+    within a kept shorter one.
     """
-    ratio = lambda t, c: (t + 0.5) / (toxic + 1) * (clean + 1) / (c + 0.5)
-    good = {f: t for f, t, c in found if ratio(t, c) >= odds and (clean < 50 or t >= 3)}
     best = dict(good)
     for f in sorted(good, key=lambda x: (len(x), x)):
         for k in range(4, len(f)):
             if f[:k] in best and good[f] >= 0.95 * good[f[:k]]:
                 del best[f[:k]]
-    kept: list[str] = []
+    kept: set[str] = set()
     for f in sorted(best, key=lambda x: (len(x), x)):
-        if not any(f.startswith(k) for k in kept):
-            kept.append(f)
+        if not any(f[:k] in kept for k in range(1, len(f))):
+            kept.add(f)
     return frozenset(f[:-1] for f in kept if f[-1] == "$"), frozenset(f for f in kept if f[-1] != "$")
 
 
-def fit(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", each: tuple[int, int] = (3000, 5000), parts: int = 5, part: int = 0, most: int = 5000) -> Model:
+def fit(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str = "text", label: str = "toxic", each: tuple[int, int] = (3000, 5000), parts: int = 5, part: int = 0) -> Model:
     """Learns lexicon and weights from about each[0] toxic and each[1] clean labelled rows.
 
-    Those and `most` candidate features bound the sample; rows are chosen by a hash of the id. Held
-    out ids and null labels teach nothing; of several labels of an id the highest holds. Without
+    Those bound the sample; rows are chosen by a hash of the id. All features of the sample are
+    counted and tested in Spark, only the telling ones come to the driver. Held out ids and null labels teach nothing; of several labels of an id the highest holds. Without
     labels of both kinds the lexicon is empty and the weights are the prior.
     """
     marks = labels.select(labels[doc].alias("doc"), labels[label].alias("y")).where(F.col("y").isNotNull() & F.col("doc").isNotNull() & ~held(F.col("doc"), parts, part)).groupBy("doc").agg(F.max(F.col("y").cast("int")).alias("y"))
@@ -174,12 +181,10 @@ def fit(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 1))
     own = F.transform(words, lambda w: F.concat(F.array(F.concat(w, F.lit("$"))), F.transform(F.filter(F.sequence(F.lit(4), F.lit(8)), lambda n: n < F.length(w)), lambda n: F.substring(w, F.lit(1), n))))
     grams = rows.select("y", F.explode(F.array_distinct(F.flatten(own))).alias("f"))
-    hits = grams.where("y = 1").groupBy("f").count().where(F.col("count") >= F.lit(min(3, max(1, counts[1] // 20))))
-    candidates = hits.orderBy(F.desc("count"), "f").limit(most)
-    seen = grams.where("y = 0").join(F.broadcast(candidates.select("f")), "f").groupBy("f").agg(F.count("*").alias("clean"))
-    found = [tuple(r) for r in candidates.join(seen, "f", "left").select("f", "count", F.coalesce("clean", F.lit(0))).collect()]
     sizes = {y: max(1, round(share[y] * counts[y])) for y in (0, 1)}
-    lexical, stems = lexicon(found, sizes[1], sizes[0])
+    seen = grams.groupBy("f").agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("c"))
+    found = seen.where(telling(F.col("t"), F.col("c"), sizes[1], sizes[0])).select("f", "t").collect()
+    lexical, stems = lexicon({r["f"]: r["t"] for r in found})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexical, stems)
