@@ -383,39 +383,127 @@ def teleconnection(t):
     return S.with_q(found, "p").withColumn("significant", F.col("q") <= 0.1)
 
 
-@query()
-def ward_clusters(t):
-    """Nations by their monthly profile, k by silhouette."""
-    profile = monthly(t).groupBy("nation", F.month("month").alias("mo")).agg(F.avg("v").alias("v"))
-    wide = profile.groupBy("nation").pivot("mo", list(range(1, 13))).agg(F.first("v")).withColumn("g", F.lit(1))
+def profiles(t):
+    """nation, year, mo, v: what nations are clustered by."""
+    return monthly(t).select("nation", F.year("month").alias("year"), F.month("month").alias("mo"), "v")
+
+
+def ranked_profile(rows) -> tuple[list[str], np.ndarray]:
+    """Names and the ranks of their mean months, from rows (nation, mo, v) as pandas."""
+    wide = rows.pivot_table(index="nation", columns="mo", values="v", aggfunc="mean").reindex(columns=range(1, 13)).fillna(0)
+    return list(wide.index), S.standard_ranks(wide.to_numpy())
+
+
+MOST_UNITS, MOST_CLUSTERS, REPLICATES = 5_000, 5, 50
+
+
+def replicates(t):
+    """rep, nation, mo, v, times: 0 is the data as they are, the others have years drawn with replacement."""
+    years = profiles(t).select("year").distinct().withColumn("place", F.row_number().over(Window.orderBy("year"))).withColumn("n", F.count("*").over(Window.partitionBy()))
+    pick = F.conv(F.substring(F.md5(F.concat_ws(":", "rep", "place")), 1, 8), 16, 10).cast("long") % F.col("n") + 1
+    draws = years.select("n", "place", F.explode(F.sequence(F.lit(1), F.lit(REPLICATES))).alias("rep")).select("rep", pick.cast("int").alias("place"))
+    drawn_years = draws.groupBy("rep", "place").agg(F.count("*").alias("times")).join(years.select("place", "year"), "place").select("rep", "year", "times")
+    every = years.select(F.lit(0).alias("rep"), "year", F.lit(1).cast("long").alias("times")).unionByName(drawn_years)
+    return profiles(t).join(F.broadcast(every), "year").groupBy("rep", "nation", "mo").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("v"))
+
+
+def clusterings(t):
+    """rep, nation, k, cluster, silhouette: Ward's clustering of the nations for each replicate and k.
+
+    A replicate is a group. Units are a dimension (here nations); more than MOST_UNITS of them are an error.
+    """
 
     def cluster(g, rng):
-        points = S.standard_ranks(g[[str(k) for k in range(1, 13)]].fillna(0).to_numpy())
+        names, points = ranked_profile(g)
+        if len(names) > MOST_UNITS:
+            raise ValueError(f"{len(names)} units are too many for a hierarchy")
         distance = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
-        scores = {k: N.silhouette(distance, N.ward(points, k)).mean() for k in range(2, 6)}
-        k = max(scores, key=lambda k: (round(scores[k], 12), -k))
-        label = N.ward(points, k)
-        return [{"nation": n, "cluster": int(c), "k": k, "silhouette": float(scores[k])} for n, c in zip(g["nation"], label, strict=True)]
+        out = []
+        for k in range(2, min(MOST_CLUSTERS, len(names) - 1) + 1):
+            label = N.ward(points, k)
+            score = float(N.silhouette(distance, label).mean())
+            out += [{"nation": n, "k": k, "cluster": int(c), "silhouette": score} for n, c in zip(names, label, strict=True)]
+        return out
 
-    return S.grouped(wide, ["g"], "g int, nation string, cluster int, k int, silhouette double", cluster, order=["nation"]).drop("g")
+    return S.grouped(replicates(t), ["rep"], "rep int, nation string, k int, cluster int, silhouette double", cluster, order=["nation", "mo"])
+
+
+@query()
+def cluster_scores(t):
+    """For each k the silhouette, and how well clusterings of resampled years agree with it (adjusted Rand)."""
+    rows = written(clusterings(t), "clusterings")
+    real = rows.where("rep = 0").select("nation", "k", F.col("cluster").alias("own"), "silhouette")
+    # adjusted Rand from counts of pairs: within cells, within rows and within columns of the table of labels
+    both = rows.where("rep > 0").select("rep", "nation", "k", "cluster").join(F.broadcast(real.select("nation", "k", "own")), ["nation", "k"])
+    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
+    counted = lambda keys, name: both.groupBy("rep", "k", *keys).agg(F.count("*").alias("c")).groupBy("rep", "k").agg(pairs("c").alias(name))
+    table = counted(["cluster", "own"], "cells").join(counted(["cluster"], "a"), ["rep", "k"]).join(counted(["own"], "b"), ["rep", "k"]).join(counted([], "everything"), ["rep", "k"])
+    chance = F.col("a") * F.col("b") / F.col("everything")
+    rand = F.coalesce(F.try_divide(F.col("cells") - chance, (F.col("a") + F.col("b")) / 2 - chance), F.lit(1.0))
+    stable = table.select("k", rand.alias("ari")).groupBy("k").agg(F.avg("ari").alias("stability"), F.percentile("ari", F.lit(0.1)).alias("stability_p10"))
+    scores = real.groupBy("k").agg(F.first("silhouette").alias("silhouette")).join(stable, "k")
+    best = F.row_number().over(Window.orderBy(F.round("silhouette", 12).desc(), "k")) == 1
+    return scores.withColumn("chosen", best)
+
+
+@query()
+def ward_clusters(t):
+    """Nations by their monthly profile, k by silhouette, then the smaller k."""
+    real = clusterings(t).where("rep = 0").drop("rep")
+    best = F.max(F.struct(F.round("silhouette", 12).alias("s"), (-F.col("k")).alias("k"))).over(Window.partitionBy())
+    return real.withColumn("b", best).where(F.col("k") == -F.col("b.k")).select("nation", "cluster", "k", "silhouette")
+
+
+def trajectories(t):
+    """nation, year, a: the values of each complete year, in millions."""
+    path = monthly(t).groupBy("nation", F.year("month").alias("year")).agg(F.array_sort(F.collect_list(F.struct("month", "v"))).alias("p")).where(F.size("p") == 12)
+    return path.select("nation", "year", F.transform("p", lambda x: x["v"] / 1e6).alias("a"))
+
+
+LEAST_FAMILY, MOST_FAMILIES = 3, 4
 
 
 @query()
 def event_families(t):
-    """nations' yearly trajectories by time warping and k-medoids."""
-    path = monthly(t).where(F.year("month") == 1997).groupBy("nation").agg(F.array_sort(F.collect_list(F.struct("month", "v"))).alias("p")).where(F.size("p") == 12)
-    rows = path.select(F.lit(1).alias("g"), "nation", F.transform("p", lambda x: x["v"] / 1e6).alias("a"))
+    """Each nation's yearly trajectories by time warping and k-medoids.
+
+    k by silhouette, then the smaller one, among those whose families have LEAST_FAMILY members or more;
+    families are named from A by their mean peak. A nation's years are a group, and their distances
+    come from a join by nation.
+    """
+    rows = trajectories(t)
+    one, two = (rows.select("nation", F.col("year").alias(y), F.col("a").alias(a)) for y, a in (("year", "a"), ("other", "b")))
+    table = one.join(two, "nation").select("nation", "year", "other", F.array_max("a").alias("peak"), N.warping(2)("a", "b").alias("d"))
 
     def families(g, rng):
-        series = [np.array(a) for a in g["a"]]
-        if len(series) < 6:
+        distance = g.pivot(index="year", columns="other", values="d").to_numpy()
+        peak, years = g.groupby("year")["peak"].first().to_numpy(), sorted(g["year"].unique())
+        best = None
+        for k in range(2, min(MOST_FAMILIES, len(years) // LEAST_FAMILY) + 1):
+            centre, label, _ = N.medoids(distance, k, rng)
+            if np.bincount(label, minlength=k).min() < LEAST_FAMILY:
+                continue
+            score = N.silhouette(distance, label)
+            if best is None or score.mean() > best[2].mean() + 1e-12:
+                best = (centre, label, score)
+        if best is None:
             return []
-        distance = np.array([[N.dtw(a, b, 2) for b in series] for a in series])
-        options = {k: N.medoids(distance, k, rng) for k in (2, 3)}
-        k = max(options, key=lambda k: (N.silhouette(distance, options[k][1]).mean(), -k))
-        return [{"nation": n, "family": int(f), "is_medoid": i in options[k][0]} for i, (n, f) in enumerate(zip(g["nation"], options[k][1], strict=True))]
+        centre, label, score = best
+        order = np.argsort([-peak[label == c].mean() for c in range(len(centre))], kind="stable")
+        name = {c: chr(ord("A") + k) for k, c in enumerate(order)}
+        return [{"year": int(y), "family": name[f], "is_medoid": i in centre, "silhouette": float(v)} for i, (y, f, v) in enumerate(zip(years, label, score, strict=True))]
 
-    return S.grouped(rows, ["g"], "g int, nation string, family int, is_medoid boolean", families, seed=5, order=["nation"]).drop("g")
+    return S.grouped(table, ["nation"], "nation string, year int, family string, is_medoid boolean, silhouette double", families, seed=5, order=["year", "other"])
+
+
+@query()
+def nearest_family(t):
+    """The family of whose medoid a nation's latest complete year is nearest by time warping."""
+    rows = written(trajectories(t), "trajectories")
+    middle = event_families(t).where("is_medoid").join(rows, ["nation", "year"]).select("nation", "family", F.col("year").alias("medoid"), F.col("a").alias("b"))
+    latest = rows.groupBy("nation").agg(F.max("year").alias("year"), F.max_by("a", "year").alias("a"))
+    near = latest.join(middle, "nation").withColumn("d", N.warping(2)("a", "b"))
+    return near.groupBy("nation", "year").agg(F.min_by(F.struct("family", "medoid", "d"), F.struct("d", "family")).alias("x")).select("nation", "year", "x.family", "x.medoid", F.round("x.d", 9).alias("distance"))
 
 
 def permuted_correlation(rows, keys: list[str], order: str, x: str, y: str):
