@@ -1,4 +1,4 @@
-"""Command line: download, query, list."""
+"""Command line: download, build, analyze, run, replica, query, list."""
 
 from __future__ import annotations
 
@@ -17,6 +17,12 @@ def parser() -> argparse.ArgumentParser:
     get = sub.add_parser("download", help="fetch the raw files")
     get.add_argument("--refresh", action="store_true", help="fetch files that are there already, too")
     get.add_argument("--only", nargs="*", choices=["enso", "climdiv", "retail", "wholesale", "gas"], default=None)
+    sub.add_parser("build", help="raw files to checked gold tables")
+    sub.add_parser("analyze", help="events, winters and hindcasts from the gold tables")
+    sub.add_parser("run", help="build, then analyze")
+    made = sub.add_parser("replica", help="write synthetic raw files")
+    made.add_argument("--root", default="replica", type=Path)
+    made.add_argument("--seed", default=2026, type=int)
     run = sub.add_parser("query", help="run a registered query over a folder of tables and write its rows as Parquet")
     run.add_argument("name")
     run.add_argument("folder")
@@ -37,6 +43,26 @@ def main(argv: list[str] | None = None) -> int:
         settings = download.Settings(d.timeout_s, d.retries, d.backoff_s, d.workers, d.user_agent)
         download.run(download.plan(cfg.sources, settings), cfg.path("raw"), settings, args.refresh, set(args.only) if args.only else None)
         return 0
+    if args.command == "replica":
+        from thermocline.sources import replica
+
+        replica.write(replica.build(args.seed), args.root)
+        return 0
+    if args.command in ("build", "analyze", "run"):
+        try:
+            cfg = config.load(args.config)
+        except config.ConfigError as e:
+            print(e, file=sys.stderr)
+            return 2
+        from thermocline.plans import build
+        from thermocline.session import get_session
+
+        spark = get_session()
+        if args.command != "analyze":
+            build.build(spark, cfg).show(50, False)
+        if args.command != "build":
+            print("\n".join(build.analyze(spark, cfg, args.config)))
+        return 0
     from thermocline.plans import catalogue
 
     if args.command == "list":

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,24 +86,57 @@ def harmonised(season: DataFrame, long: DataFrame, window: int = 30, step: int =
     return index, fit.crossJoin(error)
 
 
-def save(tables: dict[str, DataFrame], folder: str) -> None:
-    """Each table as Parquet under the folder: written beside, then put in place by a rename."""
+POINTER = "CURRENT"
+
+
+def _files(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return path, path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def current(spark: SparkSession, folder: str) -> dict[str, str]:
+    """The paths of the saved tables by name: what the pointer file of the folder says."""
+    path, files = _files(spark, folder)
+    if not files.exists(path(f"{folder}/{POINTER}")):
+        return {}
+    rows = spark.read.text(f"{folder}/{POINTER}", wholetext=True).collect()
+    return json.loads(rows[0][0])
+
+
+def save(tables: dict[str, DataFrame], folder: str, add: bool = False) -> None:
+    """All tables as Parquet in a new version of the folder; then one rename makes them the current ones.
+
+    Readers see all tables of one version or all of the next. With add the other current tables stay;
+    versions that the pointer no longer names are deleted afterwards.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    path, files = _files(spark, folder)
+    before = current(spark, folder)
+    version = f"{folder}/v-{uuid.uuid4().hex[:12]}"
     for name, rows in tables.items():
-        spark, target, new = rows.sparkSession, f"{folder}/{name}", f"{folder}/.{name}.new"
-        rows.write.mode("overwrite").parquet(new)
-        jvm = spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path
-        files = path(target).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        files.delete(path(target), True)
-        files.rename(path(new), path(target))
+        rows.write.parquet(f"{version}/{name}")
+    now = (before if add else {}) | {name: f"{version}/{name}" for name in tables}
+    beside = path(f"{folder}/.{POINTER}-{uuid.uuid4().hex[:12]}")
+    jvm = spark.sparkContext._jvm
+    out = files.create(beside, True)
+    out.write(bytearray(json.dumps(now, sort_keys=True).encode()))
+    out.close()
+    jvm = spark.sparkContext._jvm
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(files.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    options = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    context.rename(files.makeQualified(beside), files.makeQualified(path(f"{folder}/{POINTER}")), options)
+    for old in set(before.values()) - set(now.values()):
+        files.delete(path(old), True)
+
+
+def tables(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+    """The current tables by name."""
+    return {name: spark.read.parquet(place) for name, place in sorted(current(spark, folder).items())}
 
 
 def read(spark: SparkSession, folder: str, sql: str, **values: object) -> DataFrame:
     """A SQL text over saved tables, with named parameters."""
-    files = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    listed = files.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(files)
-    for entry in listed:
-        name = entry.getPath().getName()
-        if entry.isDirectory() and not name.startswith("."):
-            spark.read.parquet(f"{folder}/{name}").createOrReplaceTempView(name)
+    for name, rows in tables(spark, folder).items():
+        rows.createOrReplaceTempView(name)
     return spark.sql(sql, args=values or None)

@@ -134,7 +134,7 @@ def wholesale_rows(table: list[list[object]], source: str) -> list[dict]:
     for n, row in enumerate(table[1:]):
         cell = lambda c, row=row: row[where[c]] if c in where and where[c] < len(row) else None
         out.append({"raw_hub": cell("hub"), "source": source, "line": n} | {c: _day(cell(c)) for c in ("trade_date", "delivery_start", "delivery_end")} | {c: _number(cell(c)) for c in ("high", "low", "price", "volume_mwh", "trades", "counterparties")})
-    return [r for r in out if r["raw_hub"] and r["delivery_start"] and r["price"] is not None]
+    return [r for r in out if r["raw_hub"] and r["trade_date"] and r["delivery_start"] and r["price"] is not None]
 
 
 WHOLESALE_SCHEMA = "raw_hub string, source string, line int, trade_date date, delivery_start date, delivery_end date, high double, low double, price double, volume_mwh double, trades double, counterparties double"
@@ -143,20 +143,25 @@ WHOLESALE_SCHEMA = "raw_hub string, source string, line int, trade_date date, de
 def wholesale(spark: SparkSession, folder: str) -> DataFrame:
     """Wholesale prices of .xlsx files and of those inside .zip files; the last row of a hub and day holds.
 
-    An unknown hub raises. The old binary .xls form is not read.
+    An unknown hub raises, and so does a file of the old binary .xls form, which is not read here.
     """
 
+    def old(name: str) -> bool:
+        if name.lower().endswith(".xls"):
+            raise SourceError(f"{name}: save it as .xlsx, the binary form is not read")
+        return True
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                files = [(path, content)]
+                files = [(path, content)] if old(path) else []
                 if path.endswith(".zip"):
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        files = [(f"{path}/{n}", z.read(n)) for n in sorted(z.namelist()) if n.endswith(".xlsx")]
+                        files = [(f"{path}/{n}", z.read(n)) for n in sorted(z.namelist()) if old(n) and n.lower().endswith(".xlsx")]
                 for name, data in files:
                     yield pd.DataFrame(wholesale_rows(next(iter(sheets(data).values())), name.rsplit("/", 1)[-1]))
 
-    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,zip}").load(folder).select("path", "content").mapInPandas(run, WHOLESALE_SCHEMA)
+    rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,zip,xls}").load(folder).select("path", "content").mapInPandas(run, WHOLESALE_SCHEMA)
     named = rows.withColumn("hub", canonical_name(F.col("raw_hub")))
     if lost := named.where("hub is null").select("raw_hub").limit(1).collect():
         raise SourceError(f"unknown hub {lost[0][0]!r}")
