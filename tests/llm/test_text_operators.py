@@ -90,6 +90,42 @@ def test_walker_reads_other_box_forms():
     assert [k for k, _, _ in media.boxes(memoryview(wide), 0, len(wide))] == [b"ftyp", b"moov", b"mdat"]
 
 
+def test_walker_reads_packed_sizes_fragments_and_every_track(spark):
+    payload = bytes(range(64)) * 4
+    plain = media.mux(payload)
+    stsz = media.full(b"stsz", struct.pack(">II", 64, 4))
+    for width, packed in ((8, bytes([64] * 4)), (16, struct.pack(">4H", *[64] * 4))):
+        short = media.full(b"stz2", struct.pack(">3xBI", width, 4), packed)
+        moved = plain.replace(stsz, short + media.box(b"free", bytes(0)) if len(short) + 8 <= len(stsz) else short)
+        shift = len(moved) - len(plain)
+        grown = bytearray(moved)
+        for name in (b"moov", b"trak", b"mdia", b"minf", b"stbl"):
+            at = moved.index(name) - 4
+            grown[at : at + 4] = struct.pack(">I", struct.unpack_from(">I", moved, at)[0] + shift)
+        at = bytes(grown).index(b"stco") + 12
+        grown[at : at + 4] = struct.pack(">I", struct.unpack_from(">I", grown, at)[0] + shift)
+        track = media.walk(bytes(grown))[0]
+        assert media.read_back(bytes(grown), track.spans) == payload
+
+    def trak(number, kind):
+        stbl = media.box(b"stbl", media.full(b"stsd", struct.pack(">I", 1), media.box(b"avc1", bytes(8))), media.table(b"stts", []), media.table(b"stsc", []), media.full(b"stsz", struct.pack(">II", 0, 0)), media.table(b"stco", []))
+        mdia = media.box(b"mdia", media.full(b"mdhd", struct.pack(">IIIIHH", 0, 0, 1000, 0, 0, 0)), media.full(b"hdlr", bytes(4), kind, bytes(12), b"x\0"), media.box(b"minf", stbl))
+        return media.box(b"trak", media.full(b"tkhd", struct.pack(">IIIII", 0, 0, number, 0, 0)), mdia)
+
+    moov = media.box(b"moov", trak(1, b"soun"), trak(2, b"vide"), media.box(b"mvex", media.full(b"trex", struct.pack(">5I", 2, 1, 40, 5, 0x10000))))
+    run = lambda offset: media.full(b"trun", struct.pack(">IiI", 3, offset, 0), flags=0x5)
+    moof = lambda offset: media.box(b"moof", media.box(b"traf", media.full(b"tfhd", struct.pack(">I", 2), flags=0x20000), run(offset)))
+    piece = moof(len(moof(0)) + 8) + media.box(b"mdat", b"abcdefghijklmno")
+    whole = media.box(b"ftyp", b"iso5", bytes(4)) + moov + piece + piece
+    sound, video = media.walk(whole)
+    assert sound.spans == [] and media.read_back(whole, video.spans) == b"abcdefghijklmno" * 2
+    assert (len(video.spans), video.keys, video.duration) == (6, [0, 3], 240)
+    row = media.describe(spark.createDataFrame([(1, whole)], "doc_id long, media binary")).first()
+    assert [(t["kind"], t["n_samples"], len(t["keyframes"])) for t in row["tracks"]] == [("soun", 0, 0), ("vide", 6, 2)]
+    bomb = plain.replace(stsz, media.full(b"stsz", struct.pack(">II", 64, 0xFFFFFFFF)))
+    assert media.describe(spark.createDataFrame([(1, bomb), (2, plain[:-8])], "doc_id long, media binary")).where("error is not null").count() == 2
+
+
 WRAPPED = {
     "MIT": """Copyright (c) 2020 A. Person
 Permission is hereby granted, free of charge, to any person obtaining a copy

@@ -2,8 +2,9 @@
 
 The muxer stores bytes as an 8-bit raw audio track: fixed-size access units, grouped into chunks,
 every few units a sync unit. The walker reads nested boxes of any such file (32-bit, 64-bit and
-to-the-end sizes), decodes the sample tables (stsd, mdhd, stts, stsc, stsz/stz2, stco/co64, stss)
-and gives codec, duration and keyframe byte ranges without touching the payload.
+to-the-end sizes), decodes the sample tables (stsd, mdhd, stts, stsc, stsz/stz2, stco/co64, stss) and
+the runs of fragments (trex, tfhd, trun), and gives every track's codec, duration and keyframe byte
+ranges without touching the payload. A count that the file's bytes cannot hold is damage.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 UNIT, PER_CHUNK, SYNC_EVERY, RATE = 64, 16, 16, 8000
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex", b"moof", b"traf"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta", b"mvex"}
 
 
 def box(kind: bytes, *parts: bytes) -> bytes:
@@ -84,6 +85,7 @@ def boxes(data: memoryview, at: int, end: int) -> Iterator[tuple[bytes, int, int
 
 @dataclass
 class Track:
+    number: int = 0
     codec: str = ""
     kind: str = ""
     timescale: int = 0
@@ -105,16 +107,74 @@ def walk(content: bytes) -> list[Track]:
             raise ValueError("a table is longer than its box")
         return struct.unpack_from(f">{n}{kind}", data, at)
 
+    defaults: dict[int, tuple[int, ...]] = {}  # of fragments by track: description, duration, size, flags
+
     def visit(at: int, end: int, found: dict, depth: int) -> None:
+        begin = at
         for kind, body, stop in boxes(data, at, end):
             if kind == b"trak":
                 inner: dict = {}
                 visit(body, stop, inner, depth + 1)
                 tracks.append(track(inner))
+            elif kind == b"trex":
+                number, *rest = numbers(body + 4, 5, stop)
+                defaults[number] = tuple(rest)
+            elif kind == b"moof":
+                fragment(begin, body, stop)
             elif kind in CONTAINERS and depth < 16:
                 visit(body, stop, found, depth + 1)
             else:
                 found[kind] = (body, stop)
+            begin = stop
+
+    def fragment(start: int, at: int, end: int) -> None:
+        """The samples of a movie fragment that begins at `start`, added to their tracks."""
+        after = start
+        for kind, body, stop in boxes(data, at, end):
+            if kind != b"traf":
+                continue
+            own, runs = None, []
+            for inner, first, last in boxes(data, body, stop):
+                if inner == b"tfhd":
+                    own = (first, last)
+                elif inner == b"trun":
+                    runs.append((first, last))
+            if own is None:
+                raise ValueError("a fragment without a header")
+            (flags, number), place = numbers(own[0], 2, own[1]), own[0] + 8
+            flags &= 0xFFFFFF
+            one = next((t for t in tracks if t.number == number), None)
+            if one is None:
+                raise ValueError(f"a fragment of the unknown track {number}")
+            base = start if flags & 0x20000 else after
+            if flags & 1:
+                base, place = numbers(place, 1, own[1], "Q")[0], place + 8
+            usual = dict(zip(("description", "duration", "size", "flags"), defaults.get(number, (1, 0, 0, 0)), strict=True))
+            for bit, name in ((2, "description"), (8, "duration"), (16, "size"), (32, "flags")):
+                if flags & bit:
+                    usual[name], place = numbers(place, 1, own[1])[0], place + 4
+            position = base
+            for first, last in runs:
+                (how, n), place = numbers(first, 2, last), first + 8
+                if n > len(data):
+                    raise ValueError("more samples than bytes")
+                if how & 1:
+                    position, place = base + numbers(place, 1, last, "i")[0], place + 4
+                opening = None
+                if how & 4:
+                    opening, place = numbers(place, 1, last)[0], place + 4
+                given = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if how & bit]
+                flat = numbers(place, n * len(given), last)
+                for k in range(n):
+                    sample = usual | dict(zip(given, flat[k * len(given) : (k + 1) * len(given)], strict=True))
+                    if k == 0 and opening is not None:
+                        sample["flags"] = opening
+                    if not sample["flags"] & 0x10000:
+                        one.keys.append(len(one.spans))
+                    one.spans.append((position, sample["size"]))
+                    one.duration += sample["duration"]
+                    position += sample["size"]
+                after = position
 
     def rows(found: dict, kind: bytes, width: int, at: int = 4) -> list[tuple[int, ...]]:
         if kind not in found:
@@ -126,6 +186,9 @@ def walk(content: bytes) -> list[Track]:
 
     def track(found: dict) -> Track:
         out = Track()
+        if b"tkhd" in found:
+            body, end = found[b"tkhd"]
+            out.number = numbers(body + (20 if data[body] else 12), 1, end)[0]
         if b"mdhd" in found:
             body, end = found[b"mdhd"]
             if data[body]:
@@ -140,7 +203,18 @@ def walk(content: bytes) -> list[Track]:
         if b"stsz" in found:
             body, end = found[b"stsz"]
             each, n = numbers(body + 4, 2, end)
+            if n > len(data):
+                raise ValueError("more samples than bytes")
             sizes = [each] * n if each else list(numbers(body + 12, n, end))
+        elif b"stz2" in found:
+            body, end = found[b"stz2"]
+            width, (n,) = data[body + 7], numbers(body + 8, 1, end)
+            if width == 4:
+                sizes = [x for pair in numbers(body + 12, -(-n // 2), end, "B") for x in (pair >> 4, pair & 15)][:n]
+            elif width in (8, 16):
+                sizes = list(numbers(body + 12, n, end, "B" if width == 8 else "H"))
+            else:
+                raise ValueError(f"sample sizes of {width} bits")
         offsets = [x for (x,) in rows(found, b"stco", 1)]
         if b"co64" in found:
             body, end = found[b"co64"]
@@ -203,19 +277,19 @@ def media_column(documents: DataFrame, doc: str = "doc_id", text: str = "text")
 
 
 FEATURES = (
-    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_samples long, keyframes array<struct<offset: long, size: long>>, error string"
+    "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, codec string, duration_s double, n_samples long, keyframes array<struct<offset: long, size: long>>, tracks array<struct<codec: string, kind: string, duration_s: double, n_samples: long, keyframes: array<struct<offset: long, size: long>>>>, error string"
 )
 
 
 def describe(media: DataFrame, column: str = "media") -> DataFrame:
     """Features of each file of a binary column, beside the other columns (which must not clash).
 
-    Reads the first track's tables; payload columns come from its sample ranges. Null, empty and
-    damaged files have null features and say so in `error`; files without a track are damaged.
+    `tracks` has an entry for every track; the other columns are of the first one, and the payload is
+    what its sample ranges hold. Null, empty and damaged files have null features and say so in
+    `error`; files without a track, and samples beyond the end of the file, are damage.
     """
     rest = [x for x in media.columns if x != column]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in media.schema if f.name != column)
-    names = [x.split(" ")[0] for x in FEATURES.split(", ") if not x.startswith("size:")]
     schema = (kinds + ", " if kinds else "") + FEATURES
 
     def features(content: bytes | None) -> dict:
@@ -226,20 +300,26 @@ def describe(media: DataFrame, column: str = "media") -> DataFrame:
             if not tracks:
                 raise ValueError("no track")
             one = tracks[0]
+            if any(a + n > len(content) for t in tracks for a, n in t.spans):
+                raise ValueError("samples beyond the end")
             payload = read_back(content, one.spans)
         except ValueError as e:
             return {"error": str(e)}
-        keys = [one.spans[k] for k in one.keys if 0 <= k < len(one.spans)]
+        frames = lambda t: [t.spans[k] for k in t.keys if 0 <= k < len(t.spans)]
+        listed = lambda t: [{"offset": a, "size": n} for a, n in frames(t)]
+        keys = frames(one)
         said = f"{one.codec};{one.kind};{one.duration}/{one.timescale};{len(one.spans)};" + ",".join(f"{a}+{n}" for a, n in keys)
         return {
             "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-64:]), "media_bytes": len(content), "media_sha256": hashlib.sha256(content).hexdigest(),
-            "feature": said, "codec": one.codec, "duration_s": one.seconds, "n_samples": len(one.spans), "keyframes": [{"offset": a, "size": n} for a, n in keys],
+            "feature": said, "codec": one.codec, "duration_s": one.seconds, "n_samples": len(one.spans), "keyframes": listed(one),
+            "tracks": [{"codec": t.codec, "kind": t.kind, "duration_s": t.seconds, "n_samples": len(t.spans), "keyframes": listed(t)} for t in tracks],
         }
 
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import _parse_datatype_string
 
     arrow = to_arrow_schema(_parse_datatype_string(FEATURES))
+    names = arrow.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,4 +334,4 @@ def describe(media: DataFrame, column: str = "media") -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """op2: every text stored as a media file, read back and described."""
-    return describe(media_column(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("error")
+    return describe(media_column(spark.read.parquet(f"{sf_dir}/documents.parquet"))).drop("error", "tracks")
