@@ -1,10 +1,12 @@
 """Benchmark decontamination: a broadcast hash set of normalised test n-grams, verified hits.
 
-Windows of `size` consecutive benchmark words are keyed by a hash of the whole window. Every window
-of a document is hashed in the same way and probes that set; each hit is verified by comparing the
-words themselves, so no hash collision can count. Up to `block` windows are broadcast. Beyond that
-the keys of document and benchmark windows are joined by a shuffle, and only documents with a
-matching key are looked at again. Documents are read once either way. JVM-side functions only.
+Windows of `size` consecutive benchmark words are keyed by a hash of the whole window. Up to `block`
+windows are broadcast: a document word that is the longest word (anchor) of some window tells at which
+places, at most `size` of them for each length, windows can begin; those are hashed and probe the set.
+Beyond `block` every window of a document is hashed, the keys of document and benchmark windows are
+joined by a shuffle, and only documents with a matching key are looked at again. Each hit is verified
+by comparing the words themselves, so no hash collision can count. Documents are read once either way.
+JVM-side functions only.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ def window_keys(words: Column, n: int) -> Column:
 
 
 def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", size: int = 13) -> DataFrame:
-    """Distinct windows: w (words), n, items (sorted distinct ids), key."""
+    """Distinct windows: w (words), n, items (sorted distinct ids), key, anchor (hash of the longest word), off (its place)."""
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.size("ws") - size, F.lit(0))))
     found = (
         benchmark.select(F.col(item).alias("item"), words_of(F.col(text)).alias("ws"))
@@ -44,7 +46,10 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", siz
         .groupBy("w")
         .agg(F.array_sort(F.collect_set("item")).alias("items"))
     )
-    return found.select("w", F.size("w").alias("n"), "items", F.xxhash64("w").alias("key"))
+    lengths = F.transform("w", F.length)
+    off = (F.array_position(lengths, F.array_max(lengths)) - 1).cast("int")
+    found = found.withColumn("off", off)
+    return found.select("w", F.size("w").alias("n"), "items", F.xxhash64("w").alias("key"), F.xxhash64(F.element_at("w", F.col("off") + 1)).alias("anchor"), "off")
 
 
 def scan(documents: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", size: int = 13, block: int = 250_000) -> DataFrame:
@@ -61,24 +66,28 @@ def scan(documents: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text:
     if about[0] > block:
         rows = written(rows, "words")
     n_words, lengths = F.size("words"), about[1] or [size]
-    keys = F.concat(*[window_keys(F.col("words"), n) for n in lengths])
-    at = rows.select("row", "doc", "words", F.posexplode_outer(keys).alias("k", "key"))
-    n, start, before = F.lit(None).cast("int"), F.col("k"), F.lit(0)
-    for own in lengths:  # the keys of one length stand after those of the one before
-        upto = before + F.greatest(n_words - own + 1, F.lit(0))
-        inside = (F.col("k") >= before) & (F.col("k") < upto)
-        n, start = F.when(inside, F.lit(own)).otherwise(n), F.when(inside, F.col("k") - before).otherwise(start)
-        before = upto
-    at = at.select("row", "doc", "words", (F.coalesce("k", F.lit(0)) == 0).alias("first"), start.alias("start"), n.alias("n"), "key")
-    same = lambda x: (x["key"] == grams["key"]) & (x["n"] == grams["n"]) & (F.slice(x["words"], x["start"] + 1, x["n"]) == grams["w"])
+    window = lambda x: F.slice(x["words"], F.greatest(x["start"] + 1, F.lit(1)), x["n"])
+    same = lambda x: (x["key"] == grams["key"]) & (x["n"] == grams["n"]) & (window(x) == grams["w"])
     hit = F.when(F.col("items").isNotNull(), F.struct("start", F.col("hit_n").alias("n")))
+    told = ["row", "doc", F.size("words").cast("long").alias("n_words"), "start"]
     if about[0] <= block:
+        at = rows.select("row", "doc", "words", F.posexplode_outer("words").alias("pos", "word")).withColumn("anchor", F.xxhash64("word"))
+        at = at.join(F.broadcast(grams.select("anchor", "off", "n").distinct()), "anchor", "left").withColumn("start", F.col("pos") - F.col("off"))
+        inside = (F.col("start") >= 0) & (F.col("start") + F.col("n") <= n_words)
+        at = at.select("row", "doc", "words", (F.coalesce("pos", F.lit(0)) == 0).alias("first"), "start", "n", F.when(inside, F.xxhash64(F.slice("words", F.greatest(F.col("start") + 1, F.lit(1)), F.col("n")))).alias("key"))
         met = at.join(F.broadcast(grams), same(at), "left").where(F.col("items").isNotNull() | F.col("first"))
-        met = met.select("row", "doc", F.size("words").cast("long").alias("n_words"), "start", at["n"].alias("hit_n"), "items")
+        met = met.select(*told, at["n"].alias("hit_n"), "items")
     else:
-        found = at.select("row", "start", "n", "key").join(grams.select("key").distinct(), "key", "left_semi")
+        at = rows.select("row", "words", F.posexplode(F.concat(*[window_keys(F.col("words"), n) for n in lengths])).alias("k", "key"))
+        n, start, before = F.lit(None).cast("int"), F.col("k"), F.lit(0)
+        for own in lengths:  # the keys of one length stand after those of the one before
+            upto = before + F.greatest(n_words - own + 1, F.lit(0))
+            inside = (F.col("k") >= before) & (F.col("k") < upto)
+            n, start = F.when(inside, F.lit(own)).otherwise(n), F.when(inside, F.col("k") - before).otherwise(start)
+            before = upto
+        found = at.select("row", start.alias("start"), n.alias("n"), "key").join(grams.select("key").distinct(), "key", "left_semi")
         again = rows.join(found, "row")
-        met = again.join(grams, same(again)).select("row", "doc", F.size("words").cast("long").alias("n_words"), "start", again["n"].alias("hit_n"), "items")
+        met = again.join(grams, same(again)).select(*told, again["n"].alias("hit_n"), "items")
         met = met.unionByName(rows.select("row", "doc", n_words.cast("long").alias("n_words")), allowMissingColumns=True)
     covered = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1)))
     return (
