@@ -107,17 +107,18 @@ class Speller:
         if len(self.known) > MOST_WORDS:
             self.known.clear()
         known, every = self.known, words.dictionary.to_pylist()
-        new = [w for w in every if w not in known]
-        own = dict(zip(new, self.spelt(new), strict=True))
-        known.update((w, x) for w, x in own.items() if len(w) < 40)
-        spelt = [own[w] if w in own else known[w] for w in every]
-        sizes = np.array([len(x) for x in spelt])
-        flat, first = np.concatenate(spelt), np.cumsum(sizes) - sizes
-        own = words.indices.to_numpy()
-        n = sizes[own]
-        ends = np.cumsum(n)
-        at = np.arange(ends[-1]) + np.repeat(first[own] - (ends - n), n)
-        return flat[at], np.bincount(row, n, len(texts)).astype(np.int64)
+        spelt = list(map(known.get, every))
+        new = [k for k, x in enumerate(spelt) if x is None]
+        for k, x in zip(new, self.spelt([every[k] for k in new]), strict=True):
+            spelt[k] = x
+            if len(every[k]) < 40:
+                known[every[k]] = x
+        sizes = np.fromiter(map(len, spelt), np.int64, len(spelt))
+        edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+        every_word = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(spelt)))
+        told = every_word.take(words.indices)  # arrow copies the runs of ids
+        n = np.bincount(row, sizes[words.indices.to_numpy()], len(texts)).astype(np.int64)
+        return told.flatten().to_numpy(), n
 
 
 @lru_cache(2)
@@ -136,7 +137,7 @@ def tokenised(documents: DataFrame, path: str, doc: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = speller(path)
         for batch in batches:
-            for part, texts in pieces(batch, "text", 500_000):
+            for part, texts in pieces(batch, "text", 1_500_000):
                 ids, n = own.ids(texts)
                 edges = np.concatenate([[0], np.cumsum(n)]) * own.type.itemsize
                 body = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(ids.tobytes())])
