@@ -36,7 +36,7 @@ from thermocline.session import written
 VOCABULARY = "byte_bpe_50k.tiktoken"
 LENGTH, SLOTS, SEED, ROUNDS, HEAD, PARTITION = 512, 256, 8, 6, 16, 16 << 20
 NULL = -(1 << 63)
-MOST_WORDS = 150_000
+MOST_WORDS, PIECE, SPLIT = 150_000, 1_500_000, 150_000  # words remembered; characters spelt, and split, at once
 APART = "\uffff"  # no character of texts; a word that has it all the same is spelt by itself
 
 
@@ -69,6 +69,17 @@ class Permutation:
         return self._walk(slot, self.keys[::-1])
 
 
+def runs(texts: list[str], most: int) -> Iterator[tuple[int, list[str]]]:
+    """(number of the first text, texts) of runs of about `most` characters."""
+    at = size = 0
+    for k, text in enumerate(texts):
+        if k > at and size + len(text) > most:
+            yield at, texts[at:k]
+            at, size = k, 0
+        size += len(text)
+    yield at, texts[at:]
+
+
 class Speller:
     """Pre-tokens to ids: known ones from memory, others by the library's BPE, all of a call at once."""
 
@@ -101,12 +112,20 @@ class Speller:
 
     def ids(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after another, number of ids of each text)."""
-        row, words, _ = split_words(texts, {})
-        if not len(words):
+        rows, found = [], []
+        for at, part in runs(texts, SPLIT):
+            row, words, _ = split_words(part, {})
+            if len(words):
+                rows.append(row + at)
+                found.append(words)
+        if not found:
             return np.zeros(0, self.type), np.zeros(len(texts), np.int64)
+        same = pa.chunked_array(found).unify_dictionaries()
+        row, every = np.concatenate(rows), same.chunk(0).dictionary.to_pylist()
+        indices = pa.concat_arrays([x.indices for x in same.chunks])
         if len(self.known) > MOST_WORDS:
             self.known.clear()
-        known, every = self.known, words.dictionary.to_pylist()
+        known = self.known
         spelt = list(map(known.get, every))
         new = [k for k, x in enumerate(spelt) if x is None]
         for k, x in zip(new, self.spelt([every[k] for k in new]), strict=True):
@@ -116,8 +135,8 @@ class Speller:
         sizes = np.fromiter(map(len, spelt), np.int64, len(spelt))
         edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
         every_word = pa.ListArray.from_arrays(pa.array(edges), pa.array(np.concatenate(spelt)))
-        told = every_word.take(words.indices)  # arrow copies the runs of ids
-        n = np.bincount(row, sizes[words.indices.to_numpy()], len(texts)).astype(np.int64)
+        told = every_word.take(indices)  # arrow copies the runs of ids
+        n = np.bincount(row, sizes[indices.to_numpy()], len(texts)).astype(np.int64)
         return told.flatten().to_numpy(), n
 
 
@@ -137,7 +156,7 @@ def tokenised(documents: DataFrame, path: str, doc: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = speller(path)
         for batch in batches:
-            for part, texts in pieces(batch, "text", 1_500_000):
+            for part, texts in pieces(batch, "text", PIECE):
                 ids, n = own.ids(texts)
                 edges = np.concatenate([[0], np.cumsum(n)]) * own.type.itemsize
                 body = pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(ids.tobytes())])
