@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermocline.session import written
+
 
 def members(leaves: DataFrame, leaf: str, region: str, top: str) -> DataFrame:
     """unit, kind, member: each leaf as itself, in its region and in the whole (three rows a leaf)."""
@@ -138,3 +140,39 @@ def ordered_list(value: Column, order: Column | None = None, separator: str = "
 
 def melted(rows: DataFrame, keys: list[str], columns: list[str], name: str = "variable", value: str = "value") -> DataFrame:
     return rows.unpivot(keys, columns, name, value)
+
+
+def dealt(rows: DataFrame, keys: list[str], order: list[Column], name: str = "ranges") -> DataFrame:
+    """rows with __part: dealt by ranges of keys and order, part after part, as a table.
+
+    One key may hold any share of the rows: ranges cut it. Rows that are equal in keys and order
+    are cut as well, so that ties do not gather in one part.
+    """
+    tie = rows.withColumn("__tie", F.monotonically_increasing_id())
+    ranged = tie.repartitionByRange(*[F.col(k).asc_nulls_first() for k in keys], *order, F.col("__tie"))
+    return written(ranged.withColumn("__part", F.spark_partition_id()), name)
+
+
+def running(parts: DataFrame, keys: list[str], order: list[Column], later: bool = False, **found: tuple[str, Column]) -> DataFrame:
+    """A dealt() table with running sums, minima or maxima: name=("sum" | "min" | "max", column).
+
+    Each runs in `order` from its key's first row to the row itself or, with `later`, from the row to
+    its key's last one. A window within each part gives the part's own share; what a key brings from
+    the parts before it is one row for each part at most, which is broadcast. Ties go by __tie.
+    """
+    kinds = {"sum": F.sum, "min": F.min, "max": F.max}
+    place = Window.partitionBy(*keys, "__part").orderBy(*order, "__tie")
+    place = place.rowsBetween(0, Window.unboundedFollowing) if later else place.rowsBetween(Window.unboundedPreceding, 0)
+    across = Window.partitionBy(*keys).orderBy(F.col("__part").desc() if later else F.col("__part")).rowsBetween(Window.unboundedPreceding, -1)
+    shares = parts.groupBy(*keys, "__part").agg(*[kinds[k](c).alias(n) for n, (k, c) in found.items()])
+    before = shares.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__part").alias("__p"), F.count("*").over(across).alias("__parts before"), *[kinds[k](n).over(across).alias(f"__{n}") for n, (k, _) in found.items()])
+    on = reduce(lambda a, i: a & F.col(keys[i]).eqNullSafe(F.col(f"__k{i}")), range(len(keys)), F.col("__part") == F.col("__p"))
+    both = {"sum": lambda a, b: F.coalesce(a + b, a, b), "min": F.least, "max": F.greatest}
+    own = parts.select("*", *[kinds[k](c).over(place).alias(n) for n, (k, c) in found.items()])
+    met = own.join(F.broadcast(before.where("`__parts before` > 0")), on, "left")
+    return met.select(*parts.columns, *[both[k](F.col(n), F.col(f"__{n}")).alias(n) for n, (k, _) in found.items()])
+
+
+def scanned(rows: DataFrame, keys: list[str], order: list[Column], later: bool = False, **found: tuple[str, Column]) -> DataFrame:
+    """rows with running aggregates over keys of any size, see running()."""
+    return running(dealt(rows, keys, order), keys, order, later, **found).drop("__part", "__tie")

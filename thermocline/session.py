@@ -11,6 +11,7 @@ from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def get_session(app: str = "thermocline", master: str | None = None, **conf: str) -> SparkSession:
@@ -71,40 +72,56 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_dir(spark), f"thermocline-{name}-{uuid.uuid4().hex[:12]}")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
     """df as a table in the shared folder: cuts lineage and survives lost executors.
 
+    With `by`, a column of few values, each of its values has a folder of its own, which alone is read
+    where a filter asks for that value. The column then stands last.
+
     Its shuffles end with the write, so their files go at once; the table goes with forget(), with the
     step that it serves (see finished()) or, at the latest, when the driver's JVM ends.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
     with _released_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        out = df.write.option("compression", "zstd")
+        (out.partitionBy(by) if by else out).parquet(path)
     files, place = _files(spark, path)
     files.deleteOnExit(place)
     _tables(spark).add(path)
-    return spark.read.schema(df.schema).parquet(path)
+    columns = [f for f in df.schema if f.name != by] + [f for f in df.schema if f.name == by]
+    return spark.read.schema(StructType(columns)).parquet(path)
 
 
 def forget(df: DataFrame) -> None:
     """Deletes the files of a table made by written(), once nothing reads it any more."""
-    for name in {os.path.dirname(x) for x in df.inputFiles()}:
-        if os.path.basename(name).startswith("thermocline-"):
-            _delete(df.sparkSession, name)
+    for name in _places(df):
+        _delete(df.sparkSession, name)
 
 
 def finished(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> DataFrame:
     """make()'s rows as a table; all tables that were written on the way to it are deleted."""
     before = set(_tables(spark))
     result = written(make(), name)
-    own = {os.path.basename(os.path.dirname(x)) for x in result.inputFiles()}
+    own = {os.path.basename(x) for x in _places(result)}
     for path in _tables(spark) - before:
         if os.path.basename(path) not in own:
             _delete(spark, path)
     return result
 
 
+def _places(df: DataFrame) -> set[str]:
+    """The folders of the tables made by written() that df reads."""
+    found = set()
+    for x in df.inputFiles():
+        while x and x != os.path.dirname(x):
+            x = os.path.dirname(x)
+            if os.path.basename(x).startswith("thermocline-") and len(os.path.basename(x)) > 24:
+                found.add(x)
+                break
+    return found
+
+
 def _tables(spark: SparkSession) -> set[str]:
     """The paths of the tables that written() made and nobody deleted."""
     context = spark.sparkContext
