@@ -21,6 +21,7 @@ MODULES = {
     "op8_training_order": "training_order",
     "op9_source_mixture": "mixture",
     "op10_language_id": "language",
+    "op11_lexical_search": "search",
 }
 
 
