@@ -22,6 +22,7 @@ MODULES = {
     "op9_source_mixture": "mixture",
     "op10_language_id": "language",
     "op11_lexical_search": "search",
+    "op12_conversation_trie": "trie",
 }
 
 
