@@ -23,6 +23,7 @@ MODULES = {
     "op10_language_id": "language",
     "op11_lexical_search": "search",
     "op12_conversation_trie": "trie",
+    "op13_warc_transactions": "warc",
 }
 
 
