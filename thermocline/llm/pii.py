@@ -45,7 +45,8 @@ CUES = {
     "other": "order|invoice|version|isbn|issn|doi|ref|reference|ticket|page|chapter|commit|build|sha|hash|checksum|model|part|item|serial|batch|bestellung|rechnung|commande|facture|pedido|factura|released|published|updated|posted|since|until|on|am|le|el|in",
 }
 FEATURES = ("length", "digits", "uppers", "lowers", "marks", "groups", "before", "after", *CUES)
-BEGIN, END = "\u0001", "\u0002"
+#: Marks of matches; a text's own ones are replaced by a character that no pattern tells from them.
+BEGIN, END, STAND_IN = "\u0001", "\u0002", "\u0003"
 ROUNDS, RATE, PRECISION, PLANTED, DECOYS = 40, 0.4, 0.9, 8_000, 10
 
 
@@ -83,7 +84,7 @@ def passes(m: Column) -> dict[str, Column]:
 def candidates(documents: DataFrame, doc: str = "doc_id", text: str = "text") -> DataFrame:
     """row, doc_id and a candidate per line (kind null where a row has none): start, end, ok, m's features."""
     whole = F.coalesce(F.col(text), F.lit(""))
-    whole = F.when(whole.contains(BEGIN) | whole.contains(END), F.translate(whole, BEGIN + END, "__")).otherwise(whole)
+    whole = F.when(whole.contains(BEGIN) | whole.contains(END), F.translate(whole, BEGIN + END, STAND_IN * 2)).otherwise(whole)
     rows = documents.select(F.monotonically_increasing_id().alias("row"), F.col(doc).alias("doc_id"), whole.alias("whole"))
     rows = rows.select("row", "doc_id", *[marked(F.col("whole"), k).alias(f"cut_{k}") for k in KINDS])
     rows = rows.select("row", "doc_id", F.concat(*[proposals(F.col(f"cut_{k}"), k) for k in KINDS]).alias("all"))
