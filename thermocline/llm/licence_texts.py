@@ -1,6 +1,7 @@
 """Known licence sentences and ordered rules.
 
-Sentences are normalised: lower case, runs of other characters one blank.
+Sentences are normalised: lower case, runs of other characters one blank. {} stands for one to eight
+words, such as a holder's name.
 """
 
 from __future__ import annotations
@@ -17,13 +18,15 @@ SENTENCES = {
     # MIT and its kin
     "mit": "released under the mit license",
     "mit.under": "licensed under the mit license",
+    "mit.terms": "licensed under the terms of the mit license",
+    "mit.made": "distributed under the mit license",
     "mit.title": "the mit license mit",
     "mit.name": "mit license",
     "mit.grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
     "mit0.grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so",
     "mit.notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
     "mit.warranty": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "x11.name": "except as contained in this notice the name of the x consortium shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the x consortium",
+    "x11.name": "except as contained in this notice the name of {} shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization from the x consortium",
     "isc.name": "isc license",
     "isc.grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "0bsd.grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
@@ -40,6 +43,9 @@ SENTENCES = {
     "ncsa.title": "university of illinois ncsa open source license",
     # BSD
     "bsd.under": "licensed under the bsd license",
+    "bsd3.under": "licensed under the bsd 3 clause license",
+    "bsd2.under": "licensed under the bsd 2 clause license",
+    "bsd3.names": "neither the names of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd2.name": "bsd 2 clause license",
     "bsd3.name": "bsd 3 clause license",
     "bsd.governed": "use of this source code is governed by a bsd style license that can be found in the license file",
@@ -47,10 +53,13 @@ SENTENCES = {
     "bsd.source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd.binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
     "bsd.advert": "all advertising materials mentioning features or use of this software must display the following acknowledgement",
-    "bsd.names": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "bsd.names": "neither the name of {} nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     # GNU
     "gpl2": "this work is licensed under the gnu general public license version 2",
     "gpl3": "this work is licensed under the gnu general public license version 3",
+    "gpl3.under": "licensed under the gnu general public license v3 0",
+    "gpl3.version": "licensed under the gnu general public license version 3",
+    "gpl2.version": "licensed under the gnu general public license version 2",
     "gpl2.title": "gnu general public license version 2 june 1991",
     "gpl3.title": "gnu general public license version 3 29 june 2007",
     "lgpl21.title": "gnu lesser general public license version 2 1 february 1999",
@@ -110,8 +119,8 @@ SENTENCES = {
 #: Groups of ordered rules, (licence, identifiers that must follow one another, others may stand
 #: between them). In a group the first rule that is met gives the licence.
 GROUPS = [
-    [("Apache-2.0", ("apache2.header", "apache2.use", "apache2.copy", "asis")), ("Apache-2.0", ("apache2.header", "apache2.use")), ("Apache-2.0", ("apache2",)), ("Apache-2.0", ("apache2.title",)), ("Apache-2.0", ("apache2.grant",))],
-    [("X11", ("mit.grant", "mit.notice", "x11.name")), ("MIT", ("mit.grant", "mit.notice")), ("MIT-0", ("mit0.grant", "mit.warranty")), ("MIT", ("mit.title",)), ("MIT", ("mit",)), ("MIT", ("mit.under",)), ("MIT", ("mit.name", "mit.grant"))],
+    [("Apache-2.0", ("apache2.header", "apache2.use", "apache2.copy", "asis")), ("Apache-2.0", ("apache2.header", "apache2.use")), ("Apache-2.0", ("apache2.header",)), ("Apache-2.0", ("apache2",)), ("Apache-2.0", ("apache2.title",)), ("Apache-2.0", ("apache2.grant",))],
+    [("X11", ("mit.grant", "mit.notice", "x11.name")), ("MIT", ("mit.grant", "mit.notice")), ("MIT-0", ("mit0.grant", "mit.warranty")), ("MIT", ("mit.title",)), ("MIT", ("mit",)), ("MIT", ("mit.under",)), ("MIT", ("mit.terms",)), ("MIT", ("mit.made",)), ("MIT", ("mit.name", "mit.grant"))],
     [("ISC", ("isc.grant",)), ("ISC", ("isc.name",)), ("0BSD", ("0bsd.grant", "isc.warranty"))],
     [("PostgreSQL", ("postgresql.grant",))],
     [("Zlib", ("zlib.warranty", "zlib.grant")), ("Zlib", ("zlib.grant",))],
@@ -119,14 +128,14 @@ GROUPS = [
     [("Unlicense", ("unlicense.free", "unlicense.grant")), ("Unlicense", ("unlicense.free",))],
     [("WTFPL", ("wtfpl.title",))],
     [("NCSA", ("ncsa.title",))],
-    [("BSD-4-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.advert")), ("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.names")), ("BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary")), ("BSD-3-Clause", ("bsd3.name",)), ("BSD-2-Clause", ("bsd2.name",)), ("BSD", ("bsd.grant",)), ("BSD", ("bsd.governed",)), ("BSD", ("bsd.under",))],
-    [("GPL-3.0", ("gpl.free", "gpl.hope")), ("GPL-3.0", ("gpl.free",)), ("GPL-3.0", ("gpl3",)), ("GPL-3.0", ("gpl3.title",))],
-    [("GPL-2.0", ("gpl.free2", "gpl.hope")), ("GPL-2.0", ("gpl.free2",)), ("GPL-2.0-only", ("gpl.only2",)), ("GPL-2.0", ("gpl2",)), ("GPL-2.0", ("gpl2.title",))],
+    [("BSD-4-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.advert")), ("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd.names")), ("BSD-3-Clause", ("bsd.grant", "bsd.source", "bsd.binary", "bsd3.names")), ("BSD-2-Clause", ("bsd.grant", "bsd.source", "bsd.binary")), ("BSD-3-Clause", ("bsd3.name",)), ("BSD-3-Clause", ("bsd3.under",)), ("BSD-2-Clause", ("bsd2.name",)), ("BSD-2-Clause", ("bsd2.under",)), ("BSD", ("bsd.grant",)), ("BSD", ("bsd.governed",)), ("BSD", ("bsd.under",))],
+    [("GPL-3.0", ("gpl.free", "gpl.hope")), ("GPL-3.0", ("gpl.free",)), ("GPL-3.0", ("gpl3",)), ("GPL-3.0", ("gpl3.title",)), ("GPL-3.0", ("gpl3.under",)), ("GPL-3.0", ("gpl3.version",))],
+    [("GPL-2.0", ("gpl.free2", "gpl.hope")), ("GPL-2.0", ("gpl.free2",)), ("GPL-2.0-only", ("gpl.only2",)), ("GPL-2.0", ("gpl2",)), ("GPL-2.0", ("gpl2.title",)), ("GPL-2.0", ("gpl2.version",))],
     [("AGPL-3.0", ("agpl.free",)), ("AGPL-3.0", ("agpl3.title",))],
     [("LGPL-3.0", ("lgpl.free3",)), ("LGPL-3.0", ("lgpl3.title",))],
     [("LGPL-2.1", ("lgpl.free21",)), ("LGPL-2.1", ("lgpl21.title",))],
     [("GFDL-1.3", ("fdl.grant",))],
-    [("MPL-2.0", ("mpl2.header", "mpl2.copy")), ("MPL-2.0", ("mpl2.header",)), ("MPL-2.0", ("mpl2.title",))],
+    [("MPL-2.0", ("mpl2.header", "mpl2.copy")), ("MPL-2.0", ("mpl2.header",)), ("MPL-2.0", ("mpl2.copy",)), ("MPL-2.0", ("mpl2.title",))],
     [("MPL-1.1", ("mpl11.header",))],
     [("EPL-2.0", ("epl2.header",)), ("EPL-2.0", ("epl2.title",))],
     [("EPL-1.0", ("epl1.header",)), ("EPL-1.0", ("epl1.title",))],
@@ -153,3 +162,12 @@ GROUPS = [
 
 #: Words, or beginnings of words, of which every known sentence has one.
 ANCHORS = ("licen", "permission", "redistribution", "warrant", "reserved", "copy", "unencumbered", "advertising", "cc0", "proprietary", "eupl", "mpl", "endorse", "advertis")
+
+#: Identifiers of SPDX lines by the licence that they name, beside the licence's own name.
+SPDX = {"Apache-2.0": [], "MIT": [], "MIT-0": [], "X11": [], "ISC": [], "0BSD": [], "PostgreSQL": [], "Zlib": [], "BSL-1.0": [], "Unlicense": [], "WTFPL": [], "NCSA": [], "BSD-4-Clause": [], "BSD-3-Clause": [], "BSD-2-Clause": [], "GPL-3.0": ["GPL-3.0-only", "GPL-3.0-or-later"], "GPL-2.0": ["GPL-2.0-or-later"], "GPL-2.0-only": [], "AGPL-3.0": ["AGPL-3.0-only", "AGPL-3.0-or-later"], "LGPL-3.0": ["LGPL-3.0-only", "LGPL-3.0-or-later"], "LGPL-2.1": ["LGPL-2.1-only", "LGPL-2.1-or-later"], "MPL-2.0": [], "MPL-1.1": [], "EPL-2.0": [], "EPL-1.0": [], "CDDL-1.0": [], "EUPL-1.2": [], "Artistic-2.0": [], "MS-PL": [], "OFL-1.1": [], "PSF-2.0": ["Python-2.0"], "CC0-1.0": [], "CC-BY-4.0": [], "CC-BY-SA-4.0": [], "CC-BY-NC-4.0": []}
+
+for _group in GROUPS:
+    for _name in dict.fromkeys(n for n, _ in _group):
+        for _said in [_name, *SPDX[_name]] if _name in SPDX else []:
+            SENTENCES[f"spdx.{_said}"] = "spdx license identifier " + _said.lower().replace("-", " ").replace(".", " ")
+            _group.append((_name, (f"spdx.{_said}",)))
