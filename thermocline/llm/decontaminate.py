@@ -86,8 +86,12 @@ def scan(documents: DataFrame, benchmark: DataFrame, doc: str = "doc_id", text:
             n, start = F.when(inside, F.lit(own)).otherwise(n), F.when(inside, F.col("k") - before).otherwise(start)
             before = upto
         found = at.select("row", start.alias("start"), n.alias("n"), "key").join(grams.select("key").distinct(), "key", "left_semi")
-        again = rows.join(found, "row")
-        met = again.join(grams, same(again)).select(*told, again["n"].alias("hit_n"), "items")
+        spots = found.groupBy("row").agg(F.collect_list(F.struct("start", "n", "key")).alias("spots"))  # at most a text's positions
+        again = rows.join(spots, "row").select("row", "doc", "words", F.explode("spots").alias("x"))
+        cut = F.slice("words", F.col("x.start") + 1, F.col("x.n")).alias("own")
+        again = again.select("row", "doc", n_words.cast("long").alias("n_words"), "x.start", F.col("x.n").alias("hit_n"), F.col("x.key").alias("hit_key"), cut)
+        equal = (F.col("hit_key") == grams["key"]) & (F.col("hit_n") == grams["n"]) & (F.col("own") == grams["w"])
+        met = again.join(grams, equal).select("row", "doc", "n_words", "start", "hit_n", "items")
         met = met.unionByName(rows.select("row", "doc", n_words.cast("long").alias("n_words")), allowMissingColumns=True)
     covered = F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1)))
     return (
