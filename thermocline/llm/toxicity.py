@@ -18,7 +18,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from thermocline.llm.language import held
@@ -134,13 +134,43 @@ def logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, ridge: float = 0.0
 PRIOR = np.array([(1.5 if threat else 3.0) * (0.5 if f & 1 else 1) * (0.6 if f & 2 else 1) * (1.2 if f & 4 else 1) for f in range(8) for threat in range(2)])
 
 
-def telling(t: Column, c: Column, toxic: int, clean: int, odds: float = 20.0, doubt: float = 0.9) -> Column:
+#: Settings of telling() among which fit() chooses by folds of the rows that it learns from: stricter ones last.
+ODDS, DOUBTS, FOLDS, DEAR = (5.0, 10.0, 20.0, 40.0), (0.5, 0.9, 1.3, 2.0, 3.0), 4, 10.0
+
+
+def telling(t, c, toxic, clean, odds: float, doubt: float, m=F):
     """Whether t of the toxic and c of the clean texts say that a feature is `odds` times as frequent in toxic ones.
 
-    The log ratio must stay over that by `doubt` of its standard errors, so rare chance words do not pass.
+    The log ratio must stay over that by `doubt` of its standard errors, so rare chance words do not
+    pass. m has log and sqrt for the arguments: Spark's functions or numpy.
+    """
+    ratio = m.log((t + 0.5) / (toxic + 1) * (clean + 1) / (c + 0.5))
+    return ratio - doubt * m.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= float(np.log(odds))
+
+
+def chosen(seen: list[tuple[str, np.ndarray, np.ndarray]], rows: list[tuple[int, int, frozenset[str]]], sizes: np.ndarray) -> tuple[float, float]:
+    """The (odds, doubt) that judge the rows of each fold best by the lexicon of the other folds.
+
+    seen: feature, its toxic and clean texts by fold; rows: fold, label and features of a text;
+    sizes: texts by label and fold. A false alarm costs DEAR missed texts, both as shares; of settings
+    that are alike the strictest holds.
     """
-    ratio = F.log((t + 0.5) / (toxic + 1) * (clean + 1) / (c + 0.5))
-    return ratio - doubt * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)) >= float(np.log(odds))
+    names = np.array([f for f, _, _ in seen], object)
+    t, c = (np.array([x[k] for x in seen], float).reshape(len(seen), FOLDS) for k in (1, 2))
+    best = (-np.inf, ODDS[-1], DOUBTS[-1])
+    for odds in ODDS:
+        for doubt in DOUBTS:
+            caught, false = 0, 0
+            for fold in range(FOLDS):
+                rest = np.arange(FOLDS) != fold
+                ok = telling(t[:, rest].sum(1), c[:, rest].sum(1), sizes[1, rest].sum(), sizes[0, rest].sum(), odds, doubt, np)
+                words, stems = lexicon(dict(zip(names[ok], t[ok][:, rest].sum(1).tolist(), strict=True)))
+                known = stems | {w + "$" for w in words}
+                for _, y, own in (r for r in rows if r[0] == fold):
+                    caught, false = caught + (y and not known.isdisjoint(own)), false + (not y and not known.isdisjoint(own))
+            worth = caught / max(1, sizes[1].sum()) - DEAR * false / max(1, sizes[0].sum())
+            best = max(best, (worth, odds, doubt))
+    return best[1], best[2]
 
 
 def lexicon(good: dict[str, int]) -> tuple[frozenset[str], frozenset[str]]:
@@ -165,8 +195,10 @@ def fit(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str
     """Learns lexicon and weights from about each[0] toxic and each[1] clean labelled rows.
 
     Those bound the sample; rows are chosen by a hash of the id. All features of the sample are
-    counted and tested in Spark, only the telling ones come to the driver. Held out ids and null labels teach nothing; of several labels of an id the highest holds. Without
-    labels of both kinds the lexicon is empty and the weights are the prior.
+    counted and tested in Spark; only those that may tell come to the driver, and which of them each
+    sampled text has. How much they must tell is chosen by folds of the sample. Held out ids and null
+    labels teach nothing; of several labels of an id the highest holds. Without labels of both kinds
+    the lexicon is empty and the weights are the prior.
     """
     marks = labels.select(labels[doc].alias("doc"), labels[label].alias("y")).where(F.col("y").isNotNull() & F.col("doc").isNotNull() & ~held(F.col("doc"), parts, part)).groupBy("doc").agg(F.max(F.col("y").cast("int")).alias("y"))
     counts = {r["y"]: r["count"] for r in marks.groupBy("y").count().collect()}
@@ -176,15 +208,26 @@ def fit(documents: DataFrame, labels: DataFrame, doc: str = "doc_id", text: str
     chance = F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) / 1_000_000
     sample = marks.where(chance < F.when(F.col("y") == 1, share[1]).otherwise(share[0]))
     texts = documents.select(documents[doc].alias("doc"), documents[text].alias("text")).where(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(sample), "doc").select("text", "y")  # bounded by `each`
+    fold = F.pmod(F.xxhash64(F.lit("fold"), "doc"), F.lit(FOLDS)).cast("int")
+    rows = texts.join(F.broadcast(sample), "doc").select("text", "y", fold.alias("fold"))  # bounded by `each`
 
     words = F.array_distinct(F.filter(F.split(F.lower("text"), r"[^\p{L}]+"), lambda w: F.length(w) > 1))
     own = F.transform(words, lambda w: F.concat(F.array(F.concat(w, F.lit("$"))), F.transform(F.filter(F.sequence(F.lit(4), F.lit(8)), lambda n: n < F.length(w)), lambda n: F.substring(w, F.lit(1), n))))
-    grams = rows.select("y", F.explode(F.array_distinct(F.flatten(own))).alias("f"))
-    sizes = {y: max(1, round(share[y] * counts[y])) for y in (0, 1)}
-    seen = grams.groupBy("f").agg(F.count_if(F.col("y") == 1).alias("t"), F.count_if(F.col("y") == 0).alias("c"))
-    found = seen.where(telling(F.col("t"), F.col("c"), sizes[1], sizes[0])).select("f", "t").collect()
-    lexical, stems = lexicon({r["f"]: r["t"] for r in found})
+    grams = rows.select(F.monotonically_increasing_id().alias("row"), "y", "fold", F.array_distinct(F.flatten(own)).alias("own"))
+    sizes = np.zeros((2, FOLDS))
+    for r in rows.groupBy("y", "fold").count().collect():
+        sizes[r["y"], r["fold"]] = r["count"]
+    number = lambda y, k: F.count_if((F.col("y") == y) & (F.col("fold") == k))
+    by_fold = grams.select("y", "fold", F.explode("own").alias("f")).groupBy("f").agg(F.array(*[number(1, k) for k in range(FOLDS)]).alias("t"), F.array(*[number(0, k) for k in range(FOLDS)]).alias("c"))
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+    rest = lambda a, k: total(F.col(a)) - (F.col(a)[k] if k is not None else 0)
+    may = [telling(rest("t", k), rest("c", k), *(sizes[y].sum() - (sizes[y, k] if k is not None else 0) for y in (1, 0)), ODDS[0], DOUBTS[0]) for k in (None, *range(FOLDS))]
+    seen = [(r["f"], np.array(r["t"]), np.array(r["c"])) for r in by_fold.where(reduce(lambda a, b: a | b, may)).collect()]
+    may_tell = documents.sparkSession.createDataFrame([([f for f, _, _ in seen],)], "known array<string>")
+    texts_with = grams.crossJoin(F.broadcast(may_tell)).select("fold", "y", F.array_intersect("own", "known").alias("own")).where(F.size("own") > 0)
+    odds, doubt = chosen(seen, [(r["fold"], r["y"], frozenset(r["own"])) for r in texts_with.collect()], sizes)
+    good = [(f, int(t.sum())) for f, t, c in seen if telling(t.sum(), c.sum(), sizes[1].sum(), sizes[0].sum(), odds, doubt, np)]
+    lexical, stems = lexicon(dict(good))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(lexical, stems)
