@@ -250,7 +250,7 @@ def assembled(found: DataFrame) -> DataFrame:
     Many revisits may refer to one record: their join is followed by nothing that needs them together,
     so that Spark may split it.
     """
-    rows = written(captures(found), "captures")
+    rows = written(captures(written(found, "records")), "captures")  # archives are read once
     holder = rows.where(F.col("type") == "response").select(F.col("record_id").alias("refers_to"), F.struct("record_id", "payload_bytes", "payload_digest", "metadata").alias("held"))
     again = rows.where(F.col("refers_to").isNotNull()).join(holder, "refers_to", "left")
     return rows.where(F.col("refers_to").isNull()).unionByName(again, allowMissingColumns=True)
