@@ -1,4 +1,4 @@
-"""Workbooks without a library: .xlsx is zipped XML. Retail sheets and wholesale price files."""
+"""Workbooks without a library: .xlsx is zipped XML, .xls see biff. Retail sheets and wholesale price files."""
 
 from __future__ import annotations
 
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from thermocline.functions.columns import canonical_name
 from thermocline.operators.relational import keep_last
+from thermocline.sources import biff
 from thermocline.sources.text import SourceError
 
 MAIN = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -28,7 +29,11 @@ KEYS = ["Year", "Month", "State", "Data Status"]
 
 
 def sheets(content: bytes) -> dict[str, list[list[object]]]:
-    """Sheet name: rows of cell values (str, float or None), from the bytes of an .xlsx file."""
+    """Sheet name: rows of cell values (str, float or None), from the bytes of an .xlsx or .xls file; the bytes tell which."""
+    if content.startswith(biff.SIGNATURE):
+        return biff.sheets(content)
+    if not zipfile.is_zipfile(io.BytesIO(content)):
+        raise SourceError("neither an .xlsx nor an .xls file")
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
@@ -141,25 +146,21 @@ WHOLESALE_SCHEMA = "raw_hub string, source string, line int, trade_date date, de
 
 
 def wholesale(spark: SparkSession, folder: str) -> DataFrame:
-    """Wholesale prices of .xlsx files and of those inside .zip files; the last row of a hub and day holds.
+    """Wholesale prices of .xlsx and .xls files and of those inside .zip files; the last row of a hub and day holds.
 
-    An unknown hub raises, and so does a file of the old binary .xls form, which is not read here.
+    An unknown hub raises, and so does a file that is no workbook.
     """
 
-    def old(name: str) -> bool:
-        if name.lower().endswith(".xls"):
-            raise SourceError(f"{name}: save it as .xlsx, the binary form is not read")
-        return True
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"], strict=True):
-                files = [(path, content)] if old(path) else []
-                if path.endswith(".zip"):
+                files = [(path, content)]
+                if path.lower().endswith(".zip"):
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        files = [(f"{path}/{n}", z.read(n)) for n in sorted(z.namelist()) if old(n) and n.lower().endswith(".xlsx")]
+                        files = [(f"{path}/{n}", z.read(n)) for n in sorted(z.namelist()) if n.lower().endswith((".xlsx", ".xls"))]
                 for name, data in files:
-                    yield pd.DataFrame(wholesale_rows(next(iter(sheets(data).values())), name.rsplit("/", 1)[-1]))
+                    book = list(sheets(data).values())
+                    yield pd.DataFrame(wholesale_rows(book[0] if book else [], name.rsplit("/", 1)[-1]))
 
     rows = spark.read.format("binaryFile").option("pathGlobFilter", "*.{xlsx,zip,xls}").load(folder).select("path", "content").mapInPandas(run, WHOLESALE_SCHEMA)
     named = rows.withColumn("hub", canonical_name(F.col("raw_hub")))
