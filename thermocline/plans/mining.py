@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from thermocline.functions import columns as C
 from thermocline.operators import mining as N
 from thermocline.operators import models as D
+from thermocline.operators import neighbours as NB
 from thermocline.operators import relational as R
 from thermocline.operators import stats as S
 from thermocline.plans.registry import MONTHLY, TOTAL, monthly, query, total
@@ -183,9 +184,9 @@ def searched(t):
 
 @query(VEC + f" SELECT q, vec_id, round(d0, 6) AS d, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d0, vec_id) AS rank FROM (SELECT q, vec_id, round({APART}, 9) AS d0 FROM p)) WHERE rank <= 8")
 def knn_topk(t):
-    """The nearest eight of each query vector."""
-    pairs = searched(t).withColumn("d0", F.round(N.euclidean(F.col("qa"), F.col("a")), 9))
-    return R.top_k(pairs, ["q"], 8, F.col("d0"), F.col("vec_id")).select("q", "vec_id", F.round("d0", 6).alias("d"), "rank")
+    """The nearest eight of each query vector; blocks and rows out of reach are never measured."""
+    best, _ = NB.search(NB.build(vectors(t), "vec_id", "a"), asked(t), "q", "qa", 8)
+    return best.select("q", F.col("key").alias("vec_id"), F.round("d", 6).alias("d"), "rank")
 
 
 @query(VEC + """ SELECT q, vec_id, round(sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda i: greatest(a[i] - list_max(qa[greatest(i - 2, 1):least(i + 2, len(a))]), list_min(qa[greatest(i - 2, 1):least(i + 2, len(a))]) - a[i], 0.0) ** 2))), 6) AS bound FROM p""")
@@ -206,8 +207,9 @@ UNION ALL SELECT q, vec_id, qa, a, d + 1, list_transform(range(0, len(a) + 1), l
 z AS (SELECT q, vec_id, round(sqrt(p1[len(a) + 1]), 9) AS d0 FROM w WHERE d = 2 * len(a) - 2)
 SELECT q, vec_id, round(d0, 6) AS dtw, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d0, vec_id) AS rank FROM z) WHERE rank <= 8""")
 def dtw_nearest(t):
-    """The eight nearest by time warping; pairs beyond the eighth's bound are never warped."""
-    return N.nearest(searched(t), "q", "vec_id", "qa", "a", 2, 8).select("q", "vec_id", F.round("d", 6).alias("dtw"), "rank")
+    """The eight nearest by time warping; blocks and rows beyond the eighth's bound are never warped."""
+    best, _ = NB.search(NB.build(vectors(t), "vec_id", "a"), asked(t), "q", "qa", 8, band=2)
+    return best.select("q", F.col("key").alias("vec_id"), F.round("d", 6).alias("dtw"), "rank")
 
 
 MEMBERS = f"""WITH {MONTHLY}, y AS (SELECT nation, CAST(year(month) AS BIGINT) AS yr, round(sum(CAST(round(v * 100) AS BIGINT)) / 100.0::DOUBLE / count(*) / 1e5, 6) AS x, round(avg(n), 6) AS z FROM monthly GROUP BY ALL)"""
