@@ -12,9 +12,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thermocline.operators import mining as N
 from thermocline.operators import models as D
 from thermocline.operators import relational as R
 from thermocline.operators import stats as S
+from thermocline.session import written
 
 KEYS = ["unit", "target"]
 LEAST_MONTHS, LEAST_ERRORS = 36, 3
@@ -26,10 +28,10 @@ def winter(year: Column, month: Column) -> Column:
 
 
 def daily(sales: DataFrame, climate: DataFrame) -> DataFrame:
-    """unit, year, month, y (log daily sales), h and c (degree days a day) of each month of either table."""
+    """unit, year, month, y (log daily sales), h and c (degree days a day): a panel of all months of either table, without gaps."""
     one = sales.select("unit", "year", "month", F.ln(F.when(F.col("sales_mwh") > 0, F.col("sales_mwh")) / F.col("days")).alias("y"))
     two = climate.select("unit", "year", "month", F.try_divide("hdd", "days").alias("h"), F.try_divide("cdd", "days").alias("c"))
-    return two.join(one, ["unit", "year", "month"], "full")
+    return R.panel(two.join(one, ["unit", "year", "month"], "full"), ["unit"], ["y", "h", "c"]).drop("at", "known")
 
 
 def by_target(rows: DataFrame, targets: list[int], half: int) -> DataFrame:
@@ -40,7 +42,7 @@ def by_target(rows: DataFrame, targets: list[int], half: int) -> DataFrame:
 
 
 def billed(rows: DataFrame, weights: list[float]) -> DataFrame:
-    """rows by billing weight (w): h, c, hn, cn blended with the month before."""
+    """rows by billing weight (w): h, c, hn, cn blended with the month before; rows are a panel, so an unknown month before gives null."""
     order = ["year", "month"]
     lagged = Window.partitionBy(*KEYS).orderBy(*order)
     named = ("h", "c", "hn", "cn")
@@ -107,6 +109,21 @@ def effects(rows: DataFrame) -> DataFrame:
     return R.complete_mean(rows.withColumn("__m", 100 * moved), [*KEYS, "winter"], "__m", 3).withColumnRenamed("mean", "effect")
 
 
+def trajectories(index: DataFrame, first: int, last: int) -> DataFrame:
+    """winter, a: the index (year, month, x) from month `first` to `last` of each year that has them all."""
+    own = index.where(F.col("month").between(first, last) & F.col("x").isNotNull()).groupBy(F.col("year").alias("winter"))
+    path = own.agg(F.array_sort(F.collect_list(F.struct("month", "x"))).alias("p")).where(F.size("p") == last - first + 1)
+    return path.select("winter", F.transform("p", lambda v: v["x"]).alias("a"))
+
+
+def trajectory_distances(index: DataFrame, targets: list[int], first: int, last: int, band: int) -> DataFrame:
+    """target, winter, d: time warping distances of the targets' trajectories to all earlier ones. A year is a row: a dimension."""
+    paths = trajectories(index, first, last)
+    asked = paths.where(F.col("winter").isin(targets)).select(F.col("winter").alias("target"), F.col("a").alias("b"))
+    pairs = R.in_blocks(paths, asked, "target").where("winter < target")
+    return pairs.select("target", "winter", F.round(N.warping(band)("a", "b"), 9).alias("d"))
+
+
 def members(history: DataFrame, predictor: DataFrame, value: str, bandwidth: float, least: float, gate: float, analogs: int, distance: DataFrame | None = None) -> DataFrame:
     """unit, target, method, winter, value, x, x0, weight: the earlier winters that make up each method's forecast.
 
@@ -157,23 +174,42 @@ def forecasts(rows: DataFrame, observed: DataFrame, spread: DataFrame | None = N
     return S.grouped(named.select(*KEYS, F.col("__m").alias("method"), "winter", "value", "x", "x0", "weight", "shift", "sigma", "observed"), keys, "unit string, target int, method string, " + ", ".join(f"{k} double" for k in names) + ", covered boolean", one, order=["winter"])
 
 
-def sales_hindcasts(sales: DataFrame, climate: DataFrame, predictor: DataFrame, targets: list[int], weights: list[float], half: int, years: int, through: int, bandwidth: float, least: float, gate: float, analogs: int, interval: float = 0.8) -> DataFrame:
+def sales_hindcasts(sales: DataFrame, climate: DataFrame, predictor: DataFrame, targets: list[int], weights: list[float], half: int, years: int, through: int, bandwidth: float, least: float, gate: float, analogs: int, interval: float = 0.8, distance: DataFrame | None = None, lags: int = 0) -> DataFrame:
     """Hindcasts of winter sales anomalies by every method and by the weather that came (perfect_weather)."""
     rows = billed(by_target(daily(sales, climate), targets, half), weights)
-    found = fits(training(rows, years, through), weights)
+    found = fits(training(rows, years, through), weights, lags)
     cold = winters_of(rows, found)
     spread = calibration(cold, found, years)
     seen = anomaly(cold.where("winter = target"), F.col("target"), "hn", "cn").select(*KEYS, F.col("anomaly").alias("observed"))
     moved = effects(cold)
     perfect = moved.where("winter = target").select(*KEYS, F.lit("perfect_weather").alias("method"), "winter", F.col("effect").alias("value"), F.lit(0.0).alias("x"), F.lit(0.0).alias("x0"), F.lit(1.0).alias("weight"))
-    made = members(moved, predictor, "effect", bandwidth, least, gate, analogs).unionByName(perfect.where("value is not null"))
+    made = members(moved, predictor, "effect", bandwidth, least, gate, analogs, distance).unionByName(perfect.where("value is not null"))
     return forecasts(made, seen, spread, interval).join(found.select(*KEYS, F.col("w").alias("billing_weight")), KEYS)
 
 
-def climate_hindcasts(climate: DataFrame, predictor: DataFrame, targets: list[int], half: int, bandwidth: float, least: float, gate: float, analogs: int, interval: float = 0.8) -> DataFrame:
+def climate_hindcasts(climate: DataFrame, predictor: DataFrame, targets: list[int], half: int, bandwidth: float, least: float, gate: float, analogs: int, interval: float = 0.8, distance: DataFrame | None = None) -> DataFrame:
     """Hindcasts of winter degree days in per cent of the normals known at the target."""
     rows = by_target(climate.select("unit", "year", "month", F.col("hdd").alias("h"), F.col("cdd").alias("c")), targets, half)
     cold = rows.where(F.col("month").isin(12, 1, 2)).withColumn("winter", winter(F.col("year"), F.col("month")))
     percent = cold.groupBy(*KEYS, "winter").agg(F.when(F.count(F.col("h") - F.col("hn")) == 3, 100 * F.try_divide(F.sum(F.col("h") - F.col("hn")), F.sum("hn"))).alias("value"))
     seen = percent.where("winter = target").select(*KEYS, F.col("value").alias("observed"))
-    return forecasts(members(percent, predictor, "value", bandwidth, least, gate, analogs), seen, None, interval)
+    return forecasts(members(percent, predictor, "value", bandwidth, least, gate, analogs, distance), seen, None, interval)
+
+
+def scores(rows: DataFrame, predictor: DataFrame, threshold: float, gate: float, replicates: int, seed: int = 0) -> DataFrame:
+    """level, unit, subset, method, winters, crps, crpss, crpss_lo, crpss_hi, coverage.
+
+    rows holds hindcasts (level, unit, target, method, crps, covered). A target belongs to `all` and to
+    the subsets that its predictor at issue says. Skill is against climatology over the method's own
+    targets; its limits (90 %) are those of a paired bootstrap over targets.
+    """
+    x = F.col("x")
+    labels = F.array_compact(F.array(F.lit("all"), F.when(x >= threshold, "el_nino_at_issue"), F.when(x >= gate, "strong_el_nino_at_issue"), F.when(x <= -threshold, "la_nina_at_issue"), F.when(F.abs(x) < threshold, "neutral_at_issue")))
+    signal = predictor.select(F.col("winter").alias("target"), "x")
+    rows = written(rows.select("level", "unit", "target", "method", "crps", "covered"), "hindcasts")
+    base = rows.where("method = 'climatology'").select("level", "unit", "target", F.col("crps").alias("base"))
+    each = written(rows.join(signal, "target").join(base, ["level", "unit", "target"]).withColumn("subset", F.explode(labels)), "scored")
+    keys = ["level", "unit", "subset", "method"]
+    means = each.groupBy(*keys).agg(F.count("*").alias("winters"), F.avg("crps").alias("crps"), S.skill(F.avg("crps"), F.avg("base")).alias("crpss"), F.avg(F.col("covered").cast("int")).alias("coverage"))
+    limits = S.bootstrap(each, keys, F.col("crps"), F.col("base"), ["target"], replicates, seed=seed)
+    return means.join(limits, keys, "left").select(*keys, "winters", "crps", "crpss", (1 - F.col("hi")).alias("crpss_lo"), (1 - F.col("lo")).alias("crpss_hi"), "coverage")

@@ -51,6 +51,20 @@ def month_spine(rows: DataFrame, month: str, keys: DataFrame | None = None) -> D
     return spine if keys is None else spine.crossJoin(F.broadcast(keys))
 
 
+def panel(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """keys, year, month, at (months since year 0), values, known: every month from a key's first to its last.
+
+    A month without a row is there with null values and known false, so a lag over the panel is the
+    month before and nothing else. rows has year and month; a null year or month belongs to no panel.
+    """
+    at = (F.col("year") * 12 + F.col("month") - 1).cast("int")
+    own = rows.withColumn("at", at).where(F.col("at").isNotNull()).select(*keys, "at", *values, F.lit(True).alias("known"))
+    span = own.groupBy(*keys).agg(F.min("at").alias("a"), F.max("at").alias("b"))
+    spine = span.select(*keys, F.explode(F.sequence("a", "b")).alias("at"))
+    met = spine.join(own, [*keys, "at"], "left")
+    return met.select(*keys, F.floor(F.col("at") / 12).cast("int").alias("year"), (F.col("at") % 12 + 1).alias("month"), "at", *values, F.coalesce("known", F.lit(False)).alias("known"))
+
+
 def centred_mean(value: str, keys: list[str], order: str, half: int = 1) -> Column:
     """Centred running mean on a gap-free spine; null where any of the values is missing."""
     w = Window.partitionBy(*keys).orderBy(order).rowsBetween(-half, half)

@@ -347,13 +347,14 @@ def predictive_mixture(t):
 
 @query()
 def load_model(t):
-    """Log monthly value on two drivers with year and month effects, billing weight by least error."""
+    """Log monthly value on two drivers with year and month effects, billing weight by least error."""
     w = Window.partitionBy("nation").orderBy("month")
     rows = monthly(t).withColumn("y", F.ln(F.col("v") / C.days_in_month(F.col("month"))))
     drivers = {}
     for k, weight in enumerate((0.0, 0.25, 0.5, 0.75)):
         drivers[weight] = (f"h{k}", f"c{k}")
-        blended = weight * F.lag("n").over(w) + (1 - weight) * F.col("n")
+        before = F.when(F.lag("month").over(w) == F.add_months("month", -1), F.lag("n").over(w))  # the month before, not the row before
+        blended = weight * before + (1 - weight) * F.col("n")
         rows = rows.withColumn(f"h{k}", blended).withColumn(f"c{k}", blended % 4)
     rows = rows.withColumn("year", F.year("month")).withColumn("mo", F.month("month"))
 
@@ -409,8 +410,8 @@ def replicates(t):
     return profiles(t).join(F.broadcast(every), "year").groupBy("rep", "nation", "mo").agg((F.sum(F.col("v") * F.col("times")) / F.sum("times")).alias("v"))
 
 
-def clusterings(t):
-    """rep, nation, k, cluster, silhouette: Ward's clustering of the nations for each replicate and k.
+def clusterings(t, only: int | None = None):
+    """rep (one of them with `only`), nation, k, cluster, silhouette: Ward's clustering of the nations for each replicate and k.
 
     A replicate is a group. Units are a dimension (here nations); more than MOST_UNITS of them are an error.
     """
@@ -421,28 +422,23 @@ def clusterings(t):
             raise ValueError(f"{len(names)} units are too many for a hierarchy")
         distance = np.sqrt(((points[:, None] - points[None]) ** 2).sum(2))
         out = []
+        merges = N.ward_merges(points)
         for k in range(2, min(MOST_CLUSTERS, len(names) - 1) + 1):
-            label = N.ward(points, k)
+            label = N.cut_merges(merges, len(points), k)
             score = float(N.silhouette(distance, label).mean())
             out += [{"nation": n, "k": k, "cluster": int(c), "silhouette": score} for n, c in zip(names, label, strict=True)]
         return out
 
-    return S.grouped(replicates(t), ["rep"], "rep int, nation string, k int, cluster int, silhouette double", cluster, order=["nation", "mo"])
+    drawn_from = replicates(t) if only is None else replicates(t).where(F.col("rep") == only)
+    return S.grouped(drawn_from, ["rep"], "rep int, nation string, k int, cluster int, silhouette double", cluster, order=["nation", "mo"])
 
 
 @query()
 def cluster_scores(t):
     """For each k the silhouette, and how well clusterings of resampled years agree with it (adjusted Rand)."""
     rows = written(clusterings(t), "clusterings")
-    real = rows.where("rep = 0").select("nation", "k", F.col("cluster").alias("own"), "silhouette")
-    # adjusted Rand from counts of pairs: within cells, within rows and within columns of the table of labels
-    both = rows.where("rep > 0").select("rep", "nation", "k", "cluster").join(F.broadcast(real.select("nation", "k", "own")), ["nation", "k"])
-    pairs = lambda c: F.sum(F.col(c) * (F.col(c) - 1) / 2)
-    counted = lambda keys, name: both.groupBy("rep", "k", *keys).agg(F.count("*").alias("c")).groupBy("rep", "k").agg(pairs("c").alias(name))
-    table = counted(["cluster", "own"], "cells").join(counted(["cluster"], "a"), ["rep", "k"]).join(counted(["own"], "b"), ["rep", "k"]).join(counted([], "everything"), ["rep", "k"])
-    chance = F.col("a") * F.col("b") / F.col("everything")
-    rand = F.coalesce(F.try_divide(F.col("cells") - chance, (F.col("a") + F.col("b")) / 2 - chance), F.lit(1.0))
-    stable = table.select("k", rand.alias("ari")).groupBy("k").agg(F.avg("ari").alias("stability"), F.percentile("ari", F.lit(0.1)).alias("stability_p10"))
+    real = rows.where("rep = 0").select("k", "silhouette")
+    stable = N.agreement(rows, "nation").groupBy("k").agg(F.avg("ari").alias("stability"), F.percentile("ari", F.lit(0.1)).alias("stability_p10"))
     scores = real.groupBy("k").agg(F.first("silhouette").alias("silhouette")).join(stable, "k")
     best = F.row_number().over(Window.orderBy(F.round("silhouette", 12).desc(), "k")) == 1
     return scores.withColumn("chosen", best)
@@ -451,7 +447,7 @@ def cluster_scores(t):
 @query()
 def ward_clusters(t):
     """Nations by their monthly profile, k by silhouette, then the smaller k."""
-    real = clusterings(t).where("rep = 0").drop("rep")
+    real = clusterings(t, only=0).drop("rep")
     best = F.max(F.struct(F.round("silhouette", 12).alias("s"), (-F.col("k")).alias("k"))).over(Window.partitionBy())
     return real.withColumn("b", best).where(F.col("k") == -F.col("b.k")).select("nation", "cluster", "k", "silhouette")
 
