@@ -174,6 +174,26 @@ def forecasts(rows: DataFrame, observed: DataFrame, spread: DataFrame | None = N
     return S.grouped(named.select(*KEYS, F.col("__m").alias("method"), "winter", "value", "x", "x0", "weight", "shift", "sigma", "observed"), keys, "unit string, target int, method string, " + ", ".join(f"{k} double" for k in names) + ", covered boolean", one, order=["winter"])
 
 
+def outlooks(rows: DataFrame, spread: DataFrame | None = None, interval: float = 0.8) -> DataFrame:
+    """unit, target, method, mean, lo, median, hi, prob_above, ess: forecasts() of winters that are not over."""
+    both = rows.join(spread, KEYS) if spread is not None else rows.withColumn("shift", F.lit(0.0)).withColumn("sigma", F.lit(0.0))
+    names = ("mean", "lo", "median", "hi", "prob_above")
+
+    def one(g, rng):
+        value, w, sigma = g["value"].to_numpy(), g["weight"].to_numpy(), float(g["sigma"].iloc[0])
+        ess = float(w.sum() ** 2 / (w**2).sum())
+        if g["m"].iloc[0] == "linear":
+            if len(g) < 3 or np.ptp(g["x"]) == 0:
+                return []
+            mean, sigma = D.linear_forecast(g["x"].to_numpy(), value, float(g["x0"].iloc[0]), sigma)
+            value, w = np.array([mean]), np.ones(1)
+        got = D.summary(value + float(g["shift"].iloc[0]), w, sigma, None, interval)
+        return {k: float(got[k]) for k in names} | {"ess": ess}
+
+    schema = "unit string, target int, method string, " + ", ".join(f"{k} double" for k in (*names, "ess"))
+    return S.grouped(both.select(*KEYS, "method", F.col("method").alias("m"), "winter", "value", "x", "x0", "weight", "shift", "sigma"), [*KEYS, "method"], schema, one, order=["winter"])
+
+
 def sales_hindcasts(sales: DataFrame, climate: DataFrame, predictor: DataFrame, targets: list[int], weights: list[float], half: int, years: int, through: int, bandwidth: float, least: float, gate: float, analogs: int, interval: float = 0.8, distance: DataFrame | None = None, lags: int = 0) -> DataFrame:
     """Hindcasts of winter sales anomalies by every method and by the weather that came (perfect_weather)."""
     rows = billed(by_target(daily(sales, climate), targets, half), weights)
@@ -187,11 +207,16 @@ def sales_hindcasts(sales: DataFrame, climate: DataFrame, predictor: DataFrame,
     return forecasts(made, seen, spread, interval).join(found.select(*KEYS, F.col("w").alias("billing_weight")), KEYS)
 
 
+def percent_of_normal(rows: DataFrame) -> DataFrame:
+    """unit, target, winter, value: a winter's degree days in per cent of the normals known at the target; null where a month is missing."""
+    cold = rows.where(F.col("month").isin(12, 1, 2)).withColumn("winter", winter(F.col("year"), F.col("month")))
+    return cold.groupBy(*KEYS, "winter").agg(F.when(F.count(F.col("h") - F.col("hn")) == 3, 100 * F.try_divide(F.sum(F.col("h") - F.col("hn")), F.sum("hn"))).alias("value"))
+
+
 def climate_hindcasts(climate: DataFrame, predictor: DataFrame, targets: list[int], half: int, bandwidth: float, least: float, gate: float, analogs: int, interval: float = 0.8, distance: DataFrame | None = None) -> DataFrame:
     """Hindcasts of winter degree days in per cent of the normals known at the target."""
     rows = by_target(climate.select("unit", "year", "month", F.col("hdd").alias("h"), F.col("cdd").alias("c")), targets, half)
-    cold = rows.where(F.col("month").isin(12, 1, 2)).withColumn("winter", winter(F.col("year"), F.col("month")))
-    percent = cold.groupBy(*KEYS, "winter").agg(F.when(F.count(F.col("h") - F.col("hn")) == 3, 100 * F.try_divide(F.sum(F.col("h") - F.col("hn")), F.sum("hn"))).alias("value"))
+    percent = percent_of_normal(rows)
     seen = percent.where("winter = target").select(*KEYS, F.col("value").alias("observed"))
     return forecasts(members(percent, predictor, "value", bandwidth, least, gate, analogs, distance), seen, None, interval)
 

@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pandas as pd
 
+from thermocline.operators import stats as S
 from thermocline.operators.stats import mixture_cdf, mixture_crps, mixture_quantiles
 
 
@@ -70,3 +71,26 @@ def summary(mu: np.ndarray, w: np.ndarray, sigma: float, observed: float | None
 def propagated(mu: np.ndarray, intercept: float, slope: float, sigma: float, sd: float) -> tuple[np.ndarray, float]:
     """A mixture put through a regression with error: again a mixture."""
     return intercept + slope * np.asarray(mu), math.sqrt((slope * sigma) ** 2 + sd**2)
+
+
+def alias_table(w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(share, other) of weighted draws in constant time: place k keeps a draw with chance share[k], else other[k] takes it."""
+    share = np.asarray(w, float) / np.sum(w) * len(w)
+    other, small, large = np.arange(len(w)), [k for k in range(len(w)) if share[k] < 1], [k for k in range(len(w)) if share[k] >= 1]
+    while small and large:
+        k, rich = small.pop(), large[-1]
+        other[k] = rich
+        share[rich] -= 1 - share[k]
+        if share[rich] < 1:
+            small.append(large.pop())
+    share[small + large] = 1.0  # what rounding has left
+    return share, other
+
+
+def draws(mu: np.ndarray, w: np.ndarray, sigma: float, key: int, count: int, seed: int = 0) -> np.ndarray:
+    """`count` draws of a normal mixture. Draw n follows from (key, n, seed) alone, wherever it is made."""
+    place, keep, one, two = S.uniforms(np.array([key]), np.arange(4 * count), seed)[0].reshape(4, count)
+    share, other = alias_table(w)
+    at = (place * len(share)).astype(int)
+    at = np.where(keep < share[at], at, other[at])
+    return np.asarray(mu, float)[at] + sigma * np.sqrt(-2 * np.log(one)) * np.cos(2 * np.pi * two)

@@ -97,28 +97,29 @@ def run_record(spark: SparkSession, config: Path, began: float, tables: int) ->
     return spark.createDataFrame([row], "version string, finished_utc string, seconds double, python string, config_sha256 string, tables long")
 
 
-def analyze(spark: SparkSession, cfg: Config, config: Path) -> dict[str, DataFrame]:
-    """Events, winters, premiums and hindcasts of the saved gold tables, with a run record; all are saved beside them."""
-    from thermocline.operators import energy
+def analyze(spark: SparkSession, cfg: Config, config: Path, resume: bool = False) -> dict[str, DataFrame]:
+    """The study's tables (see study) beside the gold ones, with a run record; resume takes up a study that failed."""
+    from thermocline.plans import study
 
     began, folder = time.time(), str(cfg.path("gold"))
-    t = warehouse.tables(spark, folder)
-    events, cold = winters(t["enso_month"], cfg)
-    f = cfg.forecast
-    predictor = cold.select("winter", F.col("predictor").alias("x")).where("x is not null")
-    climate = t["unit_climate"].select("unit", "year", "month", "days", "hdd", "cdd")
-    sales = t["unit_sales"].where("sector = 'residential'").select("unit", "year", "month", "days", "sales_mwh")
-    last = climate.agg(F.max("year")).first()[0] - 1
-    half, methods = cfg.climate.anomaly_half_window, dict(bandwidth=f.bandwidth, least=f.min_ess, gate=f.gate, analogs=cfg.analog.top_k)
-    level = energy.climate_hindcasts(climate, predictor, list(range(f.first_climate_winter, last + 1)), half, **methods, interval=f.interval)
-    sold = energy.sales_hindcasts(sales, climate, predictor, list(range(f.first_sales_winter, last + 1)), list(f.billing_weights), half, f.train_years, f.data_through_month, **methods, interval=f.interval)
-    backtest = level.withColumn("level", F.lit("climate")).unionByName(sold.withColumn("level", F.lit("sales")), allowMissingColumns=True).withColumnRenamed("target", "winter")
-    made = {"enso_event": events, "enso_winter": cold, "backtest": backtest}
-    warehouse.save(made, folder, add=True)
-    warehouse.save({"run_info": run_record(spark, config, began, len(warehouse.tables(spark, folder)) + 1)}, folder, add=True)
+    study.run(spark, cfg, folder, resume=resume)
+    status = outlook_status(warehouse.tables(spark, folder), cfg)
+    warehouse.save({"outlook_status": status, "run_info": run_record(spark, config, began, len(warehouse.tables(spark, folder)) + 2)}, folder, add=True)
     return warehouse.tables(spark, folder)
 
 
+def outlook_status(t: dict[str, DataFrame], cfg: Config) -> DataFrame:
+    """key, value: the index's latest month, its rank among the same calendar months, and the predictor of the outlook's winter."""
+    rows = t["enso_month"].where(F.col("index").isNotNull())
+    latest = rows.agg(F.max("date").alias("m"), F.max_by("index", "date").alias("now"))
+    same = rows.crossJoin(F.broadcast(latest)).where(F.month("date") == F.month("m"))  # one row
+    one = same.groupBy("m", "now").agg((F.count_if(F.col("index") > F.col("now")) + 1).alias("rank"), F.count("*").alias("years"))
+    pairs = F.array(*[F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in (("latest_month", F.date_format("m", "yyyy-MM")), ("latest_index", F.round("now", 2)), ("rank", F.col("rank")), ("years", F.col("years")))])
+    found = one.select(F.explode(pairs).alias("p")).select("p.key", "p.value")
+    issued = t["enso_winter"].where(F.col("winter") == cfg.outlook.winter).select(F.lit("predictor").alias("key"), F.round("predictor", 2).cast("string").alias("value"))
+    return found.unionByName(issued)
+
+
 def payload(tables: dict[str, DataFrame]) -> str:
     """Small result tables as JSON for a page: lists of rows by table, with `</` escaped."""
     rows = {name: [r.asDict(recursive=True) for r in frame.collect()] for name, frame in tables.items()}

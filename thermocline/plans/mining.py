@@ -135,9 +135,9 @@ def drawn(key):
     return F.md5(F.concat_ws(":", F.col("rep").cast("string"), key))
 
 
-def shuffled(rows, first: int = 1):
+def shuffled(rows, first: int = 1, last: int = SHUFFLES):
     """rows for each shuffle (rep)."""
-    return rows.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(SHUFFLES))))
+    return rows.withColumn("rep", F.explode(F.sequence(F.lit(first), F.lit(last))))
 
 
 @query(RULES + f""", b AS (SELECT DISTINCT month FROM i2), o AS (SELECT rep, month, row_number() OVER (PARTITION BY rep ORDER BY {DRAW_SQL.format(key="strftime(month, '%Y-%m-%d')")}, month) AS place FROM b, range(1, {SHUFFLES + 1}) x(rep)),
@@ -147,20 +147,26 @@ e AS (SELECT ru.antecedent, array_to_string(ru.consequent, ' ') AS consequent, r
 q AS (SELECT *, row_number() OVER (ORDER BY p, antecedent, consequent) AS place, count(*) OVER () AS m FROM e)
 SELECT antecedent, consequent, n, round(p, 6) AS p, round(least(1.0, min(p * m / place) OVER (ORDER BY place ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM q""")
 def rule_test(t):
-    """One-sided permutation p of each rule's hits, then BH.
+    """One-sided permutation p of each rule's hits, then BH."""
+    beyond = shuffle_p(found_rules(t), baskets(t), "month", F.date_format("month", "yyyy-MM-dd"), SHUFFLES)
+    named = beyond.select("antecedent", F.array_join("consequent", " ").alias("consequent"), "n", "p")
+    return S.with_q(named, "p").select("antecedent", "consequent", "n", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
+
+
+def shuffle_p(found, rows, key: str, text, shuffles: int):
+    """antecedent, consequent (array), n, p of rules (with antecedent_n) over baskets (key, items); text is the key as text.
 
     A shuffle puts the baskets in an order of its own and deals the antecedent to the first of them,
-    as many as have it; a rule's hits are then the baskets with its consequent among those.
+    as many as have it; a rule's hits are then the baskets with its consequent among those. The order
+    of a shuffle is a window of its own: one shuffle's baskets are sorted together.
     """
-    rows, found = baskets(t), found_rules(t)
-    order = shuffled(rows.select("month")).withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(drawn(F.date_format("month", "yyyy-MM-dd")), "month")))
-    item = rows.select("month", F.explode("items").alias("i"))
+    order = shuffled(rows.select(key), last=shuffles).withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(drawn(text), key)))
+    item = rows.select(key, F.explode("items").alias("i"))
     want = found.select("antecedent", "consequent", "antecedent_n", F.explode("consequent").alias("i"))
-    met = want.join(item, "i").groupBy("antecedent", "consequent", "antecedent_n", "month").count().where(F.col("count") == F.size("consequent"))
-    hits = met.join(order, "month").where("place <= antecedent_n").groupBy("antecedent", "consequent", "rep").agg(F.count("*").alias("hits"))
-    beyond = found.join(hits, ["antecedent", "consequent"], "left").groupBy("antecedent", "consequent", "n").agg(((1 + F.count_if(F.col("hits") >= F.col("n"))) / F.lit(SHUFFLES + 1.0)).alias("p"))
-    named = beyond.select("antecedent", F.array_join("consequent", " ").alias("consequent"), "n", "p")
-    return S.with_q(named, "p").select("antecedent", "consequent", "n", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
+    met = want.join(item, "i").groupBy("antecedent", "consequent", "antecedent_n", key).count().where(F.col("count") == F.size("consequent"))
+    hits = met.join(order, key).where("place <= antecedent_n").groupBy("antecedent", "consequent", "rep").agg(F.count("*").alias("hits"))
+    beyond = found.join(hits, ["antecedent", "consequent"], "left").groupBy("antecedent", "consequent", "n")
+    return beyond.agg(((1 + F.count_if(F.col("hits") >= F.col("n"))) / F.lit(shuffles + 1.0)).alias("p"))
 
 
 VEC = """WITH RECURSIVE e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS a FROM embeddings), q AS (SELECT vec_id AS q, a AS qa FROM e WHERE vec_id % 100 = 0),
@@ -504,17 +510,17 @@ def nearest_family(t):
     return near.groupBy("nation", "year").agg(F.min_by(F.struct("family", "medoid", "d"), F.struct("d", "family")).alias("x")).select("nation", "year", "x.family", "x.medoid", F.round("x.d", 9).alias("distance"))
 
 
-def permuted_correlation(rows, keys: list[str], order: str, x: str, y: str):
+def permuted_correlation(rows, keys: list[str], order: str, x: str, y: str, shuffles: int = SHUFFLES):
     """keys, r, p: the correlation of x and y, and how often shuffles of x reach it, (1 + hits) / (shuffles + 1)."""
     own = Window.partitionBy(*keys)
     placed = rows.withColumn("place", F.row_number().over(own.orderBy(order)))
-    moved = shuffled(placed.select(*keys, F.col(order).alias("__o"), F.col(x).alias("__x")), 0)
+    moved = shuffled(placed.select(*keys, F.col(order).alias("__o"), F.col(x).alias("__x")), 0, shuffles)
     at = F.when(F.col("rep") == 0, F.row_number().over(Window.partitionBy(*keys, "rep").orderBy("__o"))).otherwise(F.row_number().over(Window.partitionBy(*keys, "rep").orderBy(drawn(F.col("__o").cast("string")), "__o")))
     both = moved.withColumn("place", at).select(*keys, "rep", "place", "__x").join(placed.select(*keys, "place", F.col(y).alias("__y")), [*keys, "place"])
     r = both.groupBy(*keys, "rep").agg(F.corr("__x", "__y").alias("r"))
     real = F.max(F.when(F.col("rep") == 0, F.col("r"))).over(own)
     reached = F.count_if((F.col("rep") > 0) & (F.abs("r") >= F.abs("real") - 1e-9))
-    return r.withColumn("real", real).groupBy(*keys).agg(F.first("real").alias("r"), ((1 + reached) / F.lit(SHUFFLES + 1.0)).alias("p")).where(F.col("r").isNotNull() & ~F.isnan("r"))
+    return r.withColumn("real", real).groupBy(*keys).agg(F.first("real").alias("r"), ((1 + reached) / F.lit(shuffles + 1.0)).alias("p")).where(F.col("r").isNotNull() & ~F.isnan("r"))
 
 
 def permuted_sql(source: str, keys: str, order: str, x: str, y: str) -> str:
