@@ -23,7 +23,9 @@ HOLDS = {
     "sales_fits": "months >= 36 and r2 between 0 and 1 and billing_weight in (0.0, 0.25, 0.5, 0.75)",
     "sales_hindcasts": "lo <= median and median <= hi and crps >= 0 and pit between 0 and 1 and covered = (observed between lo and hi)",
     "climate_hindcasts": "lo <= median and median <= hi and crps >= 0 and pit between 0 and 1 and covered = (observed between lo and hi)",
-    "hindcast_scores": "crps >= 0 and coverage between 0 and 1 and (method <> 'climatology' or crpss = 0)",
+    "hindcast_scores": "crps >= 0 and coverage between 0 and 1 and (method <> 'climatology' or abs(crpss) < 1e-12) and winters > 0 and (crpss_lo is null or crpss_lo <= crpss_hi)",
+    "fingerprint": "abs(r) <= 1 + 1e-9 and p between 0 and 1 and q >= p - 1e-12 and q <= 1 and (el_nino_n < 2 or el_nino_lo <= el_nino_hi) and (la_nina_n < 2 or la_nina_lo <= la_nina_hi)",
+    "outlook_draws": "lo <= median and median <= hi and prob_negative between 0 and 1",
 }
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from thermocline.plans import energy, mining, outlook, relations, series  # noqa: F401  (they register their queries)
+from thermocline.plans import energy, mining, outlook, relations, season, series  # noqa: F401  (they register their queries)
 from thermocline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
