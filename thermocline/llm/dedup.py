@@ -11,7 +11,7 @@ shingle sets.
 Candidates are never all pairs of a bucket. In rounds the members of a bucket that are not in its
 largest component are verified against a hub of that component, each text against the hub that it
 shares most bands with; members that are already joined need no pair of their own, and buckets whose
-members are all joined drop out. Rounds go on while a quarter of their pairs are links. What is left
+members are all joined drop out. Rounds go on while a twentieth of their pairs are links. What is left
 is exact for every size of bucket. In buckets of a few members, each member outside the largest
 component is compared with those of other components, unless their numbers of shingles alone keep
 the similarity under the threshold. In larger ones the members outside the largest component are cut
@@ -272,8 +272,10 @@ def tiled_links(members: DataFrame, texts: DataFrame, threshold: float) -> DataF
 def components(links: DataFrame) -> DataFrame:
     """node, root (its component's least node) of the nodes of the links (a, b).
 
-    Each round every node takes the least root among its neighbours' and its own, then its root's
-    root; each round is a table in the shared folder. Roots only fall, so it ends.
+    Each round every node takes the least root among its neighbours' and its own, and then the least
+    that any node of its former root has taken; each round is a table in the shared folder. Roots only
+    fall, so it ends. Nodes are hashes of texts, whose order is no order of the links, so rounds grow
+    with the logarithm of a component's size; a path of nodes in ascending order would need one each.
     """
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     edges = written(both.where(F.col("a") != F.col("b")).distinct(), "edges")
