@@ -68,7 +68,12 @@ def test_every_table_and_the_planted_effects(spark, world, cfg, folder):
     assert len(sides) == 48 and sides[states[0]] != sides[states[-1]]
 
     slope = {r["market"]: r for r in t["price_premium_summary"].collect()}
-    assert slope["MIDC"]["slope_per_hdd_pct"] > 0 and slope["MIDC"]["el_nino_n"] + slope["MIDC"]["la_nina_n"] + slope["MIDC"]["neutral_n"] == slope["MIDC"]["winters"]
+    for market, r in slope.items():
+        own = [(v["hdd_pct"], v["premium"]) for v in t["price_premium"].where(F.col("market") == market).collect() if v["premium"] is not None and v["hdd_pct"] is not None]
+        x, y = np.array(own).T
+        b, a = np.polyfit(x, y, 1)
+        assert (r["winters"], r["slope_per_hdd_pct"], r["intercept"], r["resid_sd"]) == (len(own), pytest.approx(b), pytest.approx(a), pytest.approx(np.sqrt(((y - a - b * x) ** 2).sum() / (len(own) - 2))))
+        assert r["el_nino_n"] + r["la_nina_n"] + r["neutral_n"] == r["winters"] and 0 < r["p"] <= 1
     outlook = {(r["level"], r["unit"], r["method"]): r for r in t["outlook"].collect()}
     assert {k[2] for k in outlook} == set(cfg.forecast.methods) and {k[0] for k in outlook} == {"climate", "sales"} and all(r["lo"] <= r["median"] <= r["hi"] for r in outlook.values())
     fan = {r["scenario_djf"]: r["mean"] for r in t["outlook_scenario"].where(F.col("unit") == states[0]).collect()}
