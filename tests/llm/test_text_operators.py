@@ -182,7 +182,7 @@ def test_every_known_sentence_is_found_wrapped(make, spark, tmp_path):
     rows, want = [], {}
     for k, (name, sentence) in enumerate(licence_texts.SENTENCES.items()):
         assert any(a in sentence for a in licence_texts.ANCHORS)
-        rows.append((k, "Before this.\n" + "".join(f"// {x}\n" for x in textwrap.wrap(sentence.capitalize(), 40)) + "\nAfter"))
+        rows.append((k, "Before this.\n" + "".join(f"// {x}\n" for x in textwrap.wrap(sentence.replace("{}", "some holder").capitalize(), 40)) + "\nAfter"))
         want[k] = name
     rows += [(900, "A (c) B\n\n" + licence_texts.SENTENCES["bsd.grant"] + ":\n1. " + licence_texts.SENTENCES["bsd.source"] + ".\n2. " + licence_texts.SENTENCES["bsd.binary"] + ".\n"), (901, None)]
     docs = make(rows)
