@@ -18,7 +18,7 @@ def parser() -> argparse.ArgumentParser:
     get.add_argument("--refresh", action="store_true", help="fetch files that are there already, too")
     get.add_argument("--only", nargs="*", choices=["enso", "climdiv", "retail", "wholesale", "gas"], default=None)
     sub.add_parser("build", help="raw files to checked gold tables")
-    sub.add_parser("analyze", help="events, winters and hindcasts from the gold tables")
+    sub.add_parser("analyze", help="all result tables from the gold tables")
     sub.add_parser("run", help="build, then analyze")
     made = sub.add_parser("replica", help="write synthetic raw files")
     made.add_argument("--root", default="replica", type=Path)
