@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGE
+from tests.llm.personal_sentences import CLEAN, SENTENCES
 from tests.oracle import same_rows
 from thermocline.llm import decontaminate, licence_texts, licenses, media, pii, token_counts
 
@@ -271,6 +272,23 @@ def test_learned_kinds_are_precise_and_found_on_planted_texts(spark):
         assert len(got & own) >= 0.9 * len(got) and len(got & own) >= 0.6 * len(own), pii.KINDS[kind]
 
 
+def test_learned_kinds_are_found_in_sentences_written_by_hand(make):
+    rows, truth = [], set()
+    held = [(kind, line) for kind, lines in SENTENCES.items() for line in lines.strip().split("\n")[15:]] + [("", line) for line in CLEAN.strip().split("\n")[1::2]]
+    for number, (kind, line) in enumerate(held):
+        text = ""
+        for k, part in enumerate(re.split(r"\[\[|\]\]", line)):
+            if k % 2:
+                truth.add((number, kind, len(text), len(text) + len(part)))
+            text += part
+        rows.append((number, text))
+    found = {(r["doc_id"], pii.KINDS[s["kind"]], s["start"], s["end"]) for r in pii.scan(make(rows)).collect() for s in r["spans"] if not s["base"]}
+    assert len(found & truth) >= 0.95 * len(found)
+    for kind in SENTENCES:
+        own = {x for x in truth if x[1] == kind}
+        assert len(own) >= 15 and len(found & own) >= 0.8 * len(own), kind
+
+
 def test_a_secret_is_its_value_and_not_its_key_word(spark, make):
     text = 'ok token = "4bb0c75cc3b0398440b6ca30dd75e60e" end'
     got = [(pii.KINDS[s["kind"]], text[s["start"] : s["end"]]) for s in pii.scan(make([(1, text)])).first()["spans"]]
