@@ -5,11 +5,12 @@ import re
 import struct
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tests.llm.conftest import EDGE
 from tests.oracle import same_rows
-from thermocline.llm import dedup, language, mixture, toxicity, training_order
+from thermocline.llm import dedup, language, mixture, token_counts, toxicity, training_order
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 IDS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -125,6 +126,34 @@ def test_dedup_verifies_every_pair_that_shares_a_band(make):
     assert met and {d for d in range(0, 120, 2) if got[d + 1] == d} == met
 
 
+def test_dedup_hands_its_python_tasks_small_batches(make, spark, monkeypatch):
+    """Batches of 10,000 texts, in the executor and in its workers, took a pipeline over its memory."""
+    key, seen, written = "spark.sql.execution.arrow.maxRecordsPerBatch", {}, dedup.written
+
+    def noted(df, name, **more):
+        seen.setdefault(name, []).append(more.get("batch"))
+        return written(df, name, **more)
+
+    monkeypatch.setattr(dedup, "written", noted)
+    before = spark.conf.get(key, None)
+    dedup.near_duplicates(make(corpus(3, 30))).count()
+    assert set(seen["bands"]) == set(seen["links"]) == {dedup.BATCH}
+    rows = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    found = written(spark.range(0, 95, 1, 2).mapInArrow(rows, "n long"), "sizes", batch=10).collect()
+    assert sum(r["n"] for r in found) == 95 and max(r["n"] for r in found) == 10
+    assert spark.conf.get(key, None) == before
+
+
+def test_pieces_are_runs_of_whole_texts():
+    texts = ["é漢🙂" * 3, None, "", "x" * 50, "ab", None, "c" * 9]
+    batch = pa.RecordBatch.from_pydict({"k": range(7), "text": texts}).slice(1)
+    for most, rows in ((10, 10), (1000, 2), (1, 1), (1000, 1000)):
+        got = list(token_counts.pieces(batch, "text", most, rows))
+        assert [x for _, own in got for x in own] == [x or "" for x in texts[1:]]
+        assert [p.column("k").to_pylist() for p, _ in got] == [p.column("k").to_pylist()[: len(own)] for p, own in got]
+        assert all(len(own) <= rows and (len(own) == 1 or sum(len(x) + 1 for x in own) <= most + 1) for _, own in got)
+
+
 def test_dedup_keeps_one_row_of_each_group_with_all_columns(make):
     rows = corpus(7, 60) + [(900, "same row twice"), (900, "same row twice")]
     docs = make(rows)
