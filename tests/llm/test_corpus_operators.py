@@ -242,6 +242,21 @@ def test_shards_hold_every_token_at_its_slot(make, spark, tmp_path):
     assert training_order.shards(make([]), IDS).count() == 0
 
 
+def test_ids_equal_the_library_on_odd_and_long_texts(monkeypatch):
+    import tiktoken
+
+    own = training_order.speller(IDS)
+    whole = tiktoken.Encoding("t", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own.bpe._mergeable_ranks, special_tokens={})
+    long = "it's \n\n  we'll \uffff ok 12 é漢字🙂 " * 4000
+    texts = ["", " ", "a \uffff b", "we'll  go\n\n", " " * 5000, long[:90_000], long]
+    ids, n = own.ids(texts)
+    assert len(long) > training_order.LONG and [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [whole.encode_ordinary(t) for t in texts]
+    ids, n = own.ids([" " * 1_500_000 + "x"])  # the library's pattern gives up on these
+    assert n.sum() == len(ids) == 1_500_000 and len(own.ids([])[0]) == 0
+    monkeypatch.setattr(training_order, "split_words", None)  # ordinary texts are read by the library alone
+    assert own.ids(["ordinary words"])[0].tolist() == whole.encode_ordinary("ordinary words")
+
+
 def test_grammar_marks_contexts():
     scan = toxicity.Scanner(frozenset({"idiot"}), frozenset({"scum"}))
     found = lambda text: {k: int(n) for k, n in enumerate(scan.events(text)) if n}
