@@ -7,6 +7,7 @@ import struct
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm.conftest import EDGE
 from tests.oracle import same_rows
@@ -144,6 +145,46 @@ def test_dedup_hands_its_python_tasks_small_batches(make, spark, monkeypatch):
     assert spark.conf.get(key, None) == before
 
 
+def jobs_of(spark, make):
+    """What make() gives and how many jobs it took."""
+    context, group = spark.sparkContext, f"jobs-{random.random()}"
+    context.setJobGroup(group, group)
+    try:
+        found = make()
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    return found, len(context.statusTracker().getJobIdsForGroup(group))
+
+
+def test_dedup_asks_little_of_the_driver(make, spark):
+    """Jobs for numbers that a write can tell, and rounds that only saw that all had settled, took the driver over its memory."""
+    rng = random.Random(5)
+    name = lambda k: bytes([k * 37 % 251, k])
+    links = [(name(0), name(k)) for k in range(1, 60)] + [(name(k), name(k + 1)) for k in range(100, 130)] + [(name(200), name(200))]
+    want = {}
+    for own in (range(60), range(100, 131)):
+        want |= dict.fromkeys(map(name, own), min(map(name, own)))
+    rng.shuffle(links)
+    found, jobs = jobs_of(spark, lambda: {r["node"]: r["root"] for r in dedup.components(spark.createDataFrame(links, "a binary, b binary")).collect()})
+    assert found == want
+    star, jobs = jobs_of(spark, lambda: {r["node"]: r["root"] for r in dedup.components(spark.createDataFrame([x for x in links if x[0] == name(0)], "a binary, b binary")).collect()})
+    assert star == {k: v for k, v in want.items() if v == min(map(name, range(60)))}
+    rows = corpus(3, 30)
+    groups, more = jobs_of(spark, lambda: sorted(((r["doc_id"], r["group_id"]) for r in dedup.near_duplicates(make(rows)).collect()), key=repr))
+    assert groups == plain_groups(rows)
+    assert jobs <= 10 and more <= 100  # 13 and 122 before
+
+
+def test_dedup_counts_rows_as_it_writes_them(spark):
+    for n in (0, 7):
+        table, found = dedup.counted(spark.range(n).where("id >= 0"), "counted")
+        assert found == table.count() == n
+        table, found = dedup.counted(spark.range(n).groupBy("id").count(), "counted", rows=F.col("id") < 3)
+        assert (found, table.count()) == (min(n, 3), n)
+    none = spark.range(5).where("id > 9")
+    assert dedup.counted(none.join(none, "id").groupBy("id").count(), "counted")[1] == 0
+
+
 def test_pieces_are_runs_of_whole_texts():
     texts = ["é漢🙂" * 3, None, "", "x" * 50, "ab", None, "c" * 9]
     batch = pa.RecordBatch.from_pydict({"k": range(7), "text": texts}).slice(1)
