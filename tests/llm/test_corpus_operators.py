@@ -3,6 +3,7 @@
 import random
 import re
 import struct
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -327,6 +328,24 @@ def test_toxicity_learns_and_scores(make, spark):
     assert toxicity.score(make(EDGE), empty).count() == len(EDGE) and toxicity.score(make([]), empty).count() == 0
 
 
+def test_toxicity_learns_from_one_reading_of_the_documents(make, spark):
+    read = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    rows = [(i, f"plain words of text {'abcdefghij'[i % 10] * 3} " + ("you grobling" if i % 5 == 1 else "and more")) for i in range(200)]
+    docs, marks = make(rows), spark.createDataFrame([(i, int(i % 5 == 1)) for i in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs.mapInArrow(told, docs.schema), marks)
+    assert read.value == len(rows)
+    taught = {i for i in range(200) if zlib.crc32(str(i).encode()) % 5}
+    assert any("grobling".startswith(s) for s in model.stems | model.words)
+    again = toxicity.fit(make([r for r in rows if r[0] in taught]), marks)
+    assert (model.words, model.stems) == (again.words, again.stems) and model.weights == pytest.approx(again.weights)
+
+
 def plain_events(text, model):
     """The matches by context, clause by clause, without any automaton."""
     closed = {w: k for k, listed in enumerate((toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS, toxicity.THREATS)) for w in listed.split()}
