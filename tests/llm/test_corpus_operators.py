@@ -176,6 +176,28 @@ def test_dedup_asks_little_of_the_driver(make, spark):
     assert jobs <= 10 and more <= 100  # 13 and 122 before
 
 
+@pytest.mark.parametrize("light", [0, 10, 50_000])
+def test_dedup_by_broadcast_and_by_shuffle_equals_all_pairs(make, spark, monkeypatch, light):
+    """Whether tables of ids are few rows or not, and how many tasks that takes where every shuffle has 30 partitions."""
+    monkeypatch.setattr(dedup, "LIGHT", light, raising=False)
+    rows = corpus(3, 60)
+    conf = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before, tracker, group = {k: spark.conf.get(k) for k in conf}, spark.sparkContext.statusTracker(), f"tasks-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = sorted(((r["doc_id"], r["group_id"]) for r in dedup.near_duplicates(make(rows)).collect()), key=repr)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    stages = [tracker.getStageInfo(k) for j in tracker.getJobIdsForGroup(group) for k in tracker.getJobInfo(j).stageIds]
+    assert got == plain_groups(rows)
+    tasks = sum(x.numCompletedTasks for x in {x.stageId: x for x in stages if x}.values())
+    assert light < 50_000 or tasks <= 1250, tasks  # 1109; 1454 before
+
+
 def test_dedup_counts_rows_as_it_writes_them(spark):
     for n in (0, 7):
         table, found = dedup.counted(spark.range(n).where("id >= 0"), "counted")
