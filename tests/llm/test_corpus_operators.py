@@ -180,6 +180,7 @@ def test_dedup_asks_little_of_the_driver(make, spark):
 def test_dedup_by_broadcast_and_by_shuffle_equals_all_pairs(make, spark, monkeypatch, light):
     """Whether tables of ids are few rows or not, and how many tasks that takes where every shuffle has 30 partitions."""
     monkeypatch.setattr(dedup, "LIGHT", light, raising=False)
+    monkeypatch.setattr(dedup, "PER_TASK", 256 if light else 2)  # hot texts in copies
     rows = corpus(3, 60)
     conf = {"spark.sql.shuffle.partitions": "30", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
     before, tracker, group = {k: spark.conf.get(k) for k in conf}, spark.sparkContext.statusTracker(), f"tasks-{random.random()}"
