@@ -10,6 +10,7 @@ from thermocline.functions import columns as C
 from thermocline.operators import mining as N
 from thermocline.operators import models as D
 from thermocline.operators import neighbours as NB
+from thermocline.operators import pairs as P
 from thermocline.operators import relational as R
 from thermocline.operators import stats as S
 from thermocline.plans.registry import MONTHLY, TOTAL, monthly, query, total
@@ -188,6 +189,11 @@ def searched(t):
     return R.in_blocks(vectors(t), asked(t), "q").where(F.col("vec_id") != F.col("q"))
 
 
+def measured(t, band=None):
+    """q, key, d: every query against all other rows, in tiles."""
+    return P.distances(t.embeddings.select(F.col("vec_id").alias("key"), F.col("embedding").alias("a")), asked(t), band)
+
+
 @query(VEC + f" SELECT q, vec_id, round(d0, 6) AS d, rank FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY d0, vec_id) AS rank FROM (SELECT q, vec_id, round({APART}, 9) AS d0 FROM p)) WHERE rank <= 8")
 def knn_topk(t):
     """The nearest eight of each query vector; blocks and rows out of reach are never measured."""
@@ -198,7 +204,7 @@ def knn_topk(t):
 @query(VEC + """ SELECT q, vec_id, round(sqrt(list_sum(list_transform(range(1, len(a) + 1), lambda i: greatest(a[i] - list_max(qa[greatest(i - 2, 1):least(i + 2, len(a))]), list_min(qa[greatest(i - 2, 1):least(i + 2, len(a))]) - a[i], 0.0) ** 2))), 6) AS bound FROM p""")
 def lb_keogh(t):
     """The envelope bound of each pair of the query set."""
-    return searched(t).select("q", "vec_id", F.round(N.lower_bound(F.col("qa"), F.col("a"), 2), 6).alias("bound"))
+    return measured(t, band=2).select("q", F.col("key").alias("vec_id"), F.col("d").alias("bound"))
 
 
 @query(VEC + f" SELECT q AS a, vec_id AS b, round({APART}, 6) AS d FROM p WHERE q < vec_id OR vec_id % 100 <> 0")
