@@ -184,11 +184,6 @@ def asked(t):
     return vectors(t).where("vec_id % 100 = 0").select(F.col("vec_id").alias("q"), F.col("a").alias("qa"))
 
 
-def searched(t):
-    """q, vec_id, qa, a: every query against all other rows, blocks of queries broadcast in turn."""
-    return R.in_blocks(vectors(t), asked(t), "q").where(F.col("vec_id") != F.col("q"))
-
-
 def measured(t, band=None):
     """q, key, d: every query against all other rows, in tiles."""
     return P.distances(t.embeddings.select(F.col("vec_id").alias("key"), F.col("embedding").alias("a")), asked(t), band)
@@ -210,8 +205,8 @@ def lb_keogh(t):
 @query(VEC + f" SELECT q AS a, vec_id AS b, round({APART}, 6) AS d FROM p WHERE q < vec_id OR vec_id % 100 <> 0")
 def pair_distances(t):
     """Distances between the query vectors and all vectors, each pair once."""
-    pairs = searched(t).where((F.col("q") < F.col("vec_id")) | (F.col("vec_id") % 100 != 0))
-    return pairs.select(F.col("q").alias("a"), F.col("vec_id").alias("b"), F.round(N.euclidean(F.col("qa"), F.col("a")), 6).alias("d"))
+    pairs = measured(t).where((F.col("q") < F.col("key")) | (F.col("key") % 100 != 0))
+    return pairs.select(F.col("q").alias("a"), F.col("key").alias("b"), "d")
 
 
 @query(VEC + """, w AS (SELECT q, vec_id, qa, a, 0 AS d, list_transform(range(0, len(a) + 1), lambda i: CASE WHEN i = 1 THEN (qa[1] - a[1]) ** 2 ELSE 'inf'::DOUBLE END) AS p1, list_transform(range(0, len(a) + 1), lambda i: 'inf'::DOUBLE) AS p2 FROM p
